@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, sharding, url_filter, warc
+from . import exact_dedup, html_text, packing, sharding, unigram, url_filter, warc
 from .common import scratch_path, table, without_blanks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,16 @@ RULES = [
 BLOCKED_HOSTS = ["cheap-pills.example.com", "spam-farm.example.org", "casino.example.net"]
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), RULES, BLOCKED_HOSTS)
 
@@ -35,6 +45,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(docs, carry={"text_sha256": F.sha2(without_blanks(F.col("text")), 256)})
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), digest=True)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -71,7 +89,7 @@ FROM f
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_url_filters, op5_sharding, op6_exact_dedup, op10_warc)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_url_filters, op5_sharding, op6_exact_dedup, op7_sentencepiece, op8_packing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
