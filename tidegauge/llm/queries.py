@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, packing, sharding, unigram, url_filter, warc
+from . import ann, exact_dedup, html_text, packing, quality, sharding, unigram, url_filter, warc
 from .common import scratch_path, table, without_blanks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), RULES, BLOCKED_HOSTS)
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), sharding.ShardTree.uniform(40, regions=4, racks=2))
 
@@ -53,6 +57,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -89,7 +97,7 @@ FROM f
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_url_filters, op5_sharding, op6_exact_dedup, op7_sentencepiece, op8_packing, op10_warc)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_url_filters, op4_nearest_neighbours, op5_sharding, op6_exact_dedup, op7_sentencepiece, op8_packing, op9_quality, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
