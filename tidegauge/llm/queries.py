@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, html_text, packing, quality, sharding, unigram, url_filter, warc
+from . import ann, exact_dedup, html_text, ngram_join, packing, quality, sharding, unigram, url_filter, warc
 from .common import scratch_path, table, without_blanks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), RULES, BLOCKED_HOSTS)
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -79,6 +83,18 @@ SELECT u.page_id, host, path, best.rule AS rule,
 FROM u LEFT JOIN fits USING (page_id)
 """
 
+OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+     s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+                               ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS sh FROM w),
+     e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+     p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id
+           GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 185 * count(*) >= 85 * (a.n + b.n)),
+     l AS (SELECT x, y FROM p UNION SELECT y, x FROM p),
+     r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.y FROM r JOIN l ON r.other = l.x)
+SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, m.component_id FROM s JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) m USING (doc_id)
+"""
+
 OP6_SQL = r"""
 WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
      k AS (SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size
@@ -97,8 +113,8 @@ FROM f
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_url_filters, op4_nearest_neighbours, op5_sharding, op6_exact_dedup, op7_sentencepiece, op8_packing, op9_quality, op10_warc)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_url_filters, op3_ngram_jaccard, op4_nearest_neighbours, op5_sharding, op6_exact_dedup, op7_sentencepiece, op8_packing, op9_quality, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op10_warc": OP10_SQL}
+    return {"op2_url_filters": OP2_SQL, "op3_ngram_jaccard": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op10_warc": OP10_SQL}
