@@ -22,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import settle
+
 #: A gzip member that holds nothing.
 NOTHING = gzip.compress(b"", mtime=0)
 DATE = "2024-01-01T00:00:00Z"
@@ -30,6 +32,8 @@ RECORD = "record_id string, record_type string, concurrent_to string, refers_to
 _ARROW = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("concurrent_to", pa.string()), ("refers_to", pa.string()), ("target_uri", pa.string()), ("declared_digest", pa.string()), ("content_type", pa.string()), ("http_status", pa.int32()), ("http_length", pa.int64()), ("payload", pa.binary()), ("payload_digest", pa.string())])
 #: Bytes of payloads that a batch returned by the reader may hold before it is closed.
 BATCH_BYTES = 8 << 20
+#: Compressed bytes given to zlib at once.
+STEP = 4096
 
 
 def digest(payload: bytes) -> str:
@@ -99,14 +103,18 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
 
 def _inflate(data: bytes) -> bytes:
-    out = []
-    while data:
-        if data[:2] != b"\x1f\x8b":
-            out.append(data)
-            break
+    """All gzip members of ``data``; it is fed in steps, since what a member leaves over is copied."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out, view, at = [], memoryview(data), 0
+    while at < len(data):
         d = zlib.decompressobj(31)
-        out.append(d.decompress(data))
-        data = d.unused_data
+        while not d.eof and at < len(data):
+            step = view[at : at + STEP]
+            out.append(d.decompress(step))
+            at += len(step) - len(d.unused_data)
+        if not d.eof:
+            raise ValueError("a gzip member ends too early")
     return b"".join(out)
 
 
@@ -193,6 +201,7 @@ def page_captures(spark: SparkSession, path: str) -> DataFrame:
         "sha": F.coalesce("payload_digest", "declared_digest"),
         "page_id": F.when(F.col("record_type") == "metadata", F.regexp_extract(F.col("payload").cast("string"), r"(?m)^page-id: (-?\d+)\r?$", 1)),
     }).select("record_id", "record_type", "concurrent_to", "refers_to", "payload_bytes", "sha", "page_id")
+    slim = settle(slim, "warc-records")
     number = lambda c: F.expr(f"try_cast({c} as bigint)")
     return assemble_transactions(slim).select(
         number("metadata.page_id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.sha").alias("payload_digest"),
