@@ -1,0 +1 @@
+"""Structured Streaming: windowed aggregates, the stateful detector and drift detection."""
