@@ -104,7 +104,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array(x, pa.list_(pa.float64()))], ["id", "y", "x"])
 
     rows = texts.select("id", "y", "text").mapInArrow(run, "id long, y int, x array<double>").groupBy("id").agg(F.min("y").alias("y"), F.min("x").alias("x")).orderBy("id").collect()
-    return Classifier.fit(np.array([r.x for r in rows]).reshape(len(rows), -1), np.array([float(r.y) for r in rows]))
+    return Classifier.fit(np.array([r.x for r in rows]).reshape(len(rows), len(features(""))), np.array([float(r.y) for r in rows]))
 
 
 def _evidence(texts: DataFrame, model: Classifier) -> DataFrame:
