@@ -1,0 +1 @@
+"""Reading, writing and making series."""
