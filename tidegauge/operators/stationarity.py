@@ -26,7 +26,7 @@ def durbin_levinson(r: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
-def partial_autocorrelation(series: DataFrame, max_lag: int) -> DataFrame:
+def partial_autocorrelation(series: DataFrame, max_lag: int = 20) -> DataFrame:
     """PACF of lags 1 to min(max_lag, n / 4) and whether each is beyond 1.96 / sqrt(n)."""
 
     def run(x: np.ndarray, _: np.ndarray) -> dict:

@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr
-from ..operators import anomaly, calendar, correlation, descriptive, detectors_np, forecasting, multivariate, quality, seasonality, series, stationarity, trend, windows
+from ..operators import anomaly, calendar, correlation, descriptive, detectors_np, forecasting, ml, multivariate, quality, seasonality, series, stationarity, trend, windows
+from ..sources import readers, synthetic
 from ..streaming import detector, drift, windowed
+from . import compose
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -388,6 +390,28 @@ for _m in drift.DETECTORS:
     query(f"drift_{_m}")(on(events, lambda s, m=_m: drift.detect_drift(s.where("idx < 2000"), m)))
 
 
+# --- models, sources, composites ----------------------------------------------------------
+
+query("persistence", f"WITH {ORDERS}, l AS (SELECT series_id, arg_max(value, idx) AS forecast FROM o GROUP BY 1) SELECT series_id, unnest(range(1, 6))::INT AS step, round(forecast, 6) AS forecast FROM l")(on(orders_daily, lambda s: ml.persistence(s, 5)))
+query("sequences", f"""WITH {ORDERS}, w AS (SELECT series_id, idx, list(value) OVER (PARTITION BY series_id ORDER BY idx ROWS 3 PRECEDING) AS x, list(value) OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS y FROM o)
+SELECT series_id, idx, round(list_sum(x), 2) AS total, round(y[1], 2) AS target FROM w WHERE len(x) = 4 AND len(y) = 1""")(on(orders_daily, lambda s: ml.sequences(s, 4).select("series_id", "idx", F.round(F.aggregate("x", F.lit(0.0), lambda a, b: a + b), 2).alias("total"), F.round(F.col("y")[0], 2).alias("target"))))
+query("pareto_front", """SELECT p_partkey, p_size, round(p_retailprice, 6) AS p_retailprice FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_size >= a.p_size AND b.p_retailprice >= a.p_retailprice AND (b.p_size > a.p_size OR b.p_retailprice > a.p_retailprice))""")(
+    lambda spark, d: ml.pareto_front(read(spark, d, "part"), "p_partkey", ["p_size", "p_retailprice"]))
+query("compact", f"""WITH {EVENTS}, t AS (SELECT series_id, min(value) AS lo, max(value) AS hi FROM e GROUP BY 1) SELECT series_id, idx, round(abs(value - (lo + round(65535 * (value - lo) / (hi - lo)) / 65535 * (hi - lo))), 6) <= round((hi - lo) / 65535, 6) AS near FROM e JOIN t USING (series_id)""")(
+    on(events, lambda s: ml.restore(ml.compact(s)).withColumnRenamed("value", "restored").join(s.select("series_id", "idx", "value"), ["series_id", "idx"]).select("series_id", "idx", (F.round(F.abs(F.col("value") - F.col("restored")), 6) <= F.round((F.col("hi") - F.col("lo")) / 65535, 6)).alias("near"))))
+query("positional_encoding", "SELECT vec_id, round(sin(vec_id), 6) AS e0, round(cos(vec_id), 6) AS e1, round(sin(vec_id / 100), 6) AS e2, round(cos(vec_id / 100), 6) AS e3 FROM embeddings")(
+    lambda spark, d: ml.positional_encoding(read(spark, d, "embeddings").select("vec_id"), "vec_id", 4).select("vec_id", *[F.col("encoding")[i].alias(f"e{i}") for i in range(4)]))
+query("ensemble_diversity")(on(orders_daily, lambda s: ml.ensemble_diversity(forecasting.forecast(s, "linear").unionByName(forecasting.forecast(s, "seasonal_naive", 10, period=7)).select(F.concat_ws("/", "series_id", "step").alias("row"), F.col("method").alias("model"), F.col("forecast").alias("prediction")))))
+query("parse_times", "SELECT event_id, date_trunc('second', ts)::TIMESTAMPTZ AS ts FROM events")(lambda spark, d: read(spark, d, "events").select("event_id", readers.parse_time(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("ts")))
+query("parse_values", "SELECT event_id, round(CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END, 6) AS value FROM events")(lambda spark, d: read(spark, d, "events").select("event_id", readers.parse_value(F.when(F.col("event_id") % 3 == 0, " NaN ").otherwise(F.col("value").cast("string"))).alias("value")))
+query("read_parquet", "SELECT 'o_totalprice' AS series_id, o_orderdate::TIMESTAMPTZ AS ts, round(o_totalprice, 6) AS value FROM orders")(lambda spark, d: readers.read_parquet(spark, f"{d}/orders.parquet", time="o_orderdate", values=["o_totalprice"]))
+query("synthetic_sine", "SELECT 'sine' AS series_id, to_timestamp(1000000000 + i * 3600) AS ts, round(sin(2 * pi() * i / 24), 6) AS value FROM range(1000) t(i)")(lambda spark, d: synthetic.sine(spark))
+query("event_filters", "SELECT event_id, event_type, round(value, 6) AS value FROM events WHERE event_type IN ('click', 'view') AND value >= 10 AND event_type NOT LIKE '%x%'")(
+    lambda spark, d: series.value_counts_filter(series.value_counts_filter(read(spark, d, "events").select("event_id", "event_type", "value"), "event_type", "in", ["click", "view"]), "value", "ge", 10))
+query("insights")(on(orders_daily, compose.insights))
+query("combined_periods")(on(orders_daily, compose.combined_periods))
+
+
 @query("flagship", f"""WITH {EVENTS}, {_Z.format(t=3.0)}, s AS (SELECT series_id, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS std, quantile_cont(value, .5) AS median, skewness(value) AS skewness FROM e GROUP BY 1), a AS (SELECT series_id, count(*) AS n_anomalies, max(score) AS worst FROM z GROUP BY 1)
 SELECT series_id, n, round(mean, 6) AS mean, round(std, 6) AS std, round(median, 6) AS median, round(skewness, 6) AS skewness, coalesce(n_anomalies, 0) AS n_anomalies, round(worst, 6) AS worst FROM s LEFT JOIN a USING (series_id)""")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
