@@ -402,10 +402,10 @@ query("compact", f"""WITH {EVENTS}, t AS (SELECT series_id, min(value) AS lo, ma
 query("positional_encoding", "SELECT vec_id, round(sin(vec_id), 6) AS e0, round(cos(vec_id), 6) AS e1, round(sin(vec_id / 100), 6) AS e2, round(cos(vec_id / 100), 6) AS e3 FROM embeddings")(
     lambda spark, d: ml.positional_encoding(read(spark, d, "embeddings").select("vec_id"), "vec_id", 4).select("vec_id", *[F.col("encoding")[i].alias(f"e{i}") for i in range(4)]))
 query("ensemble_diversity")(on(orders_daily, lambda s: ml.ensemble_diversity(forecasting.forecast(s, "linear").unionByName(forecasting.forecast(s, "seasonal_naive", 10, period=7)).select(F.concat_ws("/", "series_id", "step").alias("row"), F.col("method").alias("model"), F.col("forecast").alias("prediction")))))
-query("parse_times", "SELECT event_id, date_trunc('second', ts)::TIMESTAMPTZ AS ts FROM events")(lambda spark, d: read(spark, d, "events").select("event_id", readers.parse_time(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("ts")))
+query("parse_times", "SELECT event_id, date_trunc('second', ts)::TIMESTAMP AS ts FROM events")(lambda spark, d: read(spark, d, "events").select("event_id", readers.parse_time(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz").alias("ts")))
 query("parse_values", "SELECT event_id, round(CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END, 6) AS value FROM events")(lambda spark, d: read(spark, d, "events").select("event_id", readers.parse_value(F.when(F.col("event_id") % 3 == 0, " NaN ").otherwise(F.col("value").cast("string"))).alias("value")))
-query("read_parquet", "SELECT 'o_totalprice' AS series_id, o_orderdate::TIMESTAMPTZ AS ts, round(o_totalprice, 6) AS value FROM orders")(lambda spark, d: readers.read_parquet(spark, f"{d}/orders.parquet", time="o_orderdate", values=["o_totalprice"]))
-query("synthetic_sine", "SELECT 'sine' AS series_id, to_timestamp(1000000000 + i * 3600) AS ts, round(sin(2 * pi() * i / 24), 6) AS value FROM range(1000) t(i)")(lambda spark, d: synthetic.sine(spark))
+query("read_parquet", "SELECT 'o_totalprice' AS series_id, o_orderdate::TIMESTAMP AS ts, round(o_totalprice, 6) AS value FROM orders")(lambda spark, d: readers.read_parquet(spark, f"{d}/orders.parquet", time="o_orderdate", values=["o_totalprice"]).withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+query("synthetic_sine", "SELECT 'sine' AS series_id, make_timestamp((1000000000 + i * 3600) * 1000000) AS ts, round(sin(2 * pi() * i / 24), 6) + 0 AS value FROM range(1000) t(i)")(lambda spark, d: synthetic.sine(spark).withColumn("ts", F.col("ts").cast("timestamp_ntz")))
 query("event_filters", "SELECT event_id, event_type, round(value, 6) AS value FROM events WHERE event_type IN ('click', 'view') AND value >= 10 AND event_type NOT LIKE '%x%'")(
     lambda spark, d: series.value_counts_filter(series.value_counts_filter(read(spark, d, "events").select("event_id", "event_type", "value"), "event_type", "in", ["click", "view"]), "value", "ge", 10))
 query("insights")(on(orders_daily, compose.insights))
