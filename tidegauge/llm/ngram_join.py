@@ -11,7 +11,8 @@ ones.
 
 Documents with equal sets are one class, and all that follows is done on classes. Two
 exact bounds prune candidates before their sets are read: the sizes, and the parities
-of 1024 groups of shingles, which differ in no more places than the sets do.
+of groups of shingles, about two groups for each, which differ in no more places than
+the sets do.
 
 Components are wanted, not all pairs. A list of up to ``SHORT`` classes gives its pairs.
 A longer one, as large groups of near copies make them, gives each member's pair with
@@ -25,7 +26,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,9 +36,11 @@ from .components import components
 from .shingles import STEP, mixed, shingle_sets
 
 WIDTH, PERCENT = 4, 85
-#: log2 of the counters of shingles, and of the parities of a set.
-COUNTER_BITS, PARITY_BITS = 20, 10
-SHORT, BLOCK = 12, 4096
+#: log2 of the counters of shingles, and of the least number of parities of a set.
+COUNTER_BITS, PARITY_BITS = 20, 8
+SHORT, BLOCK = 12, 2048
+#: Pairs whose parities are compared at once.
+AT_ONCE = 1 << 15
 #: log2 of the bits that mark texts whose sets are read again.
 MARK_BITS = 22
 _MASK = np.uint64((1 << COUNTER_BITS) - 1)
@@ -77,6 +79,44 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
 
+def _parities(s: np.ndarray) -> bytes:
+    """Bit g tells whether the set has an odd number of shingles in group g, of 2^k >= 2n groups."""
+    groups = 1 << max(PARITY_BITS, (2 * max(1, len(s)) - 1).bit_length())
+    odd = np.bincount(((s >> np.uint64(COUNTER_BITS)) & np.uint64(groups - 1)).astype(np.int64), minlength=groups) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _distances(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """In how many groups the parities of each two differ; more groups are folded into fewer."""
+    sizes = np.array([list(map(len, left)), list(map(len, right))])
+    out = np.zeros(sizes.shape[1], np.int64)
+    for x, y in {(int(a), int(b)) for a, b in sizes.T}:
+        at = np.flatnonzero((sizes[0] == x) & (sizes[1] == y))
+        for lo in range(0, len(at), AT_ONCE):
+            rows = at[lo : lo + AT_ONCE]
+            m, n = (np.frombuffer(b"".join(side[i] for i in rows.tolist()), np.uint64).reshape(len(rows), -1) for side in (left, right))
+            m, n = _folded(m, n.shape[1]), _folded(n, m.shape[1])
+            out[rows] = np.bitwise_count(m ^ n).sum(1, dtype=np.int64)
+    return out
+
+
+def _folded(m: np.ndarray, width: int) -> np.ndarray:
+    while m.shape[1] > width:
+        half = m.shape[1] // 2
+        m = m[:, :half] ^ m[:, half:]
+    return m
+
+
+def _possible(na: np.ndarray, nb: np.ndarray, left: list[bytes], right: list[bytes], percent: int) -> np.ndarray:
+    """Which pairs sizes and parities allow to link."""
+    need = -(-percent * (na + nb) // (100 + percent))
+    ok = np.minimum(na, nb) >= need
+    at = np.flatnonzero(ok)
+    far = _distances([left[i] for i in at.tolist()], [right[i] for i in at.tolist()])
+    ok[at] = far <= (na + nb - 2 * need)[at]
+    return ok
+
+
 def _profiles(texts: DataFrame, level: np.ndarray, width: int, percent: int) -> DataFrame:
     """Per row: size, two sums that identify the set, its short lists and its parities."""
 
@@ -91,8 +131,7 @@ def _profiles(texts: DataFrame, level: np.ndarray, width: int, percent: int) ->
                 sizes.append(n)
                 sums.append((mixed(s).sum(dtype=np.uint64), mixed(s * STEP + STEP).sum(dtype=np.uint64)))
                 lists.append(_signed(ordered[:take]))
-                odd = np.bincount((s >> np.uint64(64 - PARITY_BITS)).astype(np.int64), minlength=1 << PARITY_BITS) & 1
-                parities.append(np.packbits(odd.astype(np.uint8)).tobytes())
+                parities.append(_parities(s))
             first, second = (_signed(np.array([x[k] for x in sums], np.uint64)) for k in (0, 1))
             flat = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in lists])), pa.int32()), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(first), pa.array(second), flat, pa.array(parities, pa.binary())], ["id", "text_hash", "n", "s1", "s2", "lists", "parity"])
@@ -100,31 +139,36 @@ def _profiles(texts: DataFrame, level: np.ndarray, width: int, percent: int) ->
     return texts.mapInArrow(run, "id long, text_hash long, n long, s1 long, s2 long, lists array<long>, parity binary")
 
 
+def _whole_lists(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
+    """Columns of whole lists, of rows sorted by list (the first column); what ends a batch waits for the next."""
+    rest: list[np.ndarray] | None = None
+    for b in batches:
+        cols = [b.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        if rest is not None:
+            cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
+        if not len(cols[0]):
+            continue
+        cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
+        if cut:
+            yield [c[:cut] for c in cols]
+        rest = [c[cut:] for c in cols]
+    if rest is not None and len(rest[0]):
+        yield rest
+
+
+def _bounds(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edge = np.flatnonzero(np.diff(key)) + 1
+    return np.append(0, edge), np.append(edge, len(key))
+
+
 def _merged(percent: int):
     """Candidates of each shingle's list, from rows sorted by (shingle, n, node)."""
 
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-        """Columns of whole lists: what ends a batch waits for the next."""
-        rest: list[np.ndarray] | None = None
-        for b in batches:
-            cols = [b.column(c).to_numpy() for c in ("shingle", "n", "node")]
-            if rest is not None:
-                cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
-            if not len(cols[0]):
-                continue
-            cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
-            if cut:
-                yield tuple(c[:cut] for c in cols)
-            rest = [c[cut:] for c in cols]
-        if rest is not None and len(rest[0]):
-            yield tuple(rest)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shingle, n, node in lists(batches):
-            edge = np.flatnonzero(np.diff(shingle)) + 1
-            begin, end = np.append(0, edge), np.append(edge, len(shingle))
+        for shingle, n, node in _whole_lists(batches, ("shingle", "n", "node")):
+            begin, end = _bounds(shingle)
             size = end - begin
-            a, b, length = [], [], []
+            a, b = [], []
             for m in range(2, SHORT + 1):
                 at = begin[size == m]
                 for i in range(m):
@@ -132,7 +176,7 @@ def _merged(percent: int):
                         ok = at[n[at + i] * 100 >= percent * n[at + j]]
                         a.append(node[ok + i])
                         b.append(node[ok + j])
-            length += [np.zeros(sum(map(len, a)), np.int64)]
+            length = [np.zeros(sum(map(len, a)), np.int64)]
             for lo, hi in zip(begin[size > SHORT].tolist(), end[size > SHORT].tolist(), strict=True):
                 a.append(np.full(hi - lo, shingle[lo]))
                 b.append(node[lo:hi])
@@ -153,10 +197,7 @@ def _pruned(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             if not t.num_rows:
                 continue
             na, nb = (t.column(c).to_numpy() for c in ("na", "nb"))
-            pa_, pb = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint64).reshape(t.num_rows, -1) for c in ("pa", "pb"))
-            apart = np.bitwise_count(pa_ ^ pb).sum(1, dtype=np.int64)
-            need = -(-percent * (na + nb) // (100 + percent))
-            ok = (np.minimum(na, nb) >= need) & (apart <= na + nb - 2 * need)
+            ok = _possible(na, nb, t.column("pa").to_pylist(), t.column("pb").to_pylist(), percent)
             keep = pa.array(ok)
             yield pa.RecordBatch.from_arrays([t.column("a").filter(keep), t.column("b").filter(keep)], ["a", "b"])
 
@@ -178,6 +219,8 @@ def _sets(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            once = np.unique(b.column("node").to_numpy(), return_index=True)[1]  # repeated rows
+            b = b.take(pa.array(once))
             sets = [s.tobytes() for s in shingle_sets(b.column("text"), width)]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], ["node", "set"])
 
@@ -201,8 +244,7 @@ def _probed(percent: int):
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    once = sets.dropDuplicates(["node"])
-    both = pairs.join(once.toDF("a", "sa"), "a").join(once.toDF("b", "sb"), "b")
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     return settle(both.select("a", "b", "sa", "sb").mapInArrow(_probed(percent), "a long, b long"), "ngram-links")
 
 
@@ -229,25 +271,33 @@ def _verified(pairs: DataFrame, links: DataFrame | None, classes: DataFrame, tex
 
 
 def _across(percent: int):
-    """Pairs of a block of a long list, or of two, that lie in different components and pass both bounds."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n", kind="stable")
-        n, node, root, block = (pdf[c].to_numpy(np.int64) for c in ("n", "node", "root", "block"))
-        parity = np.frombuffer(b"".join(pdf["parity"]), np.uint64).reshape(len(pdf), -1)
-        two = pdf["lo"].iloc[0] != pdf["hi"].iloc[0]
-        ends = np.searchsorted(n, n * 100 // percent, "right")
-        a, b = [], []
-        for i in range(len(n)):
-            j = np.arange(i + 1, ends[i])
-            j = j[(root[j] != root[i]) & ((block[j] != block[i]) | (not two))]
-            if len(j):
-                need = -(-percent * (n[i] + n[j]) // (100 + percent))
-                j = j[(np.bitwise_count(parity[j] ^ parity[i]).sum(1, dtype=np.int64) <= n[i] + n[j] - 2 * need) & (n[i] >= need)]
-                a.append(np.full(len(j), node[i]))
-                b.append(node[j])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    """Pairs within a block of a long list, or between two, that lie in different components and pass both bounds.
+
+    Rows are sorted by (list, n); all lists of a batch are tried together, each row with
+    the one that stands 1, 2, ... places after it, until no list has such a pair of sizes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, n, node, root, block, two, parity in _whole_lists(batches, ("list", "n", "node", "root", "block", "two", "parity")):
+            begin, end = _bounds(key)
+            last, rows = np.repeat(end, end - begin), np.arange(len(key))
+            tried = np.zeros((0, 2), np.int64)
+            a, b = [tried[:, 0]], [tried[:, 0]]
+            step = 1
+            while len(rows := rows[rows + step < last[rows]]):
+                rows = rows[n[rows] * 100 >= percent * n[rows + step]]
+                at = rows[(root[rows] != root[rows + step]) & ((two[rows] == 0) | (block[rows] != block[rows + step]))]
+                a.append(at)
+                b.append(at + step)
+                step += 1
+            a, b = np.concatenate(a), np.concatenate(b)
+            first, second = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+            once = np.unique(np.stack([first, second], 1), axis=0, return_index=True)[1] if len(a) else a
+            a, b, first, second = a[once], b[once], first[once], second[once]
+            for lo in range(0, len(a), AT_ONCE):
+                i, j = a[lo : lo + AT_ONCE], b[lo : lo + AT_ONCE]
+                ok = _possible(n[i], n[j], parity[i].tolist(), parity[j].tolist(), percent)
+                yield pa.RecordBatch.from_arrays([pa.array(first[lo : lo + AT_ONCE][ok]), pa.array(second[lo : lo + AT_ONCE][ok])], ["a", "b"])
 
     return run
 
@@ -263,7 +313,8 @@ def _long_list_pairs(members: DataFrame, roots: DataFrame | None, classes: DataF
     blocks = F.ceil(F.col("length") / BLOCK).cast("int")
     at = at.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     at = at.withColumn("lo", F.least("block", F.col("other").cast("long"))).withColumn("hi", F.greatest("block", F.col("other").cast("long")))
-    return at.groupBy("shingle", "lo", "hi").applyInPandas(_across(percent), "a long, b long").distinct()
+    at = at.select(F.xxhash64("shingle", "lo", "hi").alias("list"), "n", "node", "root", "block", (F.col("lo") != F.col("hi")).cast("int").alias("two"), "parity")
+    return at.repartition("list").sortWithinPartitions("list", "n", "node").mapInArrow(_across(percent), "a long, b long").distinct()
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
