@@ -11,12 +11,12 @@ ones.
 
 Documents with equal sets are one class, and all that follows is done on classes. Two
 exact bounds prune candidates before their sets are read: the sizes, and the parities
-of groups of shingles, about two groups for each, which differ in no more places than
+of groups of shingles, about as many as shingles, which differ in no more places than
 the sets do.
 
 Components are wanted, not all pairs. A list of up to ``SHORT`` classes gives its pairs.
-A longer one, as large groups of near copies make them, gives each member's pair with
-the first one; when components are known, only pairs that they do not connect yet are
+A longer one, as large groups of near copies make them, gives each member's pairs with
+a few heads, drawn by a hash for each list; when components are known, only pairs that they do not connect yet are
 searched in it, in blocks of ``BLOCK`` members. No link between different components is
 lost, and no list is cut.
 """
@@ -39,6 +39,10 @@ WIDTH, PERCENT = 4, 85
 #: log2 of the counters of shingles, and of the least number of parities of a set.
 COUNTER_BITS, PARITY_BITS = 20, 8
 SHORT, BLOCK = 12, 2048
+#: Members of a long list that all others are tried with at first.
+HEADS = 2
+#: Members of another component that a document of a long list is tried with before all others.
+NEAREST = 4
 #: Pairs whose parities are compared at once.
 AT_ONCE = 1 << 15
 #: log2 of the bits that mark texts whose sets are read again.
@@ -80,8 +84,8 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _parities(s: np.ndarray) -> bytes:
-    """Bit g tells whether the set has an odd number of shingles in group g, of 2^k >= 2n groups."""
-    groups = 1 << max(PARITY_BITS, (2 * max(1, len(s)) - 1).bit_length())
+    """Bit g tells whether the set has an odd number of shingles in group g, of 2^k >= n groups."""
+    groups = 1 << max(PARITY_BITS, (max(1, len(s)) - 1).bit_length())
     odd = np.bincount(((s >> np.uint64(COUNTER_BITS)) & np.uint64(groups - 1)).astype(np.int64), minlength=groups) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -107,14 +111,26 @@ def _folded(m: np.ndarray, width: int) -> np.ndarray:
     return m
 
 
-def _possible(na: np.ndarray, nb: np.ndarray, left: list[bytes], right: list[bytes], percent: int) -> np.ndarray:
-    """Which pairs sizes and parities allow to link."""
+def _possible(na: np.ndarray, nb: np.ndarray, left: list[bytes], right: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs sizes and parities allow to link, and how far those are apart."""
     need = -(-percent * (na + nb) // (100 + percent))
     ok = np.minimum(na, nb) >= need
     at = np.flatnonzero(ok)
     far = _distances([left[i] for i in at.tolist()], [right[i] for i in at.tolist()])
-    ok[at] = far <= (na + nb - 2 * need)[at]
-    return ok
+    fits = far <= (na + nb - 2 * need)[at]
+    ok[at] = fits
+    return ok, far[fits]
+
+
+def _rank(node: np.ndarray, root: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """The place of each pair by distance among the pairs of its node with the same other component."""
+    order = np.lexsort((far, root, node))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(node[order]) != 0) | (np.diff(root[order]) != 0)
+    begin = np.flatnonzero(new)
+    out = np.empty(len(order), np.int64)
+    out[order] = np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))
+    return out
 
 
 def _profiles(texts: DataFrame, level: np.ndarray, width: int, percent: int) -> DataFrame:
@@ -197,7 +213,7 @@ def _pruned(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             if not t.num_rows:
                 continue
             na, nb = (t.column(c).to_numpy() for c in ("na", "nb"))
-            ok = _possible(na, nb, t.column("pa").to_pylist(), t.column("pb").to_pylist(), percent)
+            ok, _ = _possible(na, nb, t.column("pa").to_pylist(), t.column("pb").to_pylist(), percent)
             keep = pa.array(ok)
             yield pa.RecordBatch.from_arrays([t.column("a").filter(keep), t.column("b").filter(keep)], ["a", "b"])
 
@@ -270,11 +286,12 @@ def _verified(pairs: DataFrame, links: DataFrame | None, classes: DataFrame, tex
     return links, roots
 
 
-def _across(percent: int):
+def _across(percent: int, nearest: int | None):
     """Pairs within a block of a long list, or between two, that lie in different components and pass both bounds.
 
     Rows are sorted by (list, n); all lists of a batch are tried together, each row with
     the one that stands 1, 2, ... places after it, until no list has such a pair of sizes.
+    With ``nearest``, a document gives its pairs with so many members of another component.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,15 +311,24 @@ def _across(percent: int):
             first, second = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
             once = np.unique(np.stack([first, second], 1), axis=0, return_index=True)[1] if len(a) else a
             a, b, first, second = a[once], b[once], first[once], second[once]
+            keep, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for lo in range(0, len(a), AT_ONCE):
                 i, j = a[lo : lo + AT_ONCE], b[lo : lo + AT_ONCE]
-                ok = _possible(n[i], n[j], parity[i].tolist(), parity[j].tolist(), percent)
-                yield pa.RecordBatch.from_arrays([pa.array(first[lo : lo + AT_ONCE][ok]), pa.array(second[lo : lo + AT_ONCE][ok])], ["a", "b"])
+                ok, apart = _possible(n[i], n[j], parity[i].tolist(), parity[j].tolist(), percent)
+                keep.append(lo + np.flatnonzero(ok))
+                far.append(apart)
+            keep, far = np.concatenate(keep), np.concatenate(far)
+            if nearest is not None and len(keep):
+                i, j = a[keep], b[keep]
+                keep = keep[(_rank(node[i], root[j], far) < nearest) & (_rank(node[j], root[i], far) < nearest)]
+            for lo in range(0, len(keep), AT_ONCE):
+                part = keep[lo : lo + AT_ONCE]
+                yield pa.RecordBatch.from_arrays([pa.array(first[part]), pa.array(second[part])], ["a", "b"])
 
     return run
 
 
-def _long_list_pairs(members: DataFrame, roots: DataFrame | None, classes: DataFrame, percent: int) -> DataFrame:
+def _long_list_pairs(members: DataFrame, roots: DataFrame | None, classes: DataFrame, percent: int, nearest: int | None) -> DataFrame:
     """What long lists still have to offer when ``roots`` are known; ``members``: shingle, node and length of the list."""
     if roots is None:
         at = members.withColumn("root", F.col("node"))
@@ -314,7 +340,7 @@ def _long_list_pairs(members: DataFrame, roots: DataFrame | None, classes: DataF
     at = at.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     at = at.withColumn("lo", F.least("block", F.col("other").cast("long"))).withColumn("hi", F.greatest("block", F.col("other").cast("long")))
     at = at.select(F.xxhash64("shingle", "lo", "hi").alias("list"), "n", "node", "root", "block", (F.col("lo") != F.col("hi")).cast("int").alias("two"), "parity")
-    return at.repartition("list").sortWithinPartitions("list", "n", "node").mapInArrow(_across(percent), "a long, b long").distinct()
+    return at.repartition("list").sortWithinPartitions("list", "n", "node").mapInArrow(_across(percent, nearest), "a long, b long").distinct()
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -337,14 +363,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     postings = classes.select(F.explode("lists").alias("shingle"), "n", "node").repartition("shingle").sortWithinPartitions("shingle", "n", "node")
     merged = settle(postings.mapInArrow(_merged(percent), "a long, b long, length long").distinct(), "ngram-merged")
     members = merged.where("length > 0").select(F.col("a").alias("shingle"), F.col("b").alias("node"), "length")
-    heads = members.groupBy("shingle").agg(F.min("node").alias("head"))
-    starred = members.join(heads, "shingle").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    drawn = [F.min_by("node", F.xxhash64("node", "shingle", F.lit(k))) for k in range(HEADS)]
+    heads = members.groupBy("shingle").agg(F.array_distinct(F.array(*drawn)).alias("heads"))
+    starred = members.join(heads, "shingle").select(F.explode("heads").alias("head"), "node").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"))
     pairs = merged.where("length = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(starred).where("a < b").distinct()
     links, roots = _verified(settle(_pruned(pairs, classes, percent), "ngram-pairs"), None, classes, texts, width, percent)
-    across = _long_list_pairs(members, roots, classes, percent)
-    across = settle(_apart(across, roots) if roots is not None else across, "ngram-across")
-    if not across.isEmpty():
-        links, roots = _verified(across, links, classes, texts, width, percent)
+    for nearest in (NEAREST, None):  # the second pass tries all that the first left apart
+        across = settle(_long_list_pairs(members, roots, classes, percent, nearest), "ngram-across")
+        if not across.isEmpty():
+            links, roots = _verified(across, links, classes, texts, width, percent)
     named = classes.select(*key, "node", "first", "class_size")
     if roots is None:
         named = named.withColumn("root", F.col("node"))
