@@ -40,7 +40,7 @@ WIDTH, PERCENT = 4, 85
 COUNTER_BITS, PARITY_BITS = 20, 8
 SHORT, BLOCK = 12, 2048
 #: Members of a long list that all others are tried with at first.
-HEADS = 2
+HEADS = 1
 #: Members of another component that a document of a long list is tried with before all others.
 NEAREST = 4
 #: Pairs whose parities are compared at once.

@@ -21,7 +21,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 MIX1, MIX2, STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93)
 #: Bytes that are hashed at once.
-SLICE = 2 << 20
+SLICE = 1 << 19
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
