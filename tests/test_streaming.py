@@ -1,6 +1,9 @@
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.operators.series import with_index
+from tidegauge.plans.queries import QUERIES
 from tidegauge.sources import synthetic
 from tidegauge.streaming import detector, drift, windowed
 
@@ -37,3 +40,40 @@ def test_drift(spark):
     assert any(r.idx >= 100 for r in drift.detect_drift(s, "page_hinkley", limit=20.0).collect())
     errors = with_index(synthetic.change_point(spark, 300, 150, 0.0, 1.0, 0.0))
     assert drift.detect_drift(errors, "ddm").count() >= 1 and drift.detect_drift(errors, "eddm").count() == 0
+
+
+@pytest.fixture(scope="module")
+def long_events(spark, tmp_path_factory):
+    """3000 points of one event type: noise, an outlier at 2300, another level from 2500 on."""
+    d = str(tmp_path_factory.mktemp("long"))
+    v = np.random.default_rng(5).normal(size=3000)
+    v[2300] += 40
+    v[2500:] += 30
+    spark.createDataFrame([("click", i, float(x)) for i, x in enumerate(v)], "event_type string, t long, value double").select("event_type", F.timestamp_seconds("t").cast("timestamp_ntz").alias("ts"), "value").write.parquet(f"{d}/events.parquet")
+    return d
+
+
+@pytest.mark.parametrize("name", ["stream_zscore", "stream_modified_zscore", "stream_iqr", "stream_volatility", "stream_adaptive", *(f"drift_{m}" for m in drift.DETECTORS)])
+def test_replays_take_the_whole_series(spark, long_events, monkeypatch, name):
+    monkeypatch.setattr(detector, "replay", lambda s, **_: s)
+    monkeypatch.setattr(drift, "detect_drift", lambda s, _: s)
+    assert QUERIES[name](spark, long_events).count() == 3000
+
+
+def test_late_anomalies_and_drifts_are_found(spark, long_events):
+    for m in ("zscore", "modified_zscore", "iqr", "adaptive"):
+        assert 40 < max(r.value for r in QUERIES[f"stream_{m}"](spark, long_events).where("ts < timestamp_seconds(2500)").collect()) < 50
+    for m in ("adwin", "page_hinkley"):
+        assert any(r.idx >= 2500 for r in QUERIES[f"drift_{m}"](spark, long_events).collect())
+
+
+def test_adwin_equals_means_of_the_halves():
+    x = np.repeat([0.0, 5.0, 1.0], 200) + np.random.default_rng(6).normal(size=600)
+    a, window, variance = drift.Adwin(), [], 0.0
+    for v in x.tolist():
+        window.append(v)
+        half = len(window) // 2
+        want = len(window) > 2 and abs(np.mean(window[:half]) - np.mean(window[half:])) > 0.5 * (1 + variance) ** 0.5
+        window = window[half:] if want else window
+        variance = float(np.var(window))
+        assert a.push(v) == want and abs(a.variance - variance) < 1e-9

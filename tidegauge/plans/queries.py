@@ -384,10 +384,10 @@ query("quality_trend")(on(events, lambda s: quality.quality_trend(quality.window
 # --- streams replayed from tables ---------------------------------------------------------
 
 for _m in ("zscore", "modified_zscore", "iqr", "volatility"):
-    query(f"stream_{_m}")(on(events, lambda s, m=_m: detector.replay(s.where("idx < 2000"), method=m, threshold=2.5 if m != "iqr" else 0.5, size=50)))
-query("stream_adaptive")(on(events, lambda s: detector.replay(s.where("idx < 2000"), method="zscore", threshold=2.5, size=50, adaptive=True)))
+    query(f"stream_{_m}")(on(events, lambda s, m=_m: detector.replay(s, method=m, threshold=2.5 if m != "iqr" else 0.5, size=50)))
+query("stream_adaptive")(on(events, lambda s: detector.replay(s, method="zscore", threshold=2.5, size=50, adaptive=True)))
 for _m in drift.DETECTORS:
-    query(f"drift_{_m}")(on(events, lambda s, m=_m: drift.detect_drift(s.where("idx < 2000"), m)))
+    query(f"drift_{_m}")(on(events, lambda s, m=_m: drift.detect_drift(s, m)))
 
 
 # --- models, sources, composites ----------------------------------------------------------

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections import deque
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -15,18 +14,30 @@ class Adwin:
     """Compares the means of the two halves of a window, which loses its older half at a drift."""
 
     def __init__(self, delta: float = 0.5):
-        self.delta, self.window, self.variance = delta, deque(), 0.0
+        self.delta, self.variance = delta, 0.0
+        self._keep([])
+
+    def _keep(self, window: list[float]) -> None:
+        """Sums up to each value, less a base near them, so a push needn't read the window."""
+        x = np.array(window, float)
+        self.window, self.base = window, float(x.mean()) if window else None
+        d = x - self.base if window else x
+        self.sums, self.squares = [0.0, *np.cumsum(d).tolist()], float((d * d).sum())
 
     def push(self, v: float) -> bool:
+        if self.base is None:
+            self.base = v
+        d = v - self.base
         self.window.append(v)
-        x = np.array(self.window)
-        half = len(x) // 2
-        drift = len(x) > 2 and abs(x[:half].mean() - x[half:].mean()) > self.delta * math.sqrt(1 + self.variance)
+        self.sums.append(self.sums[-1] + d)
+        self.squares += d * d
+        n = len(self.window)
+        half = n // 2
+        drift = n > 2 and abs(self.sums[half] / half - (self.sums[-1] - self.sums[half]) / (n - half)) > self.delta * math.sqrt(1 + self.variance)
         if drift:
-            for _ in range(half):
-                self.window.popleft()
-            x = x[half:]
-        self.variance = float(x.var())
+            self._keep(self.window[half:])
+            n -= half
+        self.variance = max(0.0, self.squares / n - (self.sums[-1] / n) ** 2)
         return bool(drift)
 
 
