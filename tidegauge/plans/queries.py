@@ -144,7 +144,7 @@ query("gaps", f"""WITH {EVENTS}{_GAPS}, u AS (SELECT series_id, quantile_cont(ga
 SELECT series_id, gap_start, ts AS gap_end, round(gap_s, 6) AS gap_s, (floor(gap_s / usual_s + .5) - 1)::BIGINT AS missing_points FROM g JOIN u USING (series_id) WHERE gap_s > 5 * usual_s""")(on(events, lambda s: windows.gaps(s, 5.0, None)))
 query("temporal_coverage", f"""WITH {EVENTS}{_GAPS} SELECT series_id, count(*) AS n, round(avg(gap_s), 6) AS mean_s, round(stddev_pop(gap_s), 6) AS std_s, min(ts) AS start, max(ts) AS "end", round(stddev_pop(gap_s) / avg(gap_s), 6) AS cv, stddev_pop(gap_s) / avg(gap_s) < .1 AS is_regular FROM g GROUP BY 1""")(on(events, windows.temporal_coverage))
 query("average_ranks", f"WITH {EVENTS} SELECT series_id, idx, rank() OVER (PARTITION BY series_id ORDER BY value) + (count(*) OVER (PARTITION BY series_id, value) - 1) / 2 AS rank FROM e")(on(events, lambda s: windows.average_ranks(s, "value", ["series_id"]).select("series_id", "idx", "rank")))
-query("session_windows", None)(lambda spark, d: windows.session_windows(read(spark, d, "events").where("user_id < 50"), "user_id", "ts", "value", "30 minutes"))
+query("session_windows", None)(lambda spark, d: windows.session_windows(read(spark, d, "events"), "user_id", "ts", "value", "30 minutes"))
 query("sliding_windows", """SELECT event_type AS series_id, s AS start, s + INTERVAL '2 hours' AS "end", count(*) AS n, round(avg(value), 6) AS mean, round(min(value), 6) AS min, round(max(value), 6) AS max
 FROM (SELECT *, unnest([time_bucket(INTERVAL '1 hour', ts), time_bucket(INTERVAL '1 hour', ts) - INTERVAL '1 hour']) AS s FROM events) GROUP BY 1, 2""")(
     lambda spark, d: windowed.tumbling(windowed.as_events(read(spark, d, "events"), "event_type", "ts", "value"), "2 hours", slide="1 hour"))
