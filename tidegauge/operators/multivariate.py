@@ -8,6 +8,7 @@ aligned values are collected for each system.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -253,17 +254,32 @@ def warp(x: np.ndarray, y: np.ndarray, window: int | None = None, pattern: str =
     return float(cost[n - 1, m - 1]), path[::-1]
 
 
+def _by_diagonals(x: np.ndarray, y: np.ndarray, local: Callable, least: Callable) -> float:
+    """Last cell of r[i, j] = local(x[i], y[j]) + least(r[i-1, j-1], r[i-1, j], r[i, j-1]), an anti-diagonal at a time, three of them held."""
+    n, m = len(x), len(y)
+    older, old = np.full(n + 1, np.inf), np.full(n + 1, np.inf)
+    older[0] = 0
+    for k in range(n + m - 1):
+        lo, hi = max(0, k - m + 1), min(n, k + 1)
+        new = np.full(n + 1, np.inf)
+        new[lo + 1 : hi + 1] = local(x[lo:hi], y[k - hi + 1 : k - lo + 1][::-1]) + least(older[lo:hi], old[lo:hi], old[lo + 1 : hi + 1])
+        older, old = old, new
+    return float(old[n])
+
+
+def warp_distance(x: np.ndarray, y: np.ndarray) -> float:
+    """The distance of ``warp`` without its path, for long series."""
+    return _by_diagonals(x, y, lambda a, b: np.abs(a - b), lambda a, b, c: np.minimum(np.minimum(a, b), c))
+
+
 def soft_warp(x: np.ndarray, y: np.ndarray, gamma: float = 1.0) -> float:
     """Soft-DTW: the smooth minimum over all paths of squared differences."""
-    n, m = len(x), len(y)
-    r = np.full((n + 1, m + 1), np.inf)
-    r[0, 0] = 0
-    for i in range(n):
-        for j in range(m):
-            v = np.array([r[i, j], r[i, j + 1], r[i + 1, j]])
-            low = v.min()
-            r[i + 1, j + 1] = (x[i] - y[j]) ** 2 + (low - gamma * math.log(np.exp(-(v - low) / gamma).sum()) if math.isfinite(low) else low)
-    return float(r[n, m])
+
+    def least(*v: np.ndarray) -> np.ndarray:
+        low = np.minimum(np.minimum(v[0], v[1]), v[2])
+        return low - gamma * np.log(sum(np.exp(-(a - low) / gamma) for a in v))
+
+    return _by_diagonals(x, y, lambda a, b: (a - b) ** 2, least)
 
 
 def cross_correlation_distance(x: np.ndarray, y: np.ndarray) -> float:
@@ -282,16 +298,16 @@ DISTANCES = {
     "euclidean": lambda a, b: float(np.linalg.norm(np.subtract(*_cut(a, b)))),
     "manhattan": lambda a, b: float(np.abs(np.subtract(*_cut(a, b))).sum()),
     "cosine": lambda a, b: 1 - float(np.dot(*_cut(a, b)) / max(1e-300, np.prod([np.linalg.norm(v) for v in _cut(a, b)]))),
-    "dtw": lambda a, b: warp(a, b)[0],
+    "dtw": warp_distance,
     "soft_dtw": soft_warp,
     "cross_correlation": cross_correlation_distance,
 }
 
 
-def pairwise_distances(series: DataFrame, measure: str = "dtw", points: int = 200) -> DataFrame:
-    """Distance of each pair of series over their first ``points`` values."""
+def pairwise_distances(series: DataFrame, measure: str = "dtw") -> DataFrame:
+    """Distance of each pair of series over all their values."""
     fn = DISTANCES[measure]
-    arrays = valid(series).where(F.col("idx") < points).groupBy(KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda r: r["value"]).alias("x"))
+    arrays = valid(series).groupBy(KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda r: r["value"]).alias("x"))
 
     @F.pandas_udf("double")
     def distance(x: pd.Series, y: pd.Series) -> pd.Series:

@@ -292,12 +292,12 @@ query("covariance", f"WITH {ORDERS} SELECT a.series_id AS var1, b.series_id AS v
 query("principal_components")(on(orders_daily, multivariate.principal_components))
 query("component_scores")(on(orders_daily, lambda s: multivariate.component_scores(s, multivariate.principal_components(s))))
 for _measure in multivariate.DISTANCES:
-    query(f"distance_{_measure}")(on(flags_daily, lambda s, m=_measure: multivariate.pairwise_distances(s, m, 60)))
+    query(f"distance_{_measure}")(on(flags_daily, lambda s, m=_measure: multivariate.pairwise_distances(s, m)))
 _FIRST = f"{FLAGS}, g AS (SELECT a.series_id AS var1, b.series_id AS var2, a.value AS x, b.value AS y FROM (SELECT * FROM f WHERE least(idx, 60) < 60) a JOIN (SELECT * FROM f WHERE least(idx, 60) < 60) b ON a.idx = b.idx AND a.series_id < b.series_id)"
 SQL["distance_euclidean"] = f"WITH {_FIRST} SELECT var1, var2, round(sqrt(sum((x - y) ** 2)), 6) AS distance FROM g GROUP BY 1, 2"
 SQL["distance_manhattan"] = f"WITH {_FIRST} SELECT var1, var2, round(sum(abs(x - y)), 6) AS distance FROM g GROUP BY 1, 2"
 SQL["distance_cosine"] = f"WITH {_FIRST} SELECT var1, var2, round(1 - sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))), 6) AS distance FROM g GROUP BY 1, 2"
-query("nearest_series")(on(flags_daily, lambda s: multivariate.nearest_series(multivariate.pairwise_distances(s, "euclidean", 60), 2)))
+query("nearest_series")(on(flags_daily, lambda s: multivariate.nearest_series(multivariate.pairwise_distances(s, "euclidean"), 2)))
 query("vector_distances", """WITH q AS (SELECT embedding AS a FROM embeddings WHERE vec_id = 0)
 SELECT vec_id, round(sqrt(list_sum(list_transform(list_zip(embedding, a), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2))), 6) AS euclidean, round(list_sum(list_transform(list_zip(embedding, a), lambda p: abs(p[1]::DOUBLE - p[2]::DOUBLE))), 6) AS manhattan FROM embeddings, q""")(
     lambda spark, d: (lambda v: v.join(F.broadcast(v.where("vec_id = 0").select(F.col("e").alias("a")))).select("vec_id", expr.euclidean(F.col("e"), F.col("a")).alias("euclidean"), expr.manhattan(F.col("e"), F.col("a")).alias("manhattan")))(read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))))
