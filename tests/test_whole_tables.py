@@ -47,3 +47,16 @@ def test_warping_by_diagonals():
             for j in range(m):
                 r[i + 1, j + 1] = (x[i] - y[j]) ** 2 - np.log(np.exp(-np.array([r[i, j], r[i, j + 1], r[i + 1, j]])).sum())
         assert abs(multivariate.soft_warp(x, y) - r[n, m]) < 1e-9 and multivariate.warp_distance(x, y) == multivariate.warp(x, y)[0]
+
+
+def test_consistency_of_all_cycles(spark, tmp_path):
+    x = np.sin(np.arange(60 * 7) * 2 * np.pi / 7) * 100 + 500
+    x[50 * 7 :] = np.random.default_rng(10).normal(500, 100, 10 * 7)
+    x[3 * 7 : 4 * 7] = 500
+    x = np.append(x, [1.0, 2.0]).round(2)
+    rows = [("1-URGENT", i, float(v)) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "o_orderpriority string, i int, o_totalprice double").select("o_orderpriority", F.date_add(F.lit("1995-01-01").cast("date"), F.col("i")).alias("o_orderdate"), "o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    cycles = np.delete(x[:420].reshape(60, 7), 3, 0)
+    r = np.corrcoef(cycles)[np.triu_indices(59, 1)]
+    got = QUERIES["pattern_consistency"](spark, str(tmp_path)).first()
+    assert got.n_pairs == 59 * 58 // 2 and abs(got.consistency - r.mean()) < 1e-6

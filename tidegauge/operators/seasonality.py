@@ -68,12 +68,14 @@ def seasonal_strength(series: DataFrame, period: int) -> DataFrame:
     return p.groupBy(KEY).agg(F.sum(F.col("k") * F.col("e") ** 2).alias("between")).join(t, KEY).select(KEY, safe_div(F.col("between"), F.col("total")).alias("strength"))
 
 
-def pattern_consistency(series: DataFrame, period: int, most: int = 50) -> DataFrame:
-    """Mean correlation of the first ``most`` whole cycles with each other."""
-    rows = _centred(series).select(KEY, F.floor(F.col("i") / period).alias("c"), (F.col("i") % period).alias("phase"), "value", "n").where((F.col("c") < F.floor(F.col("n") / period)) & (F.col("c") < most))
-    a, b = rows.select(KEY, "phase", F.col("c").alias("c1"), F.col("value").alias("x")), rows.select(KEY, "phase", F.col("c").alias("c2"), F.col("value").alias("y"))
-    r = a.join(b, [KEY, "phase"]).where("c1 < c2").groupBy(KEY, "c1", "c2").agg(safe_div(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("r"))
-    return r.groupBy(KEY).agg(F.avg("r").alias("consistency"), F.count("r").alias("n_pairs"))
+def pattern_consistency(series: DataFrame, period: int) -> DataFrame:
+    """Mean correlation of all pairs of whole cycles: with each of the k cycles scaled to unit norm it is (|sum z|^2 - k) / (k (k - 1)). Constant cycles have none."""
+    rows = _centred(series).select(KEY, F.floor(F.col("i") / period).alias("c"), (F.col("i") % period).alias("phase"), "value", "n").where(F.col("c") < F.floor(F.col("n") / period))
+    cycles = rows.groupBy(KEY, "c").agg(F.avg("value").alias("mu"), F.stddev_pop("value").alias("sd"))
+    z = rows.join(cycles, [KEY, "c"]).where("sd > 0").groupBy(KEY, "phase").agg(F.sum((F.col("value") - F.col("mu")) / (F.col("sd") * math.sqrt(period))).alias("z"))
+    k = cycles.groupBy(KEY).agg(F.count("*").alias("cycles"), F.count_if(F.col("sd") > 0).alias("k")).where("cycles > 1")
+    pairs = F.col("k") * (F.col("k") - 1)
+    return k.join(z.groupBy(KEY).agg(F.sum(F.col("z") ** 2).alias("total")), KEY, "left").select(KEY, safe_div(F.col("total") - F.col("k"), pairs).alias("consistency"), (pairs / 2).cast("long").alias("n_pairs"))
 
 
 def adjust(series: DataFrame, period: int, multiplicative: bool = False) -> DataFrame:

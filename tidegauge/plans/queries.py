@@ -311,7 +311,7 @@ query("auto_period")(on(orders_daily, seasonality.auto_period))
 query("seasonal_profile", f"WITH {ORDERS}, g AS (SELECT series_id, avg(value) AS gm FROM o GROUP BY 1) SELECT series_id, (idx % 7)::INT AS phase, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, count(*) AS n, round(avg(value - gm), 6) AS effect FROM o JOIN g USING (series_id) GROUP BY 1, 2")(on(orders_daily, lambda s: seasonality.seasonal_profile(s, 7)))
 query("seasonal_strength", f"""WITH {ORDERS}, g AS (SELECT series_id, avg(value) AS gm FROM o GROUP BY 1), x AS (SELECT series_id, idx % 7 AS p, value - gm AS x FROM o JOIN g USING (series_id)), b AS (SELECT series_id, p, count(*) * avg(x) ** 2 AS b FROM x GROUP BY 1, 2), t AS (SELECT series_id, sum(x ** 2) AS t FROM x GROUP BY 1)
 SELECT series_id, round(sum(b) / any_value(t), 6) AS strength FROM b JOIN t USING (series_id) GROUP BY 1""")(on(orders_daily, lambda s: seasonality.seasonal_strength(s, 7)))
-query("pattern_consistency")(on(orders_daily, lambda s: seasonality.pattern_consistency(s, 7, 20)))
+query("pattern_consistency")(on(orders_daily, lambda s: seasonality.pattern_consistency(s, 7)))
 query("adjust_additive")(on(orders_daily, lambda s: seasonality.adjust(s, 7)))
 query("adjust_multiplicative")(on(orders_daily, lambda s: seasonality.adjust(s, 7, True)))
 query("adjust_x13")(on(orders_daily, lambda s: seasonality.adjust_x13(s, 12)))
