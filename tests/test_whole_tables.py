@@ -60,3 +60,14 @@ def test_consistency_of_all_cycles(spark, tmp_path):
     r = np.corrcoef(cycles)[np.triu_indices(59, 1)]
     got = QUERIES["pattern_consistency"](spark, str(tmp_path)).first()
     assert got.n_pairs == 59 * 58 // 2 and abs(got.consistency - r.mean()) < 1e-6
+
+
+def test_complexity_of_whole_series(spark, flags):
+    d, *both = flags
+
+    def phi(x, m):
+        w = np.lib.stride_tricks.sliding_window_view(x, m)
+        return np.log((np.abs(w[:, None] - w[None]).max(2) <= 0.2 * np.abs(x).mean()).mean(1)).mean()
+
+    got = {r.series_id: r.approximate_entropy for r in QUERIES["complexity"](spark, d).collect()}
+    assert all(abs(got[f] - (phi(x, 2) - phi(x, 3))) < 1e-5 for f, x in zip("AN", both, strict=True))

@@ -341,7 +341,7 @@ query("cusum_changepoints")(on(events, stationarity.cusum_changepoints))
 query("pelt")(on(orders_daily, stationarity.pelt))
 query("binary_segmentation")(on(events, stationarity.binary_segmentation))
 query("variance_changes")(on(events, stationarity.variance_changes))
-query("complexity")(on(flags_daily, lambda s: detectors_np.complexity(s.where("idx < 500"))))
+query("complexity")(on(flags_daily, detectors_np.complexity))
 
 # --- forecasting --------------------------------------------------------------------------
 
