@@ -35,3 +35,12 @@ def test_all_words_of_pages_stay(spark):
     odd = spark.createDataFrame([(None, "<p>a", "t"), (1, None, "t"), (1, None, "t")], "page_id long, html string, text string")
     assert sorted((r.page_id or 0, r.text) for r in extract_text(odd).collect()) == [(0, "a"), (1, ""), (1, "")]
     assert extract_text(odd.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("source", "want"), [
+    ("<table><tr>note<td>x", "note\nx"), ("<table><tr><form><td>Name</td></form></tr></table>", "Name"), ("<table><form hidden><tr><td>a</form><td>b</table>c", "a  b\n\nc"),
+    ("<table><tr><div>k<td>x</td></div><td>y</table>", "k\nx  y"), ("<table><tr><td>a</td><script>s</script>t<i hidden>no</i><td>b</tr></table>", "t\na  b"),
+    ("<table><colgroup>cg<col><tr><td>a<td>b</table>", "cg\na  b"), ("<table><tr><td>a<p>b<form>f<td>c</form></table>", "a  c\nb\nf"), ("<table><tr hidden>n<td>x<tr><td>y</table>", "y"),
+])
+def test_rows_keep_what_is_not_a_cell(source, want):
+    assert html_to_text(source) == want

@@ -41,6 +41,12 @@ ENDS = {
     "tfoot": (_NAMES("td th tr tbody thead tfoot caption colgroup"), _CELL),
     "body": (_NAMES("head"), _NAMES("html")),
 }
+#: For a start tag of a table part: the elements directly inside which it stands. What else is open within them ends, as its content is moved before the table.
+_TABLE = _NAMES("table template html")
+_GROUP = _TABLE | _NAMES("tbody thead tfoot")
+WITHIN = {"td": _GROUP | {"tr"}, "th": _GROUP | {"tr"}, "tr": _GROUP, "tbody": _TABLE, "thead": _TABLE, "tfoot": _TABLE}
+#: A form that opens directly inside these holds nothing.
+ROWS = _NAMES("table tbody thead tfoot tr")
 #: Start tags that end an open paragraph, and the elements that shelter it.
 ENDS_P = (BLOCK | {"hr"}) - _NAMES("html body option optgroup caption tr tbody thead tfoot td th legend")
 SHELTER = _NAMES("td th caption button object table html")
@@ -121,9 +127,14 @@ def build(source: str) -> Node:
             close(_NAMES("p"), SHELTER)
         if name in ENDS:
             close(*ENDS[name])
+        if name in WITHIN:
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].name in WITHIN[name]:
+                    del stack[i + 1 :]
+                    break
         node = Node(name, m[3])
         stack[-1].children.append(node)
-        if name in VOID or m[3].endswith("/") and name in ("svg", "path"):
+        if name in VOID or m[3].endswith("/") and name in ("svg", "path") or name == "form" and stack[-1].name in ROWS:
             continue
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(source, at)
@@ -219,18 +230,22 @@ def _render(node: Node, w: _Writer, depth: int, pre: bool) -> None:
 
 
 def _rows(node: Node) -> Iterator[tuple[str, list[Node]]]:
+    """The rows of a table by their cells, and whatever else stands between rows or cells."""
+    row = []
     for child in node.children:
         if isinstance(child, Node) and not child.hidden:
-            if child.name == "tr":
-                yield "row", [c for c in child.children if isinstance(c, Node) and c.name in ("td", "th") and not c.hidden]
-            elif child.name in ("tbody", "thead", "tfoot", "form"):
+            if node.name == "tr" and child.name in ("td", "th"):
+                row.append(child)
+            elif child.name in ("tr", "tbody", "thead", "tfoot", "colgroup"):
                 yield from _rows(child)
-            elif child.name not in ("colgroup", "col"):
+            else:
                 yield "other", [child]
         elif isinstance(child, str) and not child.isspace():
             text = Node("span")
             text.children.append(child)
             yield "other", [text]
+    if node.name == "tr":
+        yield "row", row
 
 
 def _table(node: Node, depth: int) -> str:
