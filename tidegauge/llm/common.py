@@ -20,9 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder shared by the driver and all executors; a local one only where the session names none."""
+    """The folder shared by the driver and all executors. Without one, a local folder serves a local session; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return found or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -49,7 +53,17 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete what :func:`settle` wrote; all that reads the tables must be written already."""
+    for df in tables:
+        path = getattr(df, "_settled_at", None) if df is not None else None
+        if path:
+            _remove(df.sparkSession, path)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
-
-MOST_STEPS = 60
+from .common import release, settle
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,12 +25,11 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (its component's smallest node) of each node that ``edges`` (``a``, ``b``: long) link to another."""
     now = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
-    for _ in range(MOST_STEPS):
-        now = settle(_stars(_stars(now, True), False), "components")
+    while True:  # each step shortens the ways to the smallest node, so it ends
+        before, now = now, settle(_stars(_stars(now, True), False), "components")
+        release(before)
         row = now.agg(F.count("*"), F.countDistinct("u")).first()
         # done when each node has one edge, and no edge ends where another begins
         if row[0] == row[1] and now.join(now.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
             break
-    else:
-        raise RuntimeError(f"components not found within {MOST_STEPS} steps")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -1,13 +1,21 @@
 """Similarity join on word shingles by T-occurrence search in the manner of DivideSkip.
 
 Documents with n shingles can only link to those that share T = ceil(threshold * n) of
-them. Of a document's inverted lists the T - 1 longest may therefore be skipped, and
-every partner stands on one of the n - T + 1 others. These short lists are merged, by
-Spark's sort on the shingle, which spills; the long ones are probed afterwards, by
-binary search in the candidate's sorted shingles, until the required overlap is counted.
-Any order of the shingles that all documents share gives the same result; shingles
-counted as frequent, in a table of fixed size, come last, so their lists are the skipped
-ones.
+them. A document's inverted lists are divided: its L longest are skipped, and partners
+stand on at least T - L of the others, the short ones. L is chosen by cost: T - 1 would
+leave the fewest lists to merge and ask for one occurrence; an eighth more lists are
+merged than that leaves, which costs an eighth more rows, and as many more occurrences are asked for
+(``_occurrences``). The short lists are merged by Spark's sort on the shingle, which
+spills, instead of a heap in memory; occurrences are counted by pair. Candidates
+that reach T - L are probed in the long lists by binary search. "Is y on the list of g" and "is g in the
+sorted shingles of y" are the same bit; the search reads the latter, which is stored
+with the candidate.
+
+Lists count as long in two steps. A table of counters over all shingles finds the very
+frequent ones. The lists of the documents' short shingles are then measured exactly, and those of over ``SHORT`` classes
+count as long too; documents that had one choose their short lists again, from their
+text. Both tables have a fixed size; any order of shingles that all documents share
+gives the same result.
 
 Documents with equal sets are one class, and all that follows is done on classes. Two
 exact bounds prune candidates before their sets are read: the sizes, and the parities
@@ -15,10 +23,11 @@ of groups of shingles, about as many as shingles, which differ in no more places
 the sets do.
 
 Components are wanted, not all pairs. A list of up to ``SHORT`` classes gives its pairs.
-A longer one, as large groups of near copies make them, gives each member's pairs with
-a few heads, drawn by a hash for each list; when components are known, only pairs that they do not connect yet are
-searched in it, in blocks of ``BLOCK`` members. No link between different components is
-lost, and no list is cut.
+A longer one, as large groups of near copies make them, gives each member's pair with
+one head, drawn by a hash for each list. When components are known, the members outside
+of a list's largest component are its queries, which are tried with all members in
+blocks of ``BLOCK``; lists that lie in one component are done. No link between different
+components is lost, and no list is cut.
 """
 
 from __future__ import annotations
@@ -31,23 +40,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bits import bit_array, bit_is_set
-from .common import settle
+from .common import release, settle
 from .components import components
 from .shingles import STEP, mixed, shingle_sets
 
 WIDTH, PERCENT = 4, 85
 #: log2 of the counters of shingles, and of the least number of parities of a set.
 COUNTER_BITS, PARITY_BITS = 20, 8
+#: Members of a list that gives all its pairs, and of a block of a longer one.
 SHORT, BLOCK = 12, 2048
-#: Members of a long list that all others are tried with at first.
-HEADS = 1
-#: Members of another component that a document of a long list is tried with before all others.
-NEAREST = 4
-#: Pairs whose parities are compared at once.
-AT_ONCE = 1 << 15
+#: log2 of the slots of the table of measured lists.
+LEVEL_BITS = 22
+#: How many times as many parities the members of long lists have.
+FINER = 16
+#: Pairs whose parities are compared at once, and 64-bit words of parities.
+AT_ONCE, WORDS_AT_ONCE = 1 << 15, 1 << 19
 #: log2 of the bits that mark texts whose sets are read again.
 MARK_BITS = 22
-_MASK = np.uint64((1 << COUNTER_BITS) - 1)
+_MASK, _LEVEL_MASK = np.uint64((1 << COUNTER_BITS) - 1), np.uint64((1 << LEVEL_BITS) - 1)
 
 
 def _frequent(texts: DataFrame, width: int) -> np.ndarray:
@@ -83,9 +93,9 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
 
-def _parities(s: np.ndarray) -> bytes:
-    """Bit g tells whether the set has an odd number of shingles in group g, of 2^k >= n groups."""
-    groups = 1 << max(PARITY_BITS, (max(1, len(s)) - 1).bit_length())
+def _parities(s: np.ndarray, finer: int = 1) -> bytes:
+    """Bit g tells whether the set has an odd number of shingles in group g, of 2^k >= n groups (``finer`` times as many)."""
+    groups = finer << max(PARITY_BITS, (max(1, len(s)) - 1).bit_length())
     odd = np.bincount(((s >> np.uint64(COUNTER_BITS)) & np.uint64(groups - 1)).astype(np.int64), minlength=groups) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -111,50 +121,111 @@ def _folded(m: np.ndarray, width: int) -> np.ndarray:
     return m
 
 
-def _possible(na: np.ndarray, nb: np.ndarray, left: list[bytes], right: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which pairs sizes and parities allow to link, and how far those are apart."""
+def _possible(na: np.ndarray, nb: np.ndarray, left: list[bytes], right: list[bytes], percent: int) -> np.ndarray:
+    """Which pairs sizes and parities allow to link."""
     need = -(-percent * (na + nb) // (100 + percent))
     ok = np.minimum(na, nb) >= need
     at = np.flatnonzero(ok)
-    far = _distances([left[i] for i in at.tolist()], [right[i] for i in at.tolist()])
-    fits = far <= (na + nb - 2 * need)[at]
-    ok[at] = fits
-    return ok, far[fits]
-
-
-def _rank(node: np.ndarray, root: np.ndarray, far: np.ndarray) -> np.ndarray:
-    """The place of each pair by distance among the pairs of its node with the same other component."""
-    order = np.lexsort((far, root, node))
-    new = np.ones(len(order), bool)
-    new[1:] = (np.diff(node[order]) != 0) | (np.diff(root[order]) != 0)
-    begin = np.flatnonzero(new)
-    out = np.empty(len(order), np.int64)
-    out[order] = np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))
-    return out
+    ok[at] = _distances([left[i] for i in at.tolist()], [right[i] for i in at.tolist()]) <= (na + nb - 2 * need)[at]
+    return ok
+
+
+def _forest(u: np.ndarray, v: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Places of the edges of a least spanning forest, by rounds in which each tree takes its least edge."""
+    names, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = np.split(ends, 2)
+    order = np.argsort(far, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    root, kept = list(range(len(names))), []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    while True:
+        label = np.fromiter(map(find, range(len(names))), np.int64, len(names))
+        live = np.flatnonzero(label[a] != label[b])
+        if not len(live):
+            return np.array(kept, np.int64)
+        least = np.full(len(names), len(order), np.int64)
+        np.minimum.at(least, label[a[live]], place[live])
+        np.minimum.at(least, label[b[live]], place[live])
+        for e in order[np.unique(least[least < len(order)])].tolist():
+            x, y = find(int(a[e])), find(int(b[e]))
+            if x != y:
+                root[x] = y
+                kept.append(e)
+
+
+def _occurrences(n, percent: int):
+    """T - L: on how many of the short lists of a set of size ``n`` (and of partners no smaller) a partner stands at least."""
+    return 1 + (n - -(-percent * n // 100) + 1) // 8
+
+
+def _divided(s: np.ndarray, level: np.ndarray, measured: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of the n - L short lists, apart from those among them that were measured as long."""
+    n = len(s)
+    if not n:
+        return s, s
+    rank = np.maximum(level[(s & _MASK).astype(np.int64)], measured[(s & _LEVEL_MASK).astype(np.int64)])
+    ordered = s[np.lexsort((s, rank))] if rank.any() else s
+    taken = ordered[: min(n, n - -(-percent * n // 100) + _occurrences(n, percent))]
+    long = measured[(taken & _LEVEL_MASK).astype(np.int64)] > 0
+    return taken[~long], taken[long]
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.append(0, np.cumsum([len(x) for x in arrays]))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(_signed(np.concatenate(arrays)) if arrays else np.zeros(0, np.int64)))
 
 
 def _profiles(texts: DataFrame, level: np.ndarray, width: int, percent: int) -> DataFrame:
     """Per row: size, two sums that identify the set, its short lists and its parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(1 << LEVEL_BITS, np.uint8)
         for b in batches:
             sizes, sums, lists, parities = [], [], [], []
             for s in shingle_sets(b.column("text"), width):
-                n = len(s)
-                take = n - -(-percent * n // 100) + 1 if n else 0
-                freq = level[(s & _MASK).astype(np.int64)]
-                ordered = s[np.lexsort((s, freq))] if freq.any() else s
-                sizes.append(n)
+                sizes.append(len(s))
                 sums.append((mixed(s).sum(dtype=np.uint64), mixed(s * STEP + STEP).sum(dtype=np.uint64)))
-                lists.append(_signed(ordered[:take]))
+                lists.append(_divided(s, level, none, percent)[0])
                 parities.append(_parities(s))
             first, second = (_signed(np.array([x[k] for x in sums], np.uint64)) for k in (0, 1))
-            flat = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in lists])), pa.int32()), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(first), pa.array(second), flat, pa.array(parities, pa.binary())], ["id", "text_hash", "n", "s1", "s2", "lists", "parity"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(first), pa.array(second), _lists(lists), pa.array(parities, pa.binary())], ["id", "text_hash", "n", "s1", "s2", "lists", "parity"])
 
     return texts.mapInArrow(run, "id long, text_hash long, n long, s1 long, s2 long, lists array<long>, parity binary")
 
 
+def _measured(classes: DataFrame) -> np.ndarray:
+    """The level of each slot: 0, or the more the longer the longest of its lists of over ``SHORT`` classes.
+
+    Lists are measured exactly, by a grouped count; at most one row for each slot reaches the driver.
+    """
+    long = classes.select(F.explode("lists").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") > SHORT)
+    slots = long.groupBy(F.col("shingle").bitwiseAND((1 << LEVEL_BITS) - 1).alias("slot")).agg(F.max("n").alias("n")).toPandas()
+    out = np.zeros(1 << LEVEL_BITS, np.uint8)
+    if len(slots):
+        out[slots["slot"].to_numpy(np.int64)] = np.log2(slots["n"].to_numpy(float)).astype(np.uint8) + 1
+    return out
+
+
+def _with_long(classes: DataFrame, measured: np.ndarray) -> DataFrame:
+    """``node`` of the classes that have a measured list among their short ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("lists")
+            sizes, flat = lists.value_lengths().to_numpy(), lists.flatten().to_numpy().view(np.uint64)
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            hit = np.bincount(of[measured[(flat & _LEVEL_MASK).astype(np.int64)] > 0], minlength=len(sizes)) > 0
+            yield pa.RecordBatch.from_arrays([b.column("node").filter(pa.array(hit))], ["node"])
+
+    return classes.select("node", "lists").mapInArrow(run, "node long")
+
+
 def _whole_lists(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
     """Columns of whole lists, of rows sorted by list (the first column); what ends a batch waits for the next."""
     rest: list[np.ndarray] | None = None
@@ -178,13 +249,13 @@ def _bounds(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _merged(percent: int):
-    """Candidates of each shingle's list, from rows sorted by (shingle, n, node)."""
+    """What each shingle's list gives, from rows sorted by (shingle, n, node): pairs, with the occurrences that they need, or the members of a long list with its length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shingle, n, node in _whole_lists(batches, ("shingle", "n", "node")):
             begin, end = _bounds(shingle)
             size = end - begin
-            a, b = [], []
+            a, b, need = [], [], []
             for m in range(2, SHORT + 1):
                 at = begin[size == m]
                 for i in range(m):
@@ -192,14 +263,16 @@ def _merged(percent: int):
                         ok = at[n[at + i] * 100 >= percent * n[at + j]]
                         a.append(node[ok + i])
                         b.append(node[ok + j])
+                        need.append(_occurrences(n[ok + i], percent))
             length = [np.zeros(sum(map(len, a)), np.int64)]
             for lo, hi in zip(begin[size > SHORT].tolist(), end[size > SHORT].tolist(), strict=True):
                 a.append(np.full(hi - lo, shingle[lo]))
                 b.append(node[lo:hi])
+                need.append(np.ones(hi - lo, np.int64))
                 length.append(np.full(hi - lo, hi - lo))
-            a, b, length = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, length))
+            a, b, need, length = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, need, length))
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(length, pa.int64())], ["a", "b", "length"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, need, length)], ["a", "b", "need", "length"])
 
     return run
 
@@ -213,34 +286,52 @@ def _pruned(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             if not t.num_rows:
                 continue
             na, nb = (t.column(c).to_numpy() for c in ("na", "nb"))
-            ok, _ = _possible(na, nb, t.column("pa").to_pylist(), t.column("pb").to_pylist(), percent)
-            keep = pa.array(ok)
+            keep = pa.array(_possible(na, nb, t.column("pa").to_pylist(), t.column("pb").to_pylist(), percent))
             yield pa.RecordBatch.from_arrays([t.column("a").filter(keep), t.column("b").filter(keep)], ["a", "b"])
 
     both = pairs.join(slim.toDF("a", "na", "pa"), "a").join(slim.toDF("b", "nb", "pb"), "b")
     return both.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
 
 
-def _sets(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """``node`` and its set, for the classes of ``pairs``, from the text of their first document.
+def _first_texts(nodes: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``node``, ``n`` and the text of each class of ``nodes``, from its first document; repeated rows may give a class twice.
 
     Texts that aren't wanted are passed over by a bit array of fixed size before any is shuffled.
     """
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = settle(classes.join(nodes, "node").select("node", F.col("first.id").alias("first_id"), F.col("first.text_hash").alias("text_hash"), "s1"), "ngram-wanted")
+    wanted = settle(classes.join(nodes, "node").select("node", "n", F.col("first.id").alias("first_id"), F.col("first.text_hash").alias("text_hash")), "ngram-wanted")
     spot = F.col("text_hash").bitwiseAND((1 << MARK_BITS) - 1)
     marks = bit_array(wanted.select(spot.alias("p")), MARK_BITS).scalar()
     near = texts.where(bit_is_set(marks, spot))
-    found = near.join(wanted, (near["text_hash"] == wanted["text_hash"]) & near["id"].eqNullSafe(wanted["first_id"])).select("node", "text")
+    return near.join(wanted, (near["text_hash"] == wanted["text_hash"]) & near["id"].eqNullSafe(wanted["first_id"])).select("node", "n", "text")
+
+
+def _sets(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """``node`` and its sorted set, for the classes of ``pairs``."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            once = np.unique(b.column("node").to_numpy(), return_index=True)[1]  # repeated rows
-            b = b.take(pa.array(once))
             sets = [s.tobytes() for s in shingle_sets(b.column("text"), width)]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], ["node", "set"])
 
-    return settle(found.mapInArrow(run, "node long, set binary"), "ngram-sets")
+    return settle(_first_texts(nodes, classes, texts).select("node", "text").mapInArrow(run, "node long, set binary"), "ngram-sets")
+
+
+def _chosen_again(nodes: DataFrame, classes: DataFrame, texts: DataFrame, level: np.ndarray, measured: np.ndarray, width: int, percent: int) -> DataFrame:
+    """``node``, ``n``, ``lists``, ``long`` (those of its short lists that are long all the same) and, with any such, finer parities of the classes of ``nodes``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            short, long, fine = [], [], []
+            for s in shingle_sets(b.column("text"), width):
+                x, y = _divided(s, level, measured, percent)
+                short.append(x)
+                long.append(y)
+                fine.append(_parities(s, FINER) if len(y) else None)
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("n"), _lists(short), _lists(long), pa.array(fine, pa.binary())], ["node", "n", "lists", "long", "fine"])
+
+    found = _first_texts(nodes, classes, texts).mapInArrow(run, "node long, n long, lists array<long>, long array<long>, fine binary")
+    return settle(found.dropDuplicates(["node"]), "ngram-again")
 
 
 def _probed(percent: int):
@@ -274,7 +365,7 @@ def _verified(pairs: DataFrame, links: DataFrame | None, classes: DataFrame, tex
     """Links and roots when ``pairs`` have been tried: first each class's pair with its smallest partner, then what is still apart."""
     if pairs.isEmpty():
         return links, components(links) if links is not None else None
-    sets = _sets(pairs, classes, texts, width)
+    sets = _sets(pairs, classes, texts, width)  # sorted, for the binary search
     first = settle(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "ngram-first")
     new = _linked(first, sets, percent)
     links = new if links is None else links.unionByName(new)
@@ -283,64 +374,102 @@ def _verified(pairs: DataFrame, links: DataFrame | None, classes: DataFrame, tex
     if not rest.isEmpty():
         links = links.unionByName(_linked(rest, sets, percent))
         roots = components(links)
+    release(first, rest, sets)
     return links, roots
 
 
-def _across(percent: int, nearest: int | None):
-    """Pairs within a block of a long list, or between two, that lie in different components and pass both bounds.
+def _words(parity: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By width: the places of the parities that have it, and them as a matrix of 64-bit words."""
+    sizes = np.fromiter(map(len, parity), np.int64, len(parity))
+    out = {}
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        out[size] = at, np.frombuffer(b"".join(parity[i] for i in at.tolist()), np.uint64).reshape(len(at), -1)
+    return out
+
 
-    Rows are sorted by (list, n); all lists of a batch are tried together, each row with
-    the one that stands 1, 2, ... places after it, until no list has such a pair of sizes.
-    With ``nearest``, a document gives its pairs with so many members of another component.
+def _tried(n: np.ndarray, node: np.ndarray, root: np.ndarray, query: np.ndarray, member: np.ndarray, minor: np.ndarray, parity: list[bytes], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of a query, of a member in another component that both bounds allow it, and how far they are apart."""
+    found = _words(parity)
+    for size, (at, words) in found.items():
+        left = np.flatnonzero(query[at])
+        for other, (there, their) in found.items():
+            right = np.flatnonzero(member[there])
+            if not len(left) or not len(right):
+                continue
+            x, y, j = _folded(words, their.shape[1]), _folded(their, words.shape[1]), there[right]
+            step = max(1, WORDS_AT_ONCE // (y.shape[1] * len(right)))
+            for lo in range(0, len(left), step):
+                rows = left[lo : lo + step]
+                i = at[rows]
+                both = n[i][:, None] + n[j][None, :]
+                need = -(-percent * both // (100 + percent))
+                ok = (np.minimum(n[i][:, None], n[j][None, :]) >= need) & (root[i][:, None] != root[j][None, :])
+                ok &= ~minor[j][None, :] | (node[i][:, None] < node[j][None, :])  # two queries meet once
+                if ok.any():
+                    far = np.bitwise_count(x[rows][:, None, :] ^ y[right][None, :, :]).sum(2, dtype=np.int64)
+                    r, c = np.nonzero(ok & (far <= both - 2 * need))
+                    yield i[r], j[c], far[r, c]
+
+
+def _across(percent: int, every: bool):
+    """Pairs of a query and a member of a block of a long list, in different components, that pass both bounds.
+
+    All of them with ``every``, else a least spanning forest of those between the
+    components: no more pairs than components, and all that they need if the bounds don't deceive.
     """
 
+    def named(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(i), AT_ONCE):
+            x, y = node[i[at : at + AT_ONCE]], node[j[at : at + AT_ONCE]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, n, node, root, block, two, parity in _whole_lists(batches, ("list", "n", "node", "root", "block", "two", "parity")):
-            begin, end = _bounds(key)
-            last, rows = np.repeat(end, end - begin), np.arange(len(key))
-            tried = np.zeros((0, 2), np.int64)
-            a, b = [tried[:, 0]], [tried[:, 0]]
-            step = 1
-            while len(rows := rows[rows + step < last[rows]]):
-                rows = rows[n[rows] * 100 >= percent * n[rows + step]]
-                at = rows[(root[rows] != root[rows + step]) & ((two[rows] == 0) | (block[rows] != block[rows + step]))]
-                a.append(at)
-                b.append(at + step)
-                step += 1
-            a, b = np.concatenate(a), np.concatenate(b)
-            first, second = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
-            once = np.unique(np.stack([first, second], 1), axis=0, return_index=True)[1] if len(a) else a
-            a, b, first, second = a[once], b[once], first[once], second[once]
-            keep, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for lo in range(0, len(a), AT_ONCE):
-                i, j = a[lo : lo + AT_ONCE], b[lo : lo + AT_ONCE]
-                ok, apart = _possible(n[i], n[j], parity[i].tolist(), parity[j].tolist(), percent)
-                keep.append(lo + np.flatnonzero(ok))
-                far.append(apart)
-            keep, far = np.concatenate(keep), np.concatenate(far)
-            if nearest is not None and len(keep):
-                i, j = a[keep], b[keep]
-                keep = keep[(_rank(node[i], root[j], far) < nearest) & (_rank(node[j], root[i], far) < nearest)]
-            for lo in range(0, len(keep), AT_ONCE):
-                part = keep[lo : lo + AT_ONCE]
-                yield pa.RecordBatch.from_arrays([pa.array(first[part]), pa.array(second[part])], ["a", "b"])
+        columns = ("list", "n", "node", "root", "query", "member", "minor", "parity")
+        for key, *all_columns in _whole_lists(batches, columns):
+            for lo, hi in zip(*(x.tolist() for x in _bounds(key)), strict=True):
+                n, node, root, query, member, minor, parity = (c[lo:hi] for c in all_columns)
+                held = np.zeros((0, 3), np.int64)
+                for found in _tried(n, node, root, query, member, minor, parity.tolist(), percent):
+                    if every:
+                        yield from named(node, *found[:2])
+                        continue
+                    held = np.concatenate([held, np.stack(found, 1)])
+                    if len(held) > WORDS_AT_ONCE:
+                        held = held[_forest(root[held[:, 0]], root[held[:, 1]], held[:, 2])]
+                held = held[_forest(root[held[:, 0]], root[held[:, 1]], held[:, 2])]
+                yield from named(node, held[:, 0], held[:, 1])
 
     return run
 
 
-def _long_list_pairs(members: DataFrame, roots: DataFrame | None, classes: DataFrame, percent: int, nearest: int | None) -> DataFrame:
-    """What long lists still have to offer when ``roots`` are known; ``members``: shingle, node and length of the list."""
+def _long_list_pairs(members: DataFrame, roots: DataFrame | None, parities: DataFrame, percent: int, every: bool) -> DataFrame:
+    """What long lists still have to offer when ``roots`` are known; ``members``: shingle and node.
+
+    The members outside of a list's largest component are its queries. Of lists with the
+    same members one is enough. Up to ``BLOCK`` queries and as many members meet in a
+    group, so a list of m members and q queries makes m * ceil(q / BLOCK) + q * ceil(m / BLOCK) rows.
+    """
     if roots is None:
         at = members.withColumn("root", F.col("node"))
     else:
         at = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed_lists = at.groupBy("shingle").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("shingle")
-    at = at.join(mixed_lists, "shingle").join(classes.select("node", "n", "parity"), "node")
-    blocks = F.ceil(F.col("length") / BLOCK).cast("int")
-    at = at.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    at = at.withColumn("lo", F.least("block", F.col("other").cast("long"))).withColumn("hi", F.greatest("block", F.col("other").cast("long")))
-    at = at.select(F.xxhash64("shingle", "lo", "hi").alias("list"), "n", "node", "root", "block", (F.col("lo") != F.col("hi")).cast("int").alias("two"), "parity")
-    return at.repartition("list").sortWithinPartitions("list", "n", "node").mapInArrow(_across(percent, nearest), "a long, b long").distinct()
+    marks = {f"x{k}": F.xxhash64("node", F.lit(k)) for k in range(2)}
+    sizes = at.groupBy("shingle", "root").agg(F.count("*").alias("size"), *[F.bit_xor(m).alias(x) for x, m in marks.items()])
+    lists = sizes.groupBy("shingle").agg(F.max_by("root", F.struct("size", "root")).alias("major"), F.sum("size").alias("all"), F.max("size").alias("most"), *[F.bit_xor(x).alias(x) for x in marks])
+    lists = lists.where(F.col("all") > F.col("most")).groupBy("all", *marks).agg(F.min(F.struct("shingle", "major", "most")).alias("one"))
+    lists = lists.select("one.shingle", "one.major", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("one.most")) / BLOCK).cast("int").alias("asked"))
+    at = at.join(lists, "shingle").join(parities, "node").withColumn("minor", F.col("root") != F.col("major"))
+    one = F.col("blocks") == 1
+    small = at.where(one).select(F.col("shingle").alias("list"), "n", "node", "root", F.col("minor").alias("query"), F.lit(True).alias("member"), "minor", "parity")
+    spot = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    wide = ["shingle", "n", "node", "root", "minor", "parity"]
+    asked = at.where(~one & F.col("minor")).select(*wide, spot("asked").alias("q"), every("blocks").alias("m"), F.lit(True).alias("query"), F.lit(False).alias("member"))
+    held = at.where(~one).select(*wide, every("asked").alias("q"), spot("blocks").alias("m"), F.lit(False).alias("query"), F.lit(True).alias("member"))
+    large = asked.unionByName(held).select(F.xxhash64("shingle", "q", "m").alias("list"), "n", "node", "root", "query", "member", "minor", "parity")
+    both = small.unionByName(large).repartition("list").sortWithinPartitions("list")
+    return both.mapInArrow(_across(percent, every), "a long, b long").distinct()
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -355,23 +484,35 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    rows = settle(_profiles(texts, _frequent(texts, width), width, percent), "ngram-rows")
+    level = _frequent(texts, width)
+    rows = settle(_profiles(texts, level, width, percent), "ngram-rows")
     key = ["n", "s1", "s2"]
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash"))
     classes = rows.where("n > 0").groupBy(*key).agg(first.alias("first"), F.count("*").alias("class_size"), F.any_value("lists").alias("lists"), F.any_value("parity").alias("parity"))
     classes = settle(classes.withColumn("node", F.monotonically_increasing_id()), "ngram-classes")
-    postings = classes.select(F.explode("lists").alias("shingle"), "n", "node").repartition("shingle").sortWithinPartitions("shingle", "n", "node")
-    merged = settle(postings.mapInArrow(_merged(percent), "a long, b long, length long").distinct(), "ngram-merged")
+    measured = _measured(classes)
+    changed = settle(_with_long(classes, measured), "ngram-changed")
+    again = _chosen_again(changed, classes, texts, level, measured, width, percent)
+    same = classes.select("node", "n", "lists").join(changed, "node", "left_anti")
+    short = same.unionByName(again.select("node", "n", "lists")).select(F.explode("lists").alias("shingle"), "n", "node")
+    known = again.select(F.explode("long").alias("shingle"), "n", "node")
+    known = known.join(known.groupBy("shingle").agg(F.count("*").alias("length")).where("length > 1"), "shingle")
+    postings = short.unionByName(known.where(F.col("length") <= SHORT).drop("length")).repartition("shingle").sortWithinPartitions("shingle", "n", "node")
+    merged = settle(postings.mapInArrow(_merged(percent), "a long, b long, need long, length long"), "ngram-merged")
     members = merged.where("length > 0").select(F.col("a").alias("shingle"), F.col("b").alias("node"), "length")
-    drawn = [F.min_by("node", F.xxhash64("node", "shingle", F.lit(k))) for k in range(HEADS)]
-    heads = members.groupBy("shingle").agg(F.array_distinct(F.array(*drawn)).alias("heads"))
-    starred = members.join(heads, "shingle").select(F.explode("heads").alias("head"), "node").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"))
-    pairs = merged.where("length = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(starred).where("a < b").distinct()
+    members = settle(members.unionByName(known.where(F.col("length") > SHORT).select("shingle", "node", "length")), "ngram-members")
+    heads = members.groupBy("shingle").agg(F.min_by("node", F.xxhash64("node", "shingle")).alias("head"))
+    starred = members.join(heads, "shingle").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).where("a < b")
+    counted = merged.where("length = 0").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"), F.first("need").alias("need")).where(F.col("n") >= F.col("need"))
+    pairs = counted.select("a", "b").unionByName(starred).distinct()
     links, roots = _verified(settle(_pruned(pairs, classes, percent), "ngram-pairs"), None, classes, texts, width, percent)
-    for nearest in (NEAREST, None):  # the second pass tries all that the first left apart
-        across = settle(_long_list_pairs(members, roots, classes, percent, nearest), "ngram-across")
-        if not across.isEmpty():
-            links, roots = _verified(across, links, classes, texts, width, percent)
+    parities = classes.select("node", "n", "parity").join(again.where("fine is not null").select("node", "fine"), "node", "left").select("node", "n", F.coalesce("fine", "parity").alias("parity"))
+    for every in (False, False, True):  # the last pass tries all that the others left apart
+        across = settle(_long_list_pairs(members.select("shingle", "node"), roots, parities, percent, every), "ngram-across")
+        if across.isEmpty():
+            break
+        links, roots = _verified(across, links, classes, texts, width, percent)
+        release(across)
     named = classes.select(*key, "node", "first", "class_size")
     if roots is None:
         named = named.withColumn("root", F.col("node"))
@@ -379,6 +520,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         named = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     tops = named.groupBy("root").agg(F.min("first").alias("top"))
     named = settle(named.join(tops, "root").select(*key, "class_size", "top"), "ngram-named")
+    release(classes, changed, again, merged, members)
     own = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
     out = ["id", "text_hash", "n"]
     empty = rows.where("n = 0").select(*out, F.lit(1).cast("long").alias("class_size"), own.alias("top"))
