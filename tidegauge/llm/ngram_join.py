@@ -12,7 +12,7 @@ sorted shingles of y" are the same bit; the search reads the latter, which is st
 with the candidate.
 
 Lists count as long in two steps. A table of counters over all shingles finds the very
-frequent ones. The lists of the documents' short shingles are then measured exactly, and those of over ``SHORT`` classes
+frequent ones. The lists of the documents' short shingles are then measured exactly, and those of over ``LONGER`` classes
 count as long too; documents that had one choose their short lists again, from their
 text. Both tables have a fixed size; any order of shingles that all documents share
 gives the same result.
@@ -49,8 +49,8 @@ WIDTH, PERCENT = 4, 85
 COUNTER_BITS, PARITY_BITS = 20, 8
 #: Members of a list that gives all its pairs, and of a block of a longer one.
 SHORT, BLOCK = 12, 2048
-#: log2 of the slots of the table of measured lists.
-LEVEL_BITS = 22
+#: Lists of more classes are chosen last, and log2 of the slots of the table that tells which.
+LONGER, LEVEL_BITS = 4, 22
 #: How many times as many parities the members of long lists have.
 FINER = 16
 #: Pairs whose parities are compared at once, and 64-bit words of parities.
@@ -200,11 +200,11 @@ def _profiles(texts: DataFrame, level: np.ndarray, width: int, percent: int) ->
 
 
 def _measured(classes: DataFrame) -> np.ndarray:
-    """The level of each slot: 0, or the more the longer the longest of its lists of over ``SHORT`` classes.
+    """The level of each slot: 0, or the more the longer the longest of its lists of over ``LONGER`` classes.
 
     Lists are measured exactly, by a grouped count; at most one row for each slot reaches the driver.
     """
-    long = classes.select(F.explode("lists").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") > SHORT)
+    long = classes.select(F.explode("lists").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") > LONGER)
     slots = long.groupBy(F.col("shingle").bitwiseAND((1 << LEVEL_BITS) - 1).alias("slot")).agg(F.max("n").alias("n")).toPandas()
     out = np.zeros(1 << LEVEL_BITS, np.uint8)
     if len(slots):
@@ -493,9 +493,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     measured = _measured(classes)
     changed = settle(_with_long(classes, measured), "ngram-changed")
     again = _chosen_again(changed, classes, texts, level, measured, width, percent)
-    same = classes.select("node", "n", "lists").join(changed, "node", "left_anti")
-    short = same.unionByName(again.select("node", "n", "lists")).select(F.explode("lists").alias("shingle"), "n", "node")
-    known = again.select(F.explode("long").alias("shingle"), "n", "node")
+    same = classes.select("node", "n", "lists", F.array().cast("array<long>").alias("long")).join(changed, "node", "left_anti")
+    flagged = lambda c, long: F.transform(c, lambda g: F.struct(g.alias("shingle"), F.lit(long).alias("long")))
+    every = same.unionByName(again.select("node", "n", "lists", "long")).select(F.explode(F.concat(flagged("lists", False), flagged("long", True))).alias("p"), "n", "node").select("p.*", "n", "node")
+    short, known = every.where("not long").drop("long"), every.where("long").drop("long")
     known = known.join(known.groupBy("shingle").agg(F.count("*").alias("length")).where("length > 1"), "shingle")
     postings = short.unionByName(known.where(F.col("length") <= SHORT).drop("length")).repartition("shingle").sortWithinPartitions("shingle", "n", "node")
     merged = settle(postings.mapInArrow(_merged(percent), "a long, b long, need long, length long"), "ngram-merged")
@@ -507,8 +508,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = counted.select("a", "b").unionByName(starred).distinct()
     links, roots = _verified(settle(_pruned(pairs, classes, percent), "ngram-pairs"), None, classes, texts, width, percent)
     parities = classes.select("node", "n", "parity").join(again.where("fine is not null").select("node", "fine"), "node", "left").select("node", "n", F.coalesce("fine", "parity").alias("parity"))
-    for every in (False, False, True):  # the last pass tries all that the others left apart
-        across = settle(_long_list_pairs(members.select("shingle", "node"), roots, parities, percent, every), "ngram-across")
+    for whole in (False, True):  # the last pass tries all that the first left apart
+        across = settle(_long_list_pairs(members.select("shingle", "node"), roots, parities, percent, whole), "ngram-across")
         if across.isEmpty():
             break
         links, roots = _verified(across, links, classes, texts, width, percent)
