@@ -4,10 +4,11 @@ Texts are tokenized once into pieces; what follows moves only (row, length). Pie
 that fill a sequence are done. The others are dealt into blocks of about ``BLOCK``
 pieces by a hash, and each block is a bin packing problem of its own, so memory is
 bounded whatever the input. Each block evolves on several islands, each a Spark task: a
-chromosome is a list of bins; crossover injects whole well-filled bins of one parent
-into the other, removes the bins that hold the same pieces, and best-fits the displaced
-pieces. Between rounds each island sends its elite to the next one. The best packing
-of the islands is taken.
+chromosome is a list of bins, at first a best fit of the pieces in random order; crossover injects
+whole well-filled bins of one parent into the other, removes the bins that hold the same pieces,
+and best-fits the displaced pieces. Between rounds each island sends its elite to the
+next one. A round has at least ``LEAST`` generations, and then ends when no packing can
+have fewer sequences. The best packing of the islands is taken.
 """
 
 from __future__ import annotations
@@ -23,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
-from .word_bpe import WordBpe
+from .common import release, settle
+from .word_bpe import word_bpe
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces of a block, islands of a block, and rounds of evolution with a migration between them.
 BLOCK, ISLANDS, ROUNDS = 4096, 2, 2
-POPULATION, GENERATIONS = 4, 5
+POPULATION, GENERATIONS, LEAST = 4, 8, 1
 _SHIFT = 1 << 32
 
 Bins = list[list[int]]
@@ -80,22 +81,22 @@ def mutate(bins: Bins, lengths: list[int], capacity: int, rng: random.Random) ->
     return best_fit(loose, lengths, capacity, [list(b) for b in bins if id(b) not in ids])
 
 
-def evolve(lengths: list[int], capacity: int, seed: int, elites: list[Bins], generations: int = GENERATIONS, population: int = POPULATION) -> Bins:
-    """The best packing found; never worse than the elites or best-fit decreasing."""
+def evolve(lengths: list[int], capacity: int, seed: int, elites: list[Bins], generations: int = GENERATIONS, population: int = POPULATION) -> tuple[Bins, int]:
+    """The best packing found, never worse than the elites, and the number of crossovers."""
     rng = random.Random(seed)
-    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    people = [*elites] or [best_fit(order, lengths, capacity, [])]
+    people = list(elites)
     while len(people) < population:
-        people.append(best_fit(sorted(order, key=lambda i: -lengths[i] * rng.uniform(0.85, 1)), lengths, capacity, []))
-    bound, rank = math.ceil(sum(lengths) / capacity), lambda b: fitness(b, lengths, capacity)
+        people.append(best_fit(rng.sample(range(len(lengths)), len(lengths)), lengths, capacity, []))
+    bound, rank, crossed = math.ceil(sum(lengths) / capacity), lambda b: fitness(b, lengths, capacity), 0
     people.sort(key=rank, reverse=True)
-    for _ in range(generations):
-        if len(people[0]) <= bound:
+    for g in range(generations):
+        if g >= LEAST and len(people[0]) <= bound:
             break
         a, b = people[0], rng.choice(people[1:])
         young = [crossover(a, b, lengths, capacity, rng), crossover(b, a, lengths, capacity, rng)]
+        crossed += len(young)
         people = sorted([*people, *young, mutate(young[0], lengths, capacity, rng)], key=rank, reverse=True)[:population]
-    return people[0]
+    return people[0], crossed
 
 
 def _from_columns(pdf: pd.DataFrame) -> list[Bins]:
@@ -115,12 +116,13 @@ def _island(capacity: int, round_: int) -> Callable[[tuple, pd.DataFrame], pd.Da
         pdf = pdf.sort_values(["origin", "row"])
         first = pdf[pdf["origin"] == pdf["origin"].iloc[0]]
         lengths = first["length"].tolist()
-        bins = evolve(lengths, capacity, hash((block, island, round_)), _from_columns(pdf) if round_ else [])
+        elites = _from_columns(pdf) if round_ else []
+        bins, crossed = evolve(lengths, capacity, hash((block, island, round_)), elites)
         where = [0] * len(lengths)
         for k, b in enumerate(bins):
             for i in b:
                 where[i] = k
-        return pd.DataFrame({"block": block, "island": island, "origin": island, "row": first["row"].to_numpy(), "length": lengths, "bin": where})
+        return pd.DataFrame({"block": block, "island": island, "origin": island, "row": first["row"].to_numpy(), "length": lengths, "bin": where, "crossovers": crossed, "immigrants": max(0, len(elites) - 1)})
 
     return run
 
@@ -144,23 +146,30 @@ def _best(capacity: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     return run
 
 
-_STATE = "block int, island int, origin int, row long, length int, bin int"
+_STATE = "block int, island int, origin int, row long, length int, bin int, crossovers int, immigrants int"
 
 
-def pack_lengths(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands: int = ISLANDS, rounds: int = ROUNDS) -> DataFrame:
-    """``row``, ``sequence_id`` and ``offset`` for each row (``row`` unique, ``length`` in 1..capacity) of a stored table."""
-    if islands < 2 or rounds < 1:
-        raise ValueError("elites migrate between two islands at least, in one round at least")
-    alone = pieces.where(F.col("length") >= capacity).select("row", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    small = pieces.where(F.col("length") < capacity)
+def evolved(small: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands: int = ISLANDS, rounds: int = ROUNDS) -> DataFrame:
+    """The packing of each island after the last round, with its number of ``crossovers`` in that round and of ``immigrants`` into it."""
+    if islands < 2 or rounds < 2:
+        raise ValueError("elites migrate between two islands at least, and between two rounds at least")
     blocks = max(1, math.ceil(small.count() / block))
     dealt = small.select(F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "row", F.col("length").cast("int").alias("length"))
-    state = dealt.select("block", "island", F.col("island").alias("origin"), "row", "length", F.lit(0).alias("bin"))
+    zero = F.lit(0)
+    state = dealt.select("block", "island", F.col("island").alias("origin"), "row", "length", zero.alias("bin"), zero.alias("crossovers"), zero.alias("immigrants"))
     for r in range(rounds):
+        before = state
         if r:
             state = state.unionByName(state.withColumn("island", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int")))
-        state = state.groupBy("block", "island").applyInPandas(_island(capacity, r), _STATE)
-        state = settle(state, "packing-islands")
+        state = settle(state.groupBy("block", "island").applyInPandas(_island(capacity, r), _STATE), "packing-islands")
+        release(before)
+    return state
+
+
+def pack_lengths(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands: int = ISLANDS, rounds: int = ROUNDS) -> DataFrame:
+    """``row``, ``sequence_id`` and ``offset`` for each row (``row`` unique, ``length`` in 1..capacity) of a stored table."""
+    alone = pieces.where(F.col("length") >= capacity).select("row", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    state = evolved(pieces.where(F.col("length") < capacity), capacity, block, islands, rounds)
     return alone.unionByName(state.groupBy("block").applyInPandas(_best(capacity), "row long, sequence_id long, offset long"))
 
 
@@ -169,7 +178,7 @@ _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def _pieces(path: str, capacity: int, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, end, step = WordBpe(path), end_id.to_bytes(4, "little"), 4 * capacity
+        bpe, end, step = word_bpe(path), end_id.to_bytes(4, "little"), 4 * capacity
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -194,11 +195,19 @@ def classify_quality(docs: DataFrame, labels: DataFrame, host_col: str = "source
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` that :func:`classify_quality` keeps, with all their columns."""
+    """The rows of ``docs`` that :func:`classify_quality` keeps, with all their columns.
+
+    Evidence is computed once, beside the rows, which are written to the shared folder with
+    it; only texts go to Python, and none come back.
+    """
     model = fit_classifier(docs, labels, id_col, text_col, sample=sample)
-    slim = docs.select(F.col(f"`{host_col}`").cast("string").alias("host"), F.col(f"`{path_col}`").cast("string").alias("path"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    sites = fit_sites(settle(_evidence(slim, model), "quality-scores"))
+
+    @F.pandas_udf("double")
+    def evidence(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.log_odds(texts.tolist()))
+
     doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
-    rows = _at_site(docs.select(doc), sites, F.col(f"doc.`{host_col}`").cast("string"), F.col(f"doc.`{path_col}`").cast("string"))
-    rows = rows.select("doc", "n", "total", "host_n", "host_total", F.coalesce(F.col(f"doc.`{text_col}`"), F.lit("")).alias("text"))
-    return _judged(_evidence(rows, model), sites).where(F.col("probability") >= threshold).select("doc.*")
+    rows = docs.select(doc, F.col(f"`{host_col}`").cast("string").alias("host"), F.col(f"`{path_col}`").cast("string").alias("path"), evidence(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("log_odds"))
+    rows = settle(rows, "quality-rows")
+    sites = fit_sites(rows.select("host", "path", "log_odds"))
+    return _judged(_at_site(rows, sites, F.col("host"), F.col("path")), sites).where(F.col("probability") >= threshold).select("doc.*")

@@ -3,18 +3,20 @@
 White space is dropped by this kind of tokenizer and no token spans it, so a text's ids
 are those of its words in a row. Words and their runs of letters, digits or signs are
 remembered in tables of bounded size; only unseen runs reach the BPE model. Texts with
-characters for which the rules of Python and of the tokenizer might differ go through
-the tokenizer whole.
+characters for which the rules of Python and of the tokenizer might differ, and texts
+that hold the name of an added token, go through the tokenizer whole.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import sys
 import unicodedata
+from collections.abc import Callable
 
-#: Entries of each table; a full table is emptied, which costs time and changes no ids.
-MOST_WORDS = 400_000
+#: Entries of each table; emptying a full one costs time and changes no ids.
+MOST_WORDS = 300_000
 #: Everything below U+0250 but the separators U+001C to U+001F and the dotted capital I.
 _UNSURE = re.compile("[^\x00-\x1b\x20-įı-ɏ]")
 
@@ -33,34 +35,48 @@ def _runs() -> re.Pattern:
     return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^\s{letter}{digit}]+")
 
 
+class _Remembered(dict):
+    """Values made when they are first asked for; a full table is emptied."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= MOST_WORDS:
+            self.clear()
+        found = self[key] = self.make(key)
+        return found
+
+
 class WordBpe:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.model, self.names, self.runs = self.whole.model, _byte_names(), _runs()
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.added = [t.content.lower() for t in self.whole.get_added_tokens_decoder().values()]
+        self.words, self.parts = _Remembered(self._word), _Remembered(self._part)
 
     def _part(self, run: str) -> bytes:
-        if (found := self.parts.get(run)) is None:
-            if len(self.parts) >= MOST_WORDS:
-                self.parts.clear()
-            ids = [t.id for t in self.model.tokenize(run.encode().decode("latin-1").translate(self.names))]
-            found = self.parts[run] = _packed(ids)
-        return found
+        return _packed([t.id for t in self.model.tokenize(run.encode().decode("latin-1").translate(self.names))])
+
+    def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return _packed([t.id for t in self.model.tokenize(word)])
+        return b"".join(map(self.parts.__getitem__, self.runs.findall(word)))
 
     def encode(self, text: str) -> bytes:
-        """The ids of ``text`` as unsigned 32-bit little-endian integers."""
-        if _UNSURE.search(text):
+        """The ids of ``text`` as unsigned 32-bit little-endian integers, as ``Tokenizer.encode`` gives them without special tokens of its own."""
+        low = text.lower()
+        if _UNSURE.search(text) or any(name in low for name in self.added):
             return _packed(self.whole.encode(text, add_special_tokens=False).ids)
-        words, known = text.lower().split(), self.words
-        if len(known) >= MOST_WORDS:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = b"".join(map(self._part, self.runs.findall(w)))
-        return b"".join(map(known.__getitem__, words))
+        return b"".join(map(self.words.__getitem__, low.split()))
+
+
+@functools.lru_cache(maxsize=1)
+def word_bpe(path: str) -> WordBpe:
+    """One for each process, since loading it costs more than a small task."""
+    return WordBpe(path)
 
 
 def _packed(ids: list[int]) -> bytes:
