@@ -15,7 +15,8 @@ def all_before() -> WindowSpec:
 
 
 def all_after() -> WindowSpec:
-    return by_index().rowsBetween(0, Window.unboundedFollowing)
+    """All rows from this one on, the last one first: a frame that grows, where one to UNBOUNDED FOLLOWING is read again for each row."""
+    return Window.partitionBy(KEY).orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def trailing(k: int):
@@ -70,7 +71,7 @@ def forward_fill(series: DataFrame) -> DataFrame:
 
 
 def backward_fill(series: DataFrame) -> DataFrame:
-    return series.withColumn("filled", F.first(_known(F.col("value")), True).over(all_after()))
+    return series.withColumn("filled", F.last(_known(F.col("value")), True).over(all_after()))
 
 
 def linear_fill(series: DataFrame, by: str = "idx") -> DataFrame:
@@ -78,8 +79,8 @@ def linear_fill(series: DataFrame, by: str = "idx") -> DataFrame:
     v = _known(F.col("value"))
     at = F.col("idx").cast("double") if by == "idx" else F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     here = F.when(v.isNotNull(), at)
-    v0, v1 = F.last(v, True).over(all_before()), F.first(v, True).over(all_after())
-    t0, t1 = F.last(here, True).over(all_before()), F.first(here, True).over(all_after())
+    v0, v1 = F.last(v, True).over(all_before()), F.last(v, True).over(all_after())
+    t0, t1 = F.last(here, True).over(all_before()), F.last(here, True).over(all_after())
     return series.withColumn("filled", F.coalesce(v, v0 + (v1 - v0) * safe_div(at - t0, t1 - t0)))
 
 
