@@ -12,8 +12,12 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bits import bit_array, bit_is_set
+
 #: The characters of ``[\x20\x09-\x0D]``.
 BLANKS = " \t\n\x0b\x0c\r"
+#: log2 of the bits that mark rows which a join may drop.
+MARK_BITS = 22
 #: Rows and bytes of an Arrow batch.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -84,6 +88,24 @@ def release(*tables: DataFrame | None) -> None:
             _remove(df.sparkSession, path)
 
 
+def rows_without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, others: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose id, hash of the text and ``others`` aren't in ``gone`` (``id``, ``text_hash``, ``other0``, ...).
+
+    Hashes of ``gone`` are marked in a bit array of fixed size, so only rows that are marked are shuffled.
+    """
+    spot = lambda c: F.col(c).bitwiseAND((1 << MARK_BITS) - 1)
+    marks = bit_array(gone.select(spot("text_hash").alias("p")), MARK_BITS).scalar()
+    keys = {"id": F.col(f"`{id_col}`").cast("long"), "text_hash": F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))}
+    keys |= {f"other{k}": F.col(f"`{c}`").cast("string") for k, c in enumerate(others)}
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *[c.alias(k) for k, c in keys.items()])
+    rows, gone = rows.withColumn("marked", bit_is_set(marks, spot("text_hash"))), gone.select([F.col(k).alias(f"gone_{k}") for k in keys])
+    same = F.col("text_hash") == F.col("gone_text_hash")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"gone_{k}"))
+    stay = rows.where("marked").join(gone, same, "left_anti")
+    return rows.where("not marked").select("doc.*").unionByName(stay.select("doc.*"))
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bits import bit_array, bit_is_set
-from .common import release, settle
+from .common import release, rows_without, settle
 from .components import components
 from .shingles import STEP, mixed, shingle_sets
 
@@ -52,7 +52,7 @@ SHORT, BLOCK = 12, 2048
 #: Lists of more classes are chosen last, and log2 of the slots of the table that tells which.
 LONGER, LEVEL_BITS = 4, 22
 #: How many times as many parities the members of long lists have.
-FINER = 16
+FINER = 4
 #: Pairs whose parities are compared at once, and 64-bit words of parities.
 AT_ONCE, WORDS_AT_ONCE = 1 << 15, 1 << 19
 #: log2 of the bits that mark texts whose sets are read again.
@@ -212,20 +212,6 @@ def _measured(classes: DataFrame) -> np.ndarray:
     return out
 
 
-def _with_long(classes: DataFrame, measured: np.ndarray) -> DataFrame:
-    """``node`` of the classes that have a measured list among their short ones."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column("lists")
-            sizes, flat = lists.value_lengths().to_numpy(), lists.flatten().to_numpy().view(np.uint64)
-            of = np.repeat(np.arange(len(sizes)), sizes)
-            hit = np.bincount(of[measured[(flat & _LEVEL_MASK).astype(np.int64)] > 0], minlength=len(sizes)) > 0
-            yield pa.RecordBatch.from_arrays([b.column("node").filter(pa.array(hit))], ["node"])
-
-    return classes.select("node", "lists").mapInArrow(run, "node long")
-
-
 def _whole_lists(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
     """Columns of whole lists, of rows sorted by list (the first column); what ends a batch waits for the next."""
     rest: list[np.ndarray] | None = None
@@ -317,21 +303,31 @@ def _sets(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int) ->
     return settle(_first_texts(nodes, classes, texts).select("node", "text").mapInArrow(run, "node long, set binary"), "ngram-sets")
 
 
-def _chosen_again(nodes: DataFrame, classes: DataFrame, texts: DataFrame, level: np.ndarray, measured: np.ndarray, width: int, percent: int) -> DataFrame:
-    """``node``, ``n``, ``lists``, ``long`` (those of its short lists that are long all the same) and, with any such, finer parities of the classes of ``nodes``."""
+def _chosen_again(classes: DataFrame, texts: DataFrame, level: np.ndarray, measured: np.ndarray, width: int, percent: int) -> DataFrame:
+    """Of the classes that had a measured list among their short ones: ``node``, ``n``, ``lists``, ``long`` (those of the new short lists that are long all the same) and, with any such, finer parities.
+
+    All texts are read once more in place; only the lists of documents that have changed are shuffled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(1 << LEVEL_BITS, np.uint8)
         for b in batches:
-            short, long, fine = [], [], []
-            for s in shingle_sets(b.column("text"), width):
+            at, short, long, fine = [], [], [], []
+            for i, s in enumerate(shingle_sets(b.column("text"), width)):
+                if not measured[(_divided(s, level, none, percent)[0] & _LEVEL_MASK).astype(np.int64)].any():
+                    continue
                 x, y = _divided(s, level, measured, percent)
+                at.append(i)
                 short.append(x)
                 long.append(y)
                 fine.append(_parities(s, FINER) if len(y) else None)
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("n"), _lists(short), _lists(long), pa.array(fine, pa.binary())], ["node", "n", "lists", "long", "fine"])
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("id").take(at), b.column("text_hash").take(at), _lists(short), _lists(long), pa.array(fine, pa.binary())], ["id", "text_hash", "lists", "long", "fine"])
 
-    found = _first_texts(nodes, classes, texts).mapInArrow(run, "node long, n long, lists array<long>, long array<long>, fine binary")
-    return settle(found.dropDuplicates(["node"]), "ngram-again")
+    found = texts.mapInArrow(run, "id long, text_hash long, lists array<long>, long array<long>, fine binary")
+    of = classes.select("node", "n", F.col("first.id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
+    found = found.join(of, (F.col("text_hash") == F.col("first_hash")) & F.col("id").eqNullSafe(F.col("first_id")))
+    return settle(found.select("node", "n", "lists", "long", "fine").dropDuplicates(["node"]), "ngram-again")
 
 
 def _probed(percent: int):
@@ -491,12 +487,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = rows.where("n > 0").groupBy(*key).agg(first.alias("first"), F.count("*").alias("class_size"), F.any_value("lists").alias("lists"), F.any_value("parity").alias("parity"))
     classes = settle(classes.withColumn("node", F.monotonically_increasing_id()), "ngram-classes")
     measured = _measured(classes)
-    changed = settle(_with_long(classes, measured), "ngram-changed")
-    again = _chosen_again(changed, classes, texts, level, measured, width, percent)
+    again = _chosen_again(classes, texts, level, measured, width, percent)
+    changed = settle(again.select("node"), "ngram-changed")
     same = classes.select("node", "n", "lists", F.array().cast("array<long>").alias("long")).join(changed, "node", "left_anti")
     flagged = lambda c, long: F.transform(c, lambda g: F.struct(g.alias("shingle"), F.lit(long).alias("long")))
     every = same.unionByName(again.select("node", "n", "lists", "long")).select(F.explode(F.concat(flagged("lists", False), flagged("long", True))).alias("p"), "n", "node").select("p.*", "n", "node")
-    short, known = every.where("not long").drop("long"), every.where("long").drop("long")
+    short, known = every.where("not long").drop("long"), settle(every.where("long").drop("long"), "ngram-known")
     known = known.join(known.groupBy("shingle").agg(F.count("*").alias("length")).where("length > 1"), "shingle")
     postings = short.unionByName(known.where(F.col("length") <= SHORT).drop("length")).repartition("shingle").sortWithinPartitions("shingle", "n", "node")
     merged = settle(postings.mapInArrow(_merged(percent), "a long, b long, need long, length long"), "ngram-merged")
@@ -521,7 +517,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         named = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     tops = named.groupBy("root").agg(F.min("first").alias("top"))
     named = settle(named.join(tops, "root").select(*key, "class_size", "top"), "ngram-named")
-    release(classes, changed, again, merged, members)
+    release(classes, again, changed, known, merged, members)
     own = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
     out = ["id", "text_hash", "n"]
     empty = rows.where("n = 0").select(*out, F.lit(1).cast("long").alias("class_size"), own.alias("top"))
@@ -538,10 +534,5 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     groups = similar_groups(docs, id_col, text_col, width, percent)
     mine = F.col(f"`{id_col}`").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash"))
-    gone = settle(groups.where(~mine).select(F.col(f"`{id_col}`").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(), "ngram-gone")
-    spot = lambda c: F.col(c).bitwiseAND((1 << MARK_BITS) - 1)
-    marks = bit_array(gone.select(spot("gone_hash").alias("p")), MARK_BITS).scalar()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("text_hash"))
-    rows = rows.withColumn("marked", bit_is_set(marks, spot("text_hash")))
-    stay = rows.where("marked").join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("text_hash") == F.col("gone_hash")), "left_anti")
-    return rows.where("not marked").select("doc.*").unionByName(stay.select("doc.*"))
+    gone = settle(groups.where(~mine).select(F.col(f"`{id_col}`").alias("id"), "text_hash").distinct(), "ngram-gone")
+    return rows_without(docs, gone, id_col, text_col)

@@ -20,12 +20,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import release, rows_without, settle
 
 #: The most labelled documents that the classifier is fitted on.
 SAMPLE = 20_000
@@ -197,17 +196,15 @@ def classify_quality(docs: DataFrame, labels: DataFrame, host_col: str = "source
 def keep_quality(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` that :func:`classify_quality` keeps, with all their columns.
 
-    Evidence is computed once, beside the rows, which are written to the shared folder with
-    it; only texts go to Python, and none come back.
+    Evidence is computed once, without the texts; of the rows themselves only those are
+    shuffled whose text's hash is marked as rejected.
     """
     model = fit_classifier(docs, labels, id_col, text_col, sample=sample)
-
-    @F.pandas_udf("double")
-    def evidence(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.log_odds(texts.tolist()))
-
-    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
-    rows = docs.select(doc, F.col(f"`{host_col}`").cast("string").alias("host"), F.col(f"`{path_col}`").cast("string").alias("path"), evidence(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("log_odds"))
-    rows = settle(rows, "quality-rows")
-    sites = fit_sites(rows.select("host", "path", "log_odds"))
-    return _judged(_at_site(rows, sites, F.col("host"), F.col("path")), sites).where(F.col("probability") >= threshold).select("doc.*")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), F.col(f"`{host_col}`").cast("string").alias("host"), F.col(f"`{path_col}`").cast("string").alias("path"), text.alias("text"))
+    scores = settle(_evidence(slim, model), "quality-scores")
+    sites = fit_sites(scores)
+    judged = _judged(_at_site(scores, sites, F.col("host"), F.col("path")), sites)
+    gone = settle(judged.where(F.col("probability") < threshold).select("id", "text_hash", F.col("host").alias("other0"), F.col("path").alias("other1")).distinct(), "quality-gone")
+    release(scores)
+    return rows_without(docs, gone, id_col, text_col, (host_col, path_col))
