@@ -30,6 +30,20 @@ def test_recall_and_exact_scores(spark):
     assert len(got) == 150 and np.mean(hits) >= 0.95
 
 
+def test_recall_on_the_shared_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    data = {r.vec_id: np.array(r.embedding, float) for r in table.collect()}
+    ids, x = np.array(sorted(data)), np.stack([data[i] for i in sorted(data)])
+    got = {}
+    for r in search(table, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = []
+    for q, mine in got.items():
+        s = np.where(ids == q, -np.inf, x @ data[q])
+        hits.append(len(mine & set(ids[np.lexsort((ids, -s))[:20]].tolist())) / 20)
+    assert len(got) == (ids % 20 == 0).sum() and np.mean(hits) >= 0.9
+
+
 def test_vectors_that_take_no_part(spark):
     rows = [(0, [1, 2]), (1, [2, 1]), (2, None), (3, [0, 0]), (4, [1, None]), (5, [float("inf"), 1]), (6, [float("nan"), 1]), (7, []), (8, [1, 2, 3]), (None, [5, 5]), (9, [1, 2]), (9, [1, 2])]
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in search(frame(spark, rows), F.col("vec_id") == 0).orderBy("rank").collect()]

@@ -1,3 +1,6 @@
+import itertools
+import random
+import re
 import pytest
 
 from tidegauge.llm.html_text import extract_text, html_to_text
@@ -44,3 +47,49 @@ def test_all_words_of_pages_stay(spark):
 ])
 def test_rows_keep_what_is_not_a_cell(source, want):
     assert html_to_text(source) == want
+
+
+def tree(rng, depth, shown, counter):
+    """A random tree as HTML, with the words that it shows: written here apart from the extractor."""
+    source, seen = "", []
+    for _ in range(rng.randint(1, 4)):
+        kind = rng.random()
+        if kind < 0.4 or depth == 0:
+            word = f"w{next(counter)}"
+            source += f" {word} "
+            seen += [word] if shown else []
+            continue
+        name = rng.choice(["div", "span", "b", "section", "ul", "blockquote", "custom-x"])
+        attribute, inner = "", shown
+        if kind < 0.5:
+            attribute, inner = rng.choice([' hidden', ' style="color:red;display: none"']), None
+        elif kind < 0.6:
+            attribute, inner = " style='visibility:hidden'", False if shown is not None else None
+        elif kind < 0.7:
+            attribute, inner = ' style="Visibility: visible"', True if shown is not None else None
+        body, words = tree(rng, depth - 1, inner, counter)
+        source += f"<{name}{attribute}>{body}</{name}>"
+        seen += words
+    return source, seen
+
+
+def test_words_of_random_trees():
+    for seed in range(300):
+        source, seen = tree(random.Random(seed), 6, True, itertools.count())
+        assert re.findall(r"w\d+", html_to_text(source)) == seen, source
+
+
+def test_tables_with_implied_rows_and_spans():
+    assert html_to_text("<table><td>a<td>b</table>") == "a  b"
+    assert html_to_text("<table><tbody><td>a<td>b<tr><td>cc<td>d</table>") == "a   b\ncc  d"
+    assert html_to_text("<table><tr><td colspan=2>head<tr><td>a<td>b</table>") == "head\na  b"
+    assert html_to_text("<table><tr><td colspan=2>wide heading<tr><td>a<td>b<td>c</table>") == "wide heading\na  b" + " " * 10 + "c"
+    assert html_to_text("<table><tr><td rowspan=2>x<td>1<tr><td>2</table>") == "x  1\n   2"
+    assert html_to_text("<ol><li>a<li value=5>b<li>c</ol>") == "1. a\n5. b\n6. c"
+
+
+def test_any_depth():
+    assert html_to_text("<div>" * 450 + "<p hidden>secret</p>" + "tail") == "tail"
+    assert html_to_text("<b><div>" * 60_000 + "x") == "x"
+    assert html_to_text("<p><button>" + "<div>" * 100_000 + "x") == "x"
+    assert html_to_text("<table><tr><td>" * 2000 + "x") == "x"

@@ -18,8 +18,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import settle
@@ -50,15 +49,15 @@ def _one_line(value: str | None) -> str | None:
     return None if value is None else value.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def _capture(page_id: int | None, url: str | None, payload: bytes, first: int | None, name: str) -> bytes:
-    """The three records of a capture; ``first`` is the page that holds the payload, None for a response."""
+def _capture(page_id: int | None, url: str | None, payload: bytes, first: int | None, copy: int) -> bytes:
+    """The three records of a capture; ``first`` is the page that holds the payload, None for a response, ``copy`` the row's number among those with its id and payload."""
     sha, url = digest(payload), _one_line(url)
-    main = f"<urn:capture:{page_id}:{sha}:{name}>"
+    main = f"<urn:capture:{page_id}:{sha}:{copy}>"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     kind = "response" if first is None else "revisit"
     fields = [("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha1:{sha}"), ("Content-Type", "application/http;msgtype=response")]
     if first is not None:
-        fields += [("WARC-Refers-To", f"<urn:capture:{first}:{sha}>"), ("WARC-Profile", REVISIT_PROFILE)]
+        fields += [("WARC-Refers-To", f"<urn:capture:{first}:{sha}:0>"), ("WARC-Profile", REVISIT_PROFILE)]
     m = re.match(r"[a-zA-Z][\w+.-]*://([^/?#]*)([^#]*)", url or "")
     asked = f"GET {(m and m[2]) or '/'} HTTP/1.1\r\nHost: {(m and m[1]) or '-'}\r\n\r\n".encode()
     about = ("" if page_id is None else f"page-id: {page_id}\r\n").encode() + b"payload-bytes: %d\r\n" % len(payload)
@@ -73,13 +72,11 @@ def _capture(page_id: int | None, url: str | None, payload: bytes, first: int |
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, n = TaskContext.get().partitionId(), 0
     for batch in batches:
         out, held = [], 0
-        for page_id, url, payload, first in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "first")), strict=True):
-            out.append(_capture(page_id, url, payload, first, f"{part}-{n}"))
+        for page_id, url, payload, first, copy in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "first", "copy")), strict=True):
+            out.append(_capture(page_id, url, payload, first, copy))
             held += len(out[-1])
-            n += 1
             if held > BATCH_BYTES:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
                 out, held = [], 0
@@ -98,8 +95,13 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).cast("binary").alias("payload"))
     keyed = rows.withColumn("bytes", F.length("payload")).withColumn("full", F.sha2("payload", 256))
     groups = keyed.where(F.col("bytes") >= least_bytes).groupBy("bytes", "full").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    known = keyed.join(groups, ["bytes", "full"], "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("first"))
-    known.mapInArrow(_members, "member binary").select(F.col("member").cast("string")).write.option("lineSep", NOTHING.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+    known = keyed.join(groups, ["bytes", "full"], "left").select("page_id", "url", "payload", "full", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("first"))
+    twins = keyed.groupBy("page_id", "full").agg(F.count("*").alias("n")).where("n > 1").select(F.col("page_id").alias("twin_id"), F.col("full").alias("twin"))
+    known = known.join(twins, F.col("page_id").eqNullSafe(F.col("twin_id")) & (F.col("full") == F.col("twin")), "left")
+    columns = ["page_id", "url", "payload", "first"]
+    once = known.where("twin is null").select(*columns, F.lit(0).alias("copy"))
+    again = known.where("twin is not null").select(*columns, (F.row_number().over(Window.partitionBy("page_id", "full").orderBy("url")) - 1).alias("copy"))
+    once.unionByName(again).mapInArrow(_members, "member binary").select(F.col("member").cast("string")).write.option("lineSep", NOTHING.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
 
 
 def _inflate(data: bytes) -> bytes:
