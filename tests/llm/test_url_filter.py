@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.llm.queries import BLOCKED_HOSTS, RULES
-from tidegauge.llm.url_filter import Cascade, judge_urls
+from tidegauge.llm.url_filter import Cascade, host_cascade, judge_urls
 
 
 def brute(url):
@@ -42,6 +42,22 @@ def test_cascade_is_exact_over_its_universe(spark, step):
     assert all(r.m == (int(r.key[1:]) % step == 1) for r in rows)
 
 
+def test_the_query_builds_several_levels(spark):
+    from tidegauge.llm.queries import blocked_hosts
+
+    cascade, _ = host_cascade(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), blocked_hosts(spark))
+    assert len(cascade.levels) >= 2
+
+
+def test_levels_of_several_arrays(spark, monkeypatch):
+    monkeypatch.setattr("tidegauge.llm.url_filter.MOST_LOG2", 12)
+    universe = spark.range(9000).select(F.concat(F.lit("k"), "id").alias("key"))
+    cascade = Cascade(universe.where("cast(substr(key, 2) as int) % 3 = 1"), universe)
+    assert len(cascade.levels[0].parts) > 1
+    rows = cascade.beside(universe, "w").select("key", cascade.member(F.col("key"), "w").alias("m")).collect()
+    assert all(r.m == (int(r.key[1:]) % 3 == 1) for r in rows)
+
+
 def test_an_empty_list_has_no_members(spark):
     universe = spark.createDataFrame([("a",), (None,)], "key string")
     cascade = Cascade(universe.limit(0), universe)

@@ -20,6 +20,13 @@ RULES = [
     url_filter.Rule("com", "/de/", "block"),
 ]
 BLOCKED_HOSTS = ["cheap-pills.example.com", "spam-farm.example.org", "casino.example.net"]
+#: Further listed hosts, made by a rule: ``ads-0.example.net`` and so on.
+MORE_HOSTS = 30_000
+
+
+def blocked_hosts(spark: SparkSession) -> DataFrame:
+    named = spark.createDataFrame([(h,) for h in BLOCKED_HOSTS], "host string")
+    return named.unionByName(spark.range(MORE_HOSTS).select(F.concat(F.lit("ads-"), "id", F.lit(".example.net")).alias("host")))
 
 
 def tokenizer_path(name: str) -> str:
@@ -33,7 +40,7 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(table(spark, sf_dir, "pages"), RULES, BLOCKED_HOSTS)
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), RULES, blocked_hosts(spark))
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,12 +82,13 @@ OP2_SQL = r"""
 WITH u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
                   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
      rules(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
-     listed(h) AS (VALUES ('cheap-pills.example.com'), ('spam-farm.example.org'), ('casino.example.net')),
+     listed(h) AS (VALUES ('cheap-pills.example.com'), ('spam-farm.example.org'), ('casino.example.net') UNION ALL SELECT 'ads-' || i || '.example.net' FROM range(30000) t(i)),
+     hosts AS (SELECT host, max((host = h OR ends_with(host, '.' || h))::INT) AS bad FROM (SELECT DISTINCT host FROM u), listed GROUP BY host),
      fits AS (SELECT u.page_id, max({'n': length(h || p), 'rule': h || p, 'v': v}) AS best FROM u, rules
               WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY u.page_id)
 SELECT u.page_id, host, path, best.rule AS rule,
-       coalesce(best.v, CASE WHEN EXISTS (SELECT 1 FROM listed WHERE host = h OR ends_with(host, '.' || h)) THEN 'block' ELSE 'allow' END) AS verdict
-FROM u LEFT JOIN fits USING (page_id)
+       coalesce(best.v, CASE WHEN bad = 1 THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN fits USING (page_id) LEFT JOIN hosts USING (host)
 """
 
 OP3_SQL = r"""
