@@ -230,3 +230,27 @@ def test_seasonality(spark):
     factors = seasonality.adjust_x13(make(spark, AIRLINE), 12).select("idx", "factor").where("idx < 12").collect()
     assert abs(np.mean([r.factor for r in factors]) - 1) < 1e-9
     assert seasonality.consolidate([(12, 0.9), (12.5, 0.5), (7, 0.3), (3, 0.05)]) == [(12, 0.9), (7, 0.3)] and seasonality.period_relations([7, 365, 14]) == [(7, 14)] + [(7, 365)] * (abs(365 / 7 - 52) < 0.1) + [(14, 365)] * (abs(365 / 14 - 26) < 0.1)
+
+
+def test_merged_anomalies_are_compared_with_the_one_held(spark):
+    from tidegauge.operators import anomaly
+
+    rows = [("a", i, s) for i, s in ((0, 5.0), (3, 1.0), (6, 2.0), (8, 2.0), (20, 1.0), (22, 4.0), (25, 4.5))]
+    base = anomaly.zscore(spark.createDataFrame([("a", "2024-01-01", 0, 1.0)], "series_id string, d string, idx long, value double").selectExpr("series_id", "cast(d as timestamp_ntz) ts", "idx", "value"), 1.0)
+    found = spark.createDataFrame(rows, "series_id string, idx long, score double")
+    found = found.select(*[f.name if f.name in found.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in base.select(*anomaly.COLUMNS).schema])
+    assert sorted((r.idx, r.score) for r in anomaly.merge_nearby(found, 3).collect()) == [(0, 5.0), (6, 2.0), (25, 4.5)]
+
+
+def test_variance_changes_keep_their_distance(spark):
+    from tidegauge.operators import series as s, stationarity
+
+    rows = [("a", i, float((-1) ** i * (1 if i // 40 % 2 else 20))) for i in range(200)]
+    df = s.with_index(spark.createDataFrame(rows, "series_id string, i long, value double").selectExpr("series_id", "timestamp_seconds(i) ts", "value"))
+    got = sorted(r.idx for r in stationarity.variance_changes(df).collect())
+    everything = sorted(r.idx for r in stationarity.variance_changes(df, min_distance=1).collect())
+    want = []
+    for i in everything:
+        if not want or i >= want[-1] + 10:
+            want.append(i)
+    assert got == want and len(everything) > len(got) > 3

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -256,11 +257,20 @@ def group_by_window(found: DataFrame, minutes: int) -> DataFrame:
 
 
 def merge_nearby(found: DataFrame, max_gap: int) -> DataFrame:
-    """Of anomalies in a chain of index gaps up to ``max_gap`` the one with the largest score."""
-    w = Window.partitionBy(KEY).orderBy("idx")
-    runs = found.withColumn("gap_new", F.col("idx") - F.lag("idx").over(w))
-    runs = runs.withColumn("run", F.sum(F.coalesce((F.col("gap_new") > max_gap).cast("int"), F.lit(1))).over(w))
-    return runs.groupBy(KEY, "run").agg(F.max_by(F.struct(*COLUMNS[1:]), F.struct("score", -F.col("idx"))).alias("r")).select(KEY, "r.*").select(*COLUMNS)
+    """In index order, an anomaly within ``max_gap`` of the one held is merged with it, and that with the larger score (the first of equals) is held on."""
+    rows = found.select(*COLUMNS)
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, kept = pdf.sort_values("idx"), []
+        for k, (idx, score) in enumerate(zip(pdf["idx"].tolist(), pdf["score"].tolist(), strict=True)):
+            if kept and idx <= kept[-1][1] + max_gap:
+                if score > kept[-1][2]:
+                    kept[-1] = k, idx, score
+            else:
+                kept.append((k, idx, score))
+        return pdf.iloc[[k for k, _, _ in kept]]
+
+    return rows.groupBy(KEY).applyInPandas(merged, rows.schema)
 
 
 def density(found: DataFrame, series: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -197,10 +198,20 @@ def binary_segmentation(series: DataFrame, segment: int = 5, critical: float = 4
     return per_series(series, run, "idx long, score double", 10)
 
 
-def variance_changes(series: DataFrame, segment: int = 5, critical: float = 4.0) -> DataFrame:
-    """Ratio of the sample variances of the 2 ``segment`` points after and before; candidates above ``critical``."""
+def variance_changes(series: DataFrame, segment: int = 5, critical: float = 4.0, min_distance: int = 10) -> DataFrame:
+    """Ratio of the sample variances of the 2 ``segment`` points after and before; candidates above ``critical``, each at least ``min_distance`` valid points after the one kept before it."""
     k = 2 * segment
     before, after = by_index().rowsBetween(-k, -1), by_index().rowsBetween(0, k - 1)
-    rows = valid(series).withColumns({"v0": F.var_samp(val()).over(before), "v1": F.var_samp(val()).over(after), "n0": F.count(val()).over(before), "n1": F.count(val()).over(after)})
+    place = F.row_number().over(by_index())
+    rows = valid(series).withColumns({"place": place, "v0": F.var_samp(val()).over(before), "v1": F.var_samp(val()).over(after), "n0": F.count(val()).over(before), "n1": F.count(val()).over(after)})
     f = safe_div(F.greatest("v0", "v1"), F.least("v0", "v1"))
-    return rows.withColumn("f", f).where((F.col("n0") == k) & (F.col("n1") == k) & (F.col("f") > critical)).select(KEY, "idx", "ts", "value", "f")
+    found = rows.withColumn("f", f).where((F.col("n0") == k) & (F.col("n1") == k) & (F.col("f") > critical)).select(KEY, "idx", "ts", "value", "f", "place")
+
+    def spaced(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, kept, last = pdf.sort_values("place"), [], None
+        for p in pdf["place"].tolist():
+            kept.append(last is None or p >= last + min_distance)
+            last = p if kept[-1] else last
+        return pdf[kept]
+
+    return found.groupBy(KEY).applyInPandas(spaced, found.schema).drop("place")

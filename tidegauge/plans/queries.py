@@ -293,7 +293,7 @@ query("principal_components")(on(orders_daily, multivariate.principal_components
 query("component_scores")(on(orders_daily, lambda s: multivariate.component_scores(s, multivariate.principal_components(s))))
 for _measure in multivariate.DISTANCES:
     query(f"distance_{_measure}")(on(flags_daily, lambda s, m=_measure: multivariate.pairwise_distances(s, m)))
-_FIRST = f"{FLAGS}, g AS (SELECT a.series_id AS var1, b.series_id AS var2, a.value AS x, b.value AS y FROM (SELECT * FROM f WHERE least(idx, 60) < 60) a JOIN (SELECT * FROM f WHERE least(idx, 60) < 60) b ON a.idx = b.idx AND a.series_id < b.series_id)"
+_FIRST = f"{FLAGS}, g AS (SELECT a.series_id AS var1, b.series_id AS var2, a.value AS x, b.value AS y FROM f a JOIN f b ON a.idx = b.idx AND a.series_id < b.series_id)"
 SQL["distance_euclidean"] = f"WITH {_FIRST} SELECT var1, var2, round(sqrt(sum((x - y) ** 2)), 6) AS distance FROM g GROUP BY 1, 2"
 SQL["distance_manhattan"] = f"WITH {_FIRST} SELECT var1, var2, round(sum(abs(x - y)), 6) AS distance FROM g GROUP BY 1, 2"
 SQL["distance_cosine"] = f"WITH {_FIRST} SELECT var1, var2, round(1 - sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))), 6) AS distance FROM g GROUP BY 1, 2"
