@@ -36,6 +36,12 @@ STAGES = [("quality classifier", quality_stage), ("exact dedup", exact_stage), (
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of the documents that all stages keep.
+
+    Each stage is written to the shared folder and read again. Null texts count as empty;
+    an empty table gives an empty result; how each stage treats nulls, ties and repeated
+    rows stands with its operator.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         out = stage(spark, docs, sf_dir)
