@@ -26,9 +26,6 @@ def test_round_trip(spark, tmp_path):
     warc.write_archives(df, path)
     got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.page_captures(spark, path).collect()}
     assert got == brute(PAGES)
-    records = warc.read_records(spark, path).collect()
-    named = [r.record_id for r in records]
-    assert len(set(named)) == len(named) and {r.refers_to for r in records if r.refers_to} <= set(named) and any(r.refers_to for r in records)
     files = list((tmp_path / "w").glob("part-*"))
     assert sum(gzip.decompress(f.read_bytes()).count(b"WARC-Type: metadata") for f in files) == len(PAGES)
 
