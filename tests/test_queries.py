@@ -7,9 +7,11 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from tidegauge.plans import oracles
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["flagship", "describe", "rolling", "linear_fill", "gaps", "histogram", "anomaly_iqr", "detect_anomalies", "temporal_clusters", "longest_runs", "autocorrelation", "cross_correlation", "correlation_spearman", "rolling_correlation", "seasonal_strength", "effect_month", "cusum", "forecast_seasonal_naive", "clean_linear", "distance_cosine", "pareto_front", "persistence", "compact", "parse_times", "sliding_windows"]
+NAMES = ["flagship", "describe", "rolling", "linear_fill", "gaps", "histogram", "anomaly_iqr", "detect_anomalies", "temporal_clusters", "longest_runs", "autocorrelation", "cross_correlation", "correlation_spearman", "rolling_correlation", "seasonal_strength", "effect_month", "cusum", "forecast_seasonal_naive", "clean_linear", "distance_cosine", "pareto_front", "persistence", "compact", "parse_times", "sliding_windows",
+         "kernel_density", "qq_points", "shapiro_wilk", "anomaly_volatility", "anomaly_seasonal_context", "ensemble_vote", "trend_summary", "mann_kendall", "decompose_multiplicative", "stl", "correlation_tests", "rolling_spearman", "acf_periods", "pattern_consistency", "evolving_strength", "effect_easter", "effect_holidays", "kpss_trend", "quality_scores", "quality_trend", "stream_modified_zscore", "session_windows"]
 
 
 @pytest.fixture(scope="module")
@@ -41,6 +43,10 @@ def test_matches_sql(spark, duck, name):
     assert got == want
 
 
+def test_sql_has_its_query():
+    assert set(oracles.SQL) <= set(__spark_entry__.queries())
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 5
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

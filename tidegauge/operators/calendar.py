@@ -110,9 +110,9 @@ def holiday_effects(series: DataFrame, holidays: DataFrame, within: int = 7, bey
 
 
 def easter_effect(series: DataFrame) -> DataFrame:
-    """Mean near Easter (three days either side), on Good Friday and a week before, and on all other days."""
+    """Mean on Good Friday, on the other days up to three from Easter, a week before it, and on all other days."""
     rows = valid(series).withColumn("off", F.datediff(F.col("ts").cast("date"), easter(F.year("ts"))))
-    slot = F.when(F.abs("off") <= 3, "easter").when(F.col("off") == -7, "palm_sunday").otherwise("other")
+    slot = F.when(F.col("off") == -2, "good_friday").when(F.abs("off") <= 3, "easter").when(F.col("off") == -7, "palm_sunday").otherwise("other")
     return rows.groupBy(KEY, slot.alias("slot")).agg(F.count("*").alias("n"), F.avg(val()).alias("mean"))
 
 

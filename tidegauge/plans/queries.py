@@ -242,9 +242,9 @@ query("detrend_linear", f"WITH {EVENTS}, t AS (SELECT series_id, regr_slope(valu
 query("difference", f"WITH {EVENTS} SELECT series_id, idx, round(value - 2 * lag(value) {_W}) + lag(value, 2) {_W}), 6) AS detrended FROM e")(on(events, lambda s: trend.difference(s, 2).select("series_id", "idx", "detrended")))
 query("detrend_moving_average", f"WITH {EVENTS}, t AS (SELECT *, CASE WHEN count(value) {_C} = 5 THEN avg(value) {_C} END AS trend FROM e) SELECT series_id, idx, round(trend, 6) AS trend, round(value - trend, 6) AS detrended FROM t")(on(events, lambda s: trend.detrend_moving_average(s, 5).select("series_id", "idx", "trend", "detrended")))
 query("hodrick_prescott")(on(events, detectors_np.hodrick_prescott))
-query("decompose_additive")(on(orders_daily, lambda s: trend.decompose(s, 7)))
-query("decompose_multiplicative")(on(orders_daily, lambda s: trend.decompose(s, 12, True)))
-query("stl")(on(orders_daily, lambda s: trend.stl(s, 7)))
+query("decompose_additive", None, 3)(on(orders_daily, lambda s: trend.decompose(s, 7)))
+query("decompose_multiplicative", None, 5)(on(orders_daily, lambda s: trend.decompose(s, 12, True)))
+query("stl", None, 3)(on(orders_daily, lambda s: trend.stl(s, 7)))
 query("decomposition_strength")(on(orders_daily, lambda s: trend.seasonal_strength(trend.decompose(s, 7))))
 
 # --- correlation --------------------------------------------------------------------------
@@ -312,8 +312,8 @@ query("seasonal_profile", f"WITH {ORDERS}, g AS (SELECT series_id, avg(value) AS
 query("seasonal_strength", f"""WITH {ORDERS}, g AS (SELECT series_id, avg(value) AS gm FROM o GROUP BY 1), x AS (SELECT series_id, idx % 7 AS p, value - gm AS x FROM o JOIN g USING (series_id)), b AS (SELECT series_id, p, count(*) * avg(x) ** 2 AS b FROM x GROUP BY 1, 2), t AS (SELECT series_id, sum(x ** 2) AS t FROM x GROUP BY 1)
 SELECT series_id, round(sum(b) / any_value(t), 6) AS strength FROM b JOIN t USING (series_id) GROUP BY 1""")(on(orders_daily, lambda s: seasonality.seasonal_strength(s, 7)))
 query("pattern_consistency")(on(orders_daily, lambda s: seasonality.pattern_consistency(s, 7)))
-query("adjust_additive")(on(orders_daily, lambda s: seasonality.adjust(s, 7)))
-query("adjust_multiplicative")(on(orders_daily, lambda s: seasonality.adjust(s, 7, True)))
+query("adjust_additive", None, 3)(on(orders_daily, lambda s: seasonality.adjust(s, 7)))
+query("adjust_multiplicative", None, 3)(on(orders_daily, lambda s: seasonality.adjust(s, 7, True)))
 query("adjust_x13")(on(orders_daily, lambda s: seasonality.adjust_x13(s, 12)))
 query("evolving_strength")(on(orders_daily, lambda s: seasonality.evolving_strength(s, 7, 112)))
 query("calendar_features", """SELECT o_orderkey, (isodow(o_orderdate) - 1)::INT AS dow, month(o_orderdate)::INT AS month, quarter(o_orderdate)::INT AS quarter, year(o_orderdate)::INT AS year, dayofyear(o_orderdate)::INT AS day_of_year, week(o_orderdate)::INT AS iso_week, hour(o_orderdate)::INT AS hour, isodow(o_orderdate) > 5 AS is_weekend,
@@ -323,10 +323,10 @@ _EFFECT = """WITH {src}, g AS (SELECT series_id, avg(value) AS gm FROM o GROUP B
 round((avg(value) - any_value(gm)) / nullif(stddev_samp(value) / sqrt(count(*)), 0), 6) AS t FROM o JOIN g USING (series_id) GROUP BY 1, 3"""
 for _name, _op, _slot in (("day_of_week", calendar.day_of_week_effects, "isodow(ts) - 1"), ("month", calendar.month_effects, "month(ts)"), ("working_day", calendar.working_day_effect, "isodow(ts) < 6"), ("leap_year", calendar.leap_year_effect, "year(ts) % 4 = 0 AND (year(ts) % 100 <> 0 OR year(ts) % 400 = 0)")):
     query(f"effect_{_name}", _EFFECT.format(src=ORDERS, name=_name, slot=_slot))(on(orders_daily, _op))
-query("effect_trading_days")(on(orders_daily, calendar.trading_day_effect))
+query("effect_trading_days", None, 4)(on(orders_daily, calendar.trading_day_effect))
 query("effect_easter")(on(orders_daily, calendar.easter_effect))
 query("calendar_strength")(on(orders_daily, calendar.calendar_strength))
-query("effect_holidays")(lambda spark, d: calendar.holiday_effects(orders_daily(spark, d), spark.sql("SELECT 'christmas' AS name, make_date(y, 12, 25) AS day FROM (SELECT explode(sequence(1992, 2000)) AS y)")))
+query("effect_holidays", None, 4)(lambda spark, d: calendar.holiday_effects(orders_daily(spark, d), spark.sql("SELECT 'christmas' AS name, make_date(y, 12, 25) AS day FROM (SELECT explode(sequence(1992, 2000)) AS y)")))
 
 # --- stationarity and change points -------------------------------------------------------
 
@@ -339,7 +339,7 @@ c AS (SELECT *, pu - least(0, min(pu) OVER w) AS up, pd - least(0, min(pd) OVER
 SELECT series_id, idx, ts, round(value, 6) AS value, round(up, 4) AS up, round(down, 4) AS down, greatest(up, down) > 4 * s AS alarm FROM c""")(on(events, lambda s: stationarity.cusum(s).withColumns({"up": F.round("up", 4), "down": F.round("down", 4)})))
 query("cusum_changepoints")(on(events, stationarity.cusum_changepoints))
 query("pelt")(on(orders_daily, stationarity.pelt))
-query("binary_segmentation")(on(events, stationarity.binary_segmentation))
+query("binary_segmentation")(on(events, lambda s: stationarity.binary_segmentation(s, critical=2.5)))
 query("variance_changes")(on(events, stationarity.variance_changes))
 query("complexity")(on(flags_daily, detectors_np.complexity))
 
@@ -384,7 +384,7 @@ query("quality_trend")(on(events, lambda s: quality.quality_trend(quality.window
 # --- streams replayed from tables ---------------------------------------------------------
 
 for _m in ("zscore", "modified_zscore", "iqr", "volatility"):
-    query(f"stream_{_m}")(on(events, lambda s, m=_m: detector.replay(s, method=m, threshold=2.5 if m != "iqr" else 0.5, size=50)))
+    query(f"stream_{_m}")(on(events, lambda s, m=_m: detector.replay(s, method=m, threshold={"iqr": 0.5, "volatility": 1.5}.get(m, 2.5), size=50).withColumn("ts", F.col("ts").cast("timestamp_ntz"))))
 query("stream_adaptive")(on(events, lambda s: detector.replay(s, method="zscore", threshold=2.5, size=50, adaptive=True)))
 for _m in drift.DETECTORS:
     query(f"drift_{_m}")(on(events, lambda s, m=_m: drift.detect_drift(s, m)))
