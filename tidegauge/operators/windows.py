@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -102,30 +103,24 @@ def window_fill(series: DataFrame, size: int = 5, statistic: str = "mean") -> Da
     return series.withColumn("filled", F.coalesce(v, agg.over(w)))
 
 
-def exponential_fill(series: DataFrame, alpha: float) -> DataFrame:
-    """Missing values take the exponentially weighted mean of the values before them.
+def _levels(series: DataFrame, alpha: float) -> DataFrame:
+    """``level``: the exponentially weighted mean of the values so far, null before the first; a series at a time, linear in its length."""
 
-    A fold over the series' values, collected in time order.
-    """
-    level = F.aggregate(
-        F.collect_list(F.struct("idx", "value")).over(all_before()),
-        F.lit(None).cast("double"),
-        lambda s, x: F.when(s.isNull(), x["value"]).when(x["value"].isNull(), s).otherwise(alpha * x["value"] + (1 - alpha) * s),
-    )
-    return series.withColumn("filled", F.coalesce("value", level))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        return pdf[[KEY, "idx"]].assign(level=pdf["value"].ewm(alpha=alpha, adjust=False, ignore_na=True).mean())
 
+    return series.select(KEY, "idx", "value").groupBy(KEY).applyInPandas(run, "series_id string, idx long, level double")
 
-def ewma(series: DataFrame, alpha: float) -> DataFrame:
-    """Exponentially weighted mean of all values so far, by one fold for each series."""
-    rows = series.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("idx", "ts", "value"))).alias("rows"))
-    start = F.struct(F.lit(None).cast("double").alias("level"), F.array().cast("array<double>").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        level = F.when(s["level"].isNull(), x["value"]).when(x["value"].isNull(), s["level"]).otherwise(alpha * x["value"] + (1 - alpha) * s["level"])
-        return F.struct(level.alias("level"), F.array_append(s["out"], level).alias("out"))
+def exponential_fill(series: DataFrame, alpha: float) -> DataFrame:
+    """Missing values take the exponentially weighted mean of the values before them."""
+    return series.join(_levels(series, alpha), [KEY, "idx"]).withColumn("filled", F.coalesce("value", "level")).drop("level")
 
-    folded = rows.withColumn("levels", F.aggregate("rows", start, step)["out"])
-    return folded.select(KEY, F.explode(F.arrays_zip("rows", "levels")).alias("r")).select(KEY, "r.rows.idx", "r.rows.ts", "r.rows.value", F.col("r.levels").alias("smooth"))
+
+def ewma(series: DataFrame, alpha: float) -> DataFrame:
+    """Exponentially weighted mean of all values so far."""
+    return series.join(_levels(series, alpha), [KEY, "idx"]).select(KEY, "idx", "ts", "value", F.col("level").alias("smooth"))
 
 
 def moving_average(series: DataFrame, size: int) -> DataFrame:

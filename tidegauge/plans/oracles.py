@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .queries import _C, _IQR, _SEV, _XY, _Z, EVENTS, FLAGS, ORDERS, SQL
+from ..operators.seasonality import HENDERSON_13
+from .queries import _IQR, _SEV, _XY, _Z, EVENTS, FLAGS, HOLED, ORDERS, SQL
 
 
 def _horner(k: tuple[str, ...], x: str) -> str:
@@ -164,7 +165,7 @@ t AS (SELECT y, m + d - 7 * ((g + 11 * m + 22 * d) // 451) + 114 AS t FROM d), z
 SELECT series_id, CASE WHEN off = -2 THEN 'good_friday' WHEN abs(off) <= 3 THEN 'easter' WHEN off = -7 THEN 'palm_sunday' ELSE 'other' END AS slot, count(*) AS n, round(avg(value), 6) AS mean FROM f GROUP BY 1, 2"""
 SQL["effect_holidays"] = f"""WITH {ORDERS}, h AS (SELECT make_date(y, 12, 25) + k AS day, k::INT AS k FROM (SELECT unnest(range(1992, 2001)) AS y), (SELECT unnest(range(-14, 15))::INT AS k)), c AS (SELECT series_id, value, k FROM o JOIN h ON ts::DATE = day),
 b AS (SELECT series_id, (s - cs) / (n - cn) AS baseline FROM (SELECT series_id, sum(value) AS s, count(*) AS n FROM o GROUP BY 1) JOIN (SELECT series_id, sum(value) AS cs, count(*) AS cn FROM c GROUP BY 1) USING (series_id))
-SELECT series_id, 'christmas' AS name, k AS "offset", count(*) AS n, round(avg(value), 4) AS mean, round(any_value(baseline), 4) AS baseline, round(avg(value) - any_value(baseline), 4) AS impact FROM c JOIN b USING (series_id) WHERE abs(k) <= 7 GROUP BY 1, 3"""
+SELECT series_id, 'christmas' AS name, k AS "offset", count(*) AS n, round(avg(value), 5) AS mean, round(any_value(baseline), 5) AS baseline, round(avg(value) - any_value(baseline), 5) AS impact FROM c JOIN b USING (series_id) WHERE abs(k) <= 7 GROUP BY 1, 3"""
 _SHARE = "SELECT series_id, '{name}' AS effect_of, round(sum(b) / any_value(total), 6) AS strength FROM (SELECT series_id, count(*) * (avg(value) - any_value(gm)) ** 2 AS b FROM o JOIN g USING (series_id) GROUP BY series_id, {slot}) JOIN g USING (series_id) GROUP BY 1"
 SQL["calendar_strength"] = f"WITH {ORDERS}, g AS (SELECT series_id, avg(value) AS gm, var_pop(value) * count(*) AS total FROM o GROUP BY 1) {_SHARE.format(name='day_of_week', slot='isodow(ts)')} UNION ALL {_SHARE.format(name='month', slot='month(ts)')}"
 for _name, _left, _c in (("kpss", "m", (0.739, 0.463, 0.347)), ("kpss_trend", "a + b * idx", (0.216, 0.146, 0.119))):
@@ -205,3 +206,58 @@ SQL["stream_modified_zscore"] = f"""WITH {EVENTS}, w AS (SELECT *, avg(value) OV
 z AS (SELECT *, .6745 * abs(value - med) / mad AS score FROM m WHERE mad > 0 AND med <> 0) {_HIT.format(rows='z', t=2.5, sev=_SEV.format(r='score / 2.5', m=1.5, h=2.0, c=2.5))}"""
 SQL["stream_iqr"] = f"""WITH {EVENTS}, w AS (SELECT *, avg(value) OVER w AS mean, quantile_cont(value, .25) OVER w AS q1, quantile_cont(value, .75) OVER w AS q3 FROM e WINDOW w AS {_LAST}), z AS (SELECT *, greatest(q1 - 1.5 * (q3 - q1) - value, value - q3 - 1.5 * (q3 - q1)) / (q3 - q1) AS score FROM w WHERE q3 > q1)
 {_HIT.format(rows='z', t=.5, sev=_SEV.format(r='score / .5', m=1.5, h=2.0, c=2.5))}"""
+SQL["stream_volatility"] = f"""WITH {EVENTS}, d AS (SELECT *, avg(value) OVER {_LAST} AS mean, value - lag(value) OVER (PARTITION BY series_id ORDER BY idx) AS d FROM e), z AS (SELECT *, stddev_pop(d) OVER {_frame('8 PRECEDING', 'CURRENT ROW')} / nullif(stddev_pop(d) OVER {_frame('48 PRECEDING', 'CURRENT ROW')}, 0) AS score FROM d)
+{_HIT.format(rows='z', t=1.5, sev=_SEV.format(r='score / 1.5', m=1.5, h=2.0, c=2.5)).replace('idx > 0', 'idx >= 9')}"""
+
+# --- recurrences, a row at a time
+
+SQL["ewma"] = f"""WITH RECURSIVE {HOLED}, w AS (SELECT series_id, idx, value, value AS level FROM h WHERE idx = 0 UNION ALL SELECT h.series_id, h.idx, h.value, CASE WHEN w.level IS NULL THEN h.value WHEN h.value IS NULL THEN w.level ELSE .3 * h.value + .7 * w.level END FROM w JOIN h ON h.series_id = w.series_id AND h.idx = w.idx + 1)
+SELECT series_id, idx, round(value, 6) AS value, round(level, 6) AS smooth FROM w"""
+SQL["exponential_fill"] = SQL["ewma"].replace("round(value, 6) AS value, round(level, 6) AS smooth", "round(coalesce(value, level), 6) AS filled")
+SQL["forecast_ses"] = f"WITH {ORDERS}, l AS (SELECT series_id, list_reduce(list(value ORDER BY idx), lambda a, x: .3 * x + .7 * a) AS l FROM o GROUP BY 1) SELECT series_id, unnest(range(1, 11))::INT AS step, round(l, 4) AS forecast FROM l"
+SQL["merge_nearby"] = f"""WITH RECURSIVE {EVENTS}, {_Z.format(t=1.5)}, c AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY idx) AS r FROM z), m AS (SELECT series_id, r, 1 AS grp, idx AS held, score FROM c WHERE r = 1
+UNION ALL SELECT c.series_id, c.r, CASE WHEN c.idx <= held + 3 THEN grp ELSE grp + 1 END, CASE WHEN c.idx <= held + 3 AND c.score <= m.score THEN held ELSE c.idx END, CASE WHEN c.idx <= held + 3 AND c.score <= m.score THEN m.score ELSE c.score END FROM m JOIN c ON c.series_id = m.series_id AND c.r = m.r + 1),
+k AS (SELECT series_id, arg_max(held, r) AS idx FROM m GROUP BY series_id, grp)
+SELECT series_id, idx, ts, round(value, 6) AS value, round(score, 6) AS score, {_SEV.format(r='score / 1.5', m=1.2, h=1.5, c=2.0)} AS severity, round(m, 6) AS expected, 'zscore' AS method FROM c JOIN k USING (series_id, idx)"""
+SQL["variance_changes"] = f"""WITH RECURSIVE {EVENTS}, w AS (SELECT *, var_samp(value) OVER b AS v0, count(*) OVER b AS n0, var_samp(value) OVER a AS v1, count(*) OVER a AS n1 FROM e WINDOW b AS {_frame('10 PRECEDING', '1 PRECEDING')}, a AS {_frame('CURRENT ROW', '9 FOLLOWING')}),
+c AS (SELECT *, greatest(v0, v1) / nullif(least(v0, v1), 0) AS f FROM w WHERE n0 = 10 AND n1 = 10 AND greatest(v0, v1) / nullif(least(v0, v1), 0) > 4),
+k AS (SELECT series_id, min(idx) AS idx FROM c GROUP BY 1 UNION ALL SELECT series_id, idx FROM (SELECT k.series_id, (SELECT min(c.idx) FROM c WHERE c.series_id = k.series_id AND c.idx >= k.idx + 10) AS idx FROM k) WHERE idx IS NOT NULL)
+SELECT series_id, idx, ts, round(value, 6) AS value, round(f, 6) AS f FROM c JOIN k USING (series_id, idx)"""
+SQL["cusum_changepoints"] = f"""WITH RECURSIVE {EVENTS}, d AS (SELECT series_id, idx, value - m AS d, s FROM e JOIN (SELECT series_id, avg(value) AS m, stddev_pop(value) AS s FROM e GROUP BY 1) USING (series_id)),
+c AS (SELECT DISTINCT series_id, -1::BIGINT AS idx, 0::DOUBLE AS up, 0::DOUBLE AS down, -10::BIGINT AS last, false AS hit, 0::DOUBLE AS score FROM d
+UNION ALL SELECT series_id, idx, CASE WHEN top > 4 * s THEN 0 ELSE u END, CASE WHEN top > 4 * s THEN 0 ELSE w END, CASE WHEN top > 4 * s AND idx - last >= 10 THEN idx ELSE last END, top > 4 * s AND idx - last >= 10, top / s
+FROM (SELECT *, greatest(u, w) AS top FROM (SELECT d.series_id, d.idx, s, last, greatest(0, up + d - .5 * s) AS u, greatest(0, down - d - .5 * s) AS w FROM c JOIN d ON d.series_id = c.series_id AND d.idx = c.idx + 1)))
+SELECT series_id, idx, round(score, 6) AS score FROM c WHERE hit"""
+
+# --- forecasts
+
+_LAST_GAP = f"{ORDERS}, en AS (SELECT series_id, max(ts) AS last, arg_max(g, idx) AS gap, max(idx) + 1 AS n FROM (SELECT *, ts - lag(ts) OVER (PARTITION BY series_id ORDER BY idx) AS g FROM o) GROUP BY 1)"
+SQL["forecast_dates"] = f"WITH {_LAST_GAP}, m AS (SELECT series_id, avg(value) AS f FROM o JOIN en USING (series_id) WHERE idx >= n - 5 GROUP BY 1) SELECT series_id, step, last + step * gap AS ts, round(f, 6) AS forecast, 'moving_average' AS method FROM en JOIN m USING (series_id), (SELECT unnest(range(1, 4))::INT AS step)"
+
+
+def _members(source: str, horizon: int) -> str:
+    """Rows (series_id, step, method, forecast) of three forecasters on ``source``."""
+    steps = f"(SELECT unnest(range(1, {horizon + 1}))::INT AS step)"
+    return f"""SELECT series_id, step, 'moving_average' AS method, f AS forecast FROM (SELECT series_id, avg(value) AS f FROM (SELECT * FROM {source} QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY idx DESC) <= 5) GROUP BY 1), {steps}
+UNION ALL SELECT series_id, step, 'linear', a + b * (n - 1 + step) FROM (SELECT series_id, regr_slope(value, idx) AS b, regr_intercept(value, idx) AS a, count(*) AS n FROM {source} GROUP BY 1), {steps}
+UNION ALL SELECT l.series_id, step, 'seasonal_naive', value FROM (SELECT *, 7 - row_number() OVER (PARTITION BY series_id ORDER BY idx DESC) AS phase FROM {source} QUALIFY phase >= 0) l JOIN {steps} ON (step - 1) % 7 = phase"""
+
+
+_OF = f"{ORDERS}, os AS (SELECT o.*, n FROM o JOIN (SELECT series_id, count(*) AS n FROM o GROUP BY 1) USING (series_id)), fc AS ({_members('o', 10)})"
+_TRAIN = f", tn AS (SELECT * FROM os WHERE idx < n - 10), ho AS ({_members('tn', 10)}), er AS (SELECT ho.series_id, method, avg((value - forecast) ** 2) AS mse FROM ho JOIN os ON os.series_id = ho.series_id AND idx - n + 11 = step GROUP BY 1, 2)"
+SQL["ensemble_average"] = f"WITH {_OF} SELECT series_id, step, round(avg(forecast), 4) AS forecast, 'ensemble_average' AS method FROM fc GROUP BY 1, 2"
+SQL["ensemble_median"] = f"WITH {_OF} SELECT series_id, step, round(quantile_cont(forecast, .5), 4) AS forecast, 'ensemble_median' AS method FROM fc GROUP BY 1, 2"
+SQL["ensemble_weighted"] = f"WITH {_OF} SELECT series_id, step, round(sum(forecast * CASE method WHEN 'moving_average' THEN .5 WHEN 'linear' THEN .3 ELSE .2 END), 4) AS forecast, 'ensemble_weighted' AS method FROM fc GROUP BY 1, 2"
+SQL["ensemble_optimal"] = f"WITH {_OF}{_TRAIN} SELECT series_id, step, round(sum(forecast / mse) / sum(1 / mse), 4) AS forecast, 'ensemble_optimal' AS method FROM fc JOIN er USING (series_id, method) GROUP BY 1, 2"
+SQL["ensemble_best"] = f"WITH {_OF}{_TRAIN} SELECT series_id, step, round(forecast, 4) AS forecast, 'ensemble_best' AS method FROM fc JOIN (SELECT series_id, arg_min(method, mse) AS method FROM er GROUP BY 1) USING (series_id, method)"
+SQL["forecast_intervals"] = f"""WITH {_OF}, l AS (SELECT * FROM fc WHERE method = 'linear'), s AS (SELECT series_id, 1.96 * greatest(stddev_pop(forecast), .1 * abs(avg(forecast))) AS half FROM l GROUP BY 1)
+SELECT series_id, step, method, round(forecast, 4) AS forecast, round(forecast - half * sqrt(1 + (step - 1) * .1::DOUBLE), 4) AS lower, round(forecast + half * sqrt(1 + (step - 1) * .1::DOUBLE), 4) AS upper FROM l JOIN s USING (series_id)"""
+SQL["ensemble_diversity"] = f"""WITH {_OF} SELECT 'linear' AS model1, 'seasonal_naive' AS model2, round(corr(a.forecast, b.forecast), 6) AS correlation, round(avg(abs(a.forecast - b.forecast)), 6) AS disagreement FROM fc a JOIN fc b ON a.series_id = b.series_id AND a.step = b.step AND a.method = 'linear' AND b.method = 'seasonal_naive'"""
+_ERRORS = "count(*) AS n, round(avg(abs(a - f)), 4) AS mae, round(sqrt(avg((a - f) ** 2)), 4) AS rmse, round(100 * avg(abs((a - f) / a)), 4) AS mape, round(100 * avg(2 * abs(a - f) / (abs(a) + abs(f))), 4) AS smape, round(1 - sum((a - f) ** 2) / (var_pop(a) * count(*)), 4) AS r2"
+SQL["forecast_metrics"] = f"""WITH {_OF}, tn AS (SELECT * FROM os WHERE idx < n - 14), ho AS ({_members('tn', 14)}), p AS (SELECT ho.series_id, value AS a, forecast AS f FROM ho JOIN os ON os.series_id = ho.series_id AND idx - n + 15 = step AND method = 'seasonal_naive'),
+nv AS (SELECT series_id, avg(d) AS d FROM (SELECT series_id, abs(value - lag(value) OVER (PARTITION BY series_id ORDER BY idx)) AS d FROM o) GROUP BY 1) SELECT series_id, {_ERRORS}, round(avg(abs(a - f)) / any_value(d), 4) AS mase FROM p JOIN nv USING (series_id) GROUP BY 1"""
+SQL["walk_forward"] = f"""WITH {_OF}, b AS (SELECT *, n - 7 * (3 - fold) AS split FROM os, (SELECT unnest(range(3))::INT AS fold)), t AS (SELECT series_id, fold, avg(value) AS f FROM b WHERE idx < split AND idx >= split - 5 GROUP BY 1, 2),
+p AS (SELECT series_id, fold, value AS a, f FROM b JOIN t USING (series_id, fold) WHERE idx >= split AND idx < split + 7) SELECT series_id, fold, {_ERRORS} FROM p GROUP BY 1, 2"""
+SQL["adjust_x13"] = f"""WITH {ORDERS}, t AS (SELECT *, idx % 12 AS phase, ({' + '.join(f"({w}) * lag(value, {6 - j}) OVER i" for j, w in enumerate(HENDERSON_13))}) / {sum(HENDERSON_13)!r} AS trend FROM o WINDOW i AS (PARTITION BY series_id ORDER BY idx)),
+f AS (SELECT series_id, phase, avg(value / trend) AS f FROM t WHERE trend IS NOT NULL GROUP BY 1, 2), g AS (SELECT series_id, avg(f) AS g FROM f GROUP BY 1)
+SELECT series_id, idx, ts, round(value, 4) AS value, round(trend, 4) AS trend, round(f / g, 4) AS factor, round(f - g, 4) AS factor_ref, round(value / (f / g), 4) AS adjusted FROM t JOIN f USING (series_id, phase) JOIN g USING (series_id)"""

@@ -129,6 +129,7 @@ for _stat, _agg in (("mean", "avg(value)"), ("median", "quantile_cont(value, .5)
     query(f"window_fill_{_stat}", f"WITH {HOLED} SELECT series_id, idx, round(coalesce(value, {_agg} OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)), 6) AS filled FROM h")(on(holed, lambda s, k=_stat: windows.window_fill(s, 5, k).select("series_id", "idx", "filled")))
 query("constant_fill", f"WITH {HOLED} SELECT series_id, idx, round(coalesce(value, 0), 6) AS filled FROM h")(on(holed, lambda s: windows.constant_fill(s, 0).select("series_id", "idx", "filled")))
 query("ewma")(on(holed, lambda s: windows.ewma(s, 0.3).drop("ts")))
+query("exponential_fill")(on(holed, lambda s: windows.exponential_fill(s, 0.3).select("series_id", "idx", "filled")))
 _C = "OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"
 query("centred_moving_average", f"WITH {HOLED} SELECT series_id, idx, round(avg(value) {_C}, 6) AS smooth FROM h")(on(holed, lambda s: windows.moving_average(s, 5).select("series_id", "idx", "smooth")))
 query("median_filter", f"WITH {HOLED} SELECT series_id, idx, round(quantile_cont(value, .5) {_C}, 6) AS smooth FROM h")(on(holed, lambda s: windows.median_filter(s, 5).select("series_id", "idx", "smooth")))
@@ -314,7 +315,7 @@ SELECT series_id, round(sum(b) / any_value(t), 6) AS strength FROM b JOIN t USIN
 query("pattern_consistency")(on(orders_daily, lambda s: seasonality.pattern_consistency(s, 7)))
 query("adjust_additive", None, 3)(on(orders_daily, lambda s: seasonality.adjust(s, 7)))
 query("adjust_multiplicative", None, 3)(on(orders_daily, lambda s: seasonality.adjust(s, 7, True)))
-query("adjust_x13")(on(orders_daily, lambda s: seasonality.adjust_x13(s, 12)))
+query("adjust_x13", None, 4)(on(orders_daily, lambda s: seasonality.adjust_x13(s, 12)))
 query("evolving_strength")(on(orders_daily, lambda s: seasonality.evolving_strength(s, 7, 112)))
 query("calendar_features", """SELECT o_orderkey, (isodow(o_orderdate) - 1)::INT AS dow, month(o_orderdate)::INT AS month, quarter(o_orderdate)::INT AS quarter, year(o_orderdate)::INT AS year, dayofyear(o_orderdate)::INT AS day_of_year, week(o_orderdate)::INT AS iso_week, hour(o_orderdate)::INT AS hour, isodow(o_orderdate) > 5 AS is_weekend,
 (month(o_orderdate) = 1 AND day(o_orderdate) = 1) OR (month(o_orderdate) = 12 AND day(o_orderdate) = 25) AS is_holiday, round(sin(2 * pi() * (isodow(o_orderdate) - 1) / 7), 6) AS dow_sin, round(cos(2 * pi() * (isodow(o_orderdate) - 1) / 7), 6) AS dow_cos FROM orders""")(
@@ -326,7 +327,7 @@ for _name, _op, _slot in (("day_of_week", calendar.day_of_week_effects, "isodow(
 query("effect_trading_days", None, 4)(on(orders_daily, calendar.trading_day_effect))
 query("effect_easter")(on(orders_daily, calendar.easter_effect))
 query("calendar_strength")(on(orders_daily, calendar.calendar_strength))
-query("effect_holidays", None, 4)(lambda spark, d: calendar.holiday_effects(orders_daily(spark, d), spark.sql("SELECT 'christmas' AS name, make_date(y, 12, 25) AS day FROM (SELECT explode(sequence(1992, 2000)) AS y)")))
+query("effect_holidays", None, 5)(lambda spark, d: calendar.holiday_effects(orders_daily(spark, d), spark.sql("SELECT 'christmas' AS name, make_date(y, 12, 25) AS day FROM (SELECT explode(sequence(1992, 2000)) AS y)")))
 
 # --- stationarity and change points -------------------------------------------------------
 
@@ -359,8 +360,8 @@ query("forecast_seasonal_naive", f"WITH {ORDERS}{_DAILY} SELECT n.series_id, ste
 query("forecast_prophet", f"""WITH {ORDERS}{_DAILY}, b AS (SELECT series_id, arg_min(value, idx) AS f, arg_max(value, idx) AS l, count(*) AS n FROM o GROUP BY 1) SELECT series_id, step, round(l + step * (l - f) / (n - 1) + .05 * sin(2 * pi() * ((n + step - 1) % 7) / 7), 6) AS forecast FROM b, st""")(_plain("prophet_like"))
 for _m in ("ses", "holt_winters", "ets", "theta", "arima", "sarima", "auto_arima"):
     query(f"forecast_{_m}", None, 4)(_plain(_m))
-query("forecast_dates")(on(orders_daily, lambda s: forecasting.forecast(s, "moving_average", 3)))
-query("forecast_intervals")(on(orders_daily, lambda s: forecasting.with_intervals(forecasting.forecast(s, "linear", 10)).drop("ts")))
+query("forecast_dates")(on(orders_daily, lambda s: forecasting.forecast(s, "moving_average", 3).withColumn("ts", F.col("ts").cast("timestamp_ntz"))))
+query("forecast_intervals", None, 4)(on(orders_daily, lambda s: forecasting.with_intervals(forecasting.forecast(s, "linear", 10)).drop("ts")))
 _MEMBERS = {"moving_average": {}, "linear": {}, "seasonal_naive": {"period": 7}}
 for _how in ("average", "median", "best", "optimal"):
     query(f"ensemble_{_how}", None, 4)(on(orders_daily, lambda s, h=_how: forecasting.ensemble(s, _MEMBERS, 10, h).drop("ts")))
