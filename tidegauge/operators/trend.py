@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import safe_div, two_sided_p
+from .detectors_np import mann_kendall as counted_kendall
 from .series import by_index, KEY, valid, place, val
 from .windows import average_ranks
 
@@ -70,14 +71,10 @@ def breakpoints(series: DataFrame, threshold: float = 1.0, window: int = 10) ->
 def mann_kendall(series: DataFrame) -> DataFrame:
     """S of all pairs, its z with continuity correction (no correction for ties) and p-value.
 
-    S is the sum over pairs i < j of sign(x_j - x_i). It comes from each point's number
-    of smaller and greater values before it. The pairs of a series are compared in one
-    join on the series; for long series use :func:`..gp.mann_kendall`.
+    S is the sum over pairs i < j of sign(x_j - x_i). It is counted series by series in
+    n log n steps, so no pairs are made. Series of fewer than 3 values give none.
     """
-    rows = valid(series).select(KEY, "idx", "value")
-    later = rows.toDF(KEY, "j", "w")
-    s = rows.join(later, KEY).where(F.col("j") > F.col("idx")).groupBy(KEY).agg(F.sum(F.signum(F.col("w") - val())).alias("s"))
-    return _kendall_test(s.join(rows.groupBy(KEY).agg(F.count("*").alias("n")), KEY))
+    return _kendall_test(counted_kendall(series).select(KEY, F.col("n").cast("long").alias("n"), "s"))
 
 
 def _kendall_test(t: DataFrame) -> DataFrame:
