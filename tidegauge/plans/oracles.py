@@ -261,3 +261,10 @@ p AS (SELECT series_id, fold, value AS a, f FROM b JOIN t USING (series_id, fold
 SQL["adjust_x13"] = f"""WITH {ORDERS}, t AS (SELECT *, idx % 12 AS phase, ({' + '.join(f"({w}) * lag(value, {6 - j}) OVER i" for j, w in enumerate(HENDERSON_13))}) / {sum(HENDERSON_13)!r} AS trend FROM o WINDOW i AS (PARTITION BY series_id ORDER BY idx)),
 f AS (SELECT series_id, phase, avg(value / trend) AS f FROM t WHERE trend IS NOT NULL GROUP BY 1, 2), g AS (SELECT series_id, avg(f) AS g FROM f GROUP BY 1)
 SELECT series_id, idx, ts, round(value, 4) AS value, round(trend, 4) AS trend, round(f / g, 4) AS factor, round(f - g, 4) AS factor_ref, round(value / (f / g), 4) AS adjusted FROM t JOIN f USING (series_id, phase) JOIN g USING (series_id)"""
+SQL["residual_statistics"] = f"""WITH {_OF}, tn AS (SELECT * FROM os WHERE idx < n - 60), ho AS ({_members('tn', 60)}), r AS (SELECT ho.series_id, step AS i, value - forecast AS r FROM ho JOIN os ON os.series_id = ho.series_id AND idx - n + 61 = step AND method = 'linear'),
+t AS (SELECT series_id, count(*) AS n, avg(r) AS m, stddev_pop(r) AS s, skewness(r) * (count(*) - 2) / sqrt(count(*) * (count(*) - 1)) AS g1, kurtosis_pop(r) AS g2 FROM r GROUP BY 1), a AS (SELECT a.series_id, n, b.i - a.i AS k, sum((a.r - m) * (b.r - m)) / n / s ** 2 AS acf FROM r a JOIN r b ON a.series_id = b.series_id AND b.i - a.i BETWEEN 1 AND 5 JOIN t ON t.series_id = a.series_id GROUP BY a.series_id, n, s, b.i - a.i)
+SELECT t.series_id, round(m, 4) AS mean, round(s, 4) AS std, round(g1, 4) AS skewness, round(g2, 4) AS kurtosis, round(q, 4) AS ljung_box FROM t JOIN (SELECT series_id, any_value(n * (n + 2)) * sum(acf ** 2 / (n - k)) AS q FROM a GROUP BY 1) USING (series_id)"""
+_O_SCORES = _SCORES.replace(EVENTS, ORDERS).replace("FROM e)", "FROM o)").replace("FROM e GROUP", "FROM o GROUP").replace("FROM e JOIN", "FROM o JOIN")
+_RULES = {"overall < 60": "low data quality", "k > 1": "high variability", "k < .1": "stable values", "abs(sk) > 1": "skewed distribution", "direction LIKE '%increasing'": "rising trend", "direction LIKE '%decreasing'": "falling trend", "dn < 30": "few points"}
+SQL["insights"] = f"""WITH {_O_SCORES}, ds AS (SELECT series_id, count(*) AS dn, stddev_pop(value) / abs(avg(value)) AS k, skewness(value) AS sk FROM o GROUP BY 1), tr AS ({SQL['trend_summary']}), al AS (SELECT * FROM ds JOIN sc USING (series_id) JOIN (SELECT series_id, direction FROM tr) USING (series_id))
+{' UNION ALL '.join(f"SELECT series_id, '{t}' AS finding FROM al WHERE {c}" for c, t in _RULES.items())}"""
