@@ -268,3 +268,9 @@ _O_SCORES = _SCORES.replace(EVENTS, ORDERS).replace("FROM e)", "FROM o)").replac
 _RULES = {"overall < 60": "low data quality", "k > 1": "high variability", "k < .1": "stable values", "abs(sk) > 1": "skewed distribution", "direction LIKE '%increasing'": "rising trend", "direction LIKE '%decreasing'": "falling trend", "dn < 30": "few points"}
 SQL["insights"] = f"""WITH {_O_SCORES}, ds AS (SELECT series_id, count(*) AS dn, stddev_pop(value) / abs(avg(value)) AS k, skewness(value) AS sk FROM o GROUP BY 1), tr AS ({SQL['trend_summary']}), al AS (SELECT * FROM ds JOIN sc USING (series_id) JOIN (SELECT series_id, direction FROM tr) USING (series_id))
 {' UNION ALL '.join(f"SELECT series_id, '{t}' AS finding FROM al WHERE {c}" for c, t in _RULES.items())}"""
+_I, _W7 = "OVER (PARTITION BY series_id ORDER BY idx)", f"OVER {_frame('6 PRECEDING', 'CURRENT ROW')}"
+_FULL = ", ".join(f"CASE WHEN idx >= 6 THEN round({f}(value) {_W7}, 3) END AS rolling_7_{n}" for n, f in (("mean", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max")))
+_CYCLES = ", ".join(f"round({f}(2 * pi() * ({c}) / {n}), 3) + 0 AS {k}_{f}" for k, c, n in (("dow", "isodow(ts) - 1", 7), ("month", "month(ts) - 1", 12), ("hour", "hour(ts)", 24)) for f in ("sin", "cos"))
+SQL["forecast_features"] = f"""WITH {ORDERS} SELECT series_id, round(value, 3) AS value, idx, idx AS vidx, {', '.join(f'round(lag(value, {k}) {_I}, 3) AS lag_{k}' for k in (1, 2, 7, 14, 21))}, {_FULL}, idx AS trend, idx * idx AS trend_squared, round(value - lag(value) {_I}, 3) AS first_diff, round(value - 2 * lag(value) {_I} + lag(value, 2) {_I}, 3) AS second_diff,
+(isodow(ts) - 1)::INT AS dow, month(ts)::INT AS month, quarter(ts)::INT AS quarter, year(ts)::INT AS year, dayofyear(ts)::INT AS day_of_year, week(ts)::INT AS iso_week, hour(ts)::INT AS hour, isodow(ts) > 5 AS is_weekend, {_CYCLES}, (month(ts) = 1 AND day(ts) = 1) OR (month(ts) = 12 AND day(ts) = 25) AS is_holiday,
+idx % 7 AS season, round(sin(2 * pi() * (idx % 7) / 7), 3) AS season_sin, round(cos(2 * pi() * (idx % 7) / 7), 3) AS season_cos FROM o"""

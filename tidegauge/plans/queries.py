@@ -369,7 +369,7 @@ query("ensemble_weighted", None, 4)(on(orders_daily, lambda s: forecasting.ensem
 query("forecast_metrics", None, 4)(on(orders_daily, lambda s: forecasting.metrics(forecasting.holdout(s, "seasonal_naive", 14, period=7), s)))
 query("walk_forward", None, 4)(on(orders_daily, lambda s: forecasting.metrics(forecasting.walk_forward(s, "moving_average", 7, 3), None, ("series_id", "fold"))))
 query("residual_statistics", None, 4)(on(orders_daily, lambda s: forecasting.residual_statistics(forecasting.holdout(s, "linear", 60), 5)))
-query("forecast_features")(on(orders_daily, lambda s: forecasting.lag_features(s, [1, 2], [7], 7).drop("ts")))
+query("forecast_features", None, 3)(on(orders_daily, lambda s: forecasting.lag_features(s, [1, 2], [7], 7).drop("ts")))
 
 # --- quality ------------------------------------------------------------------------------
 
