@@ -86,3 +86,14 @@ def test_synthetic(spark):
     assert [r.value for r in a] == [r.value for r in b]
     rows = synthetic.correlated_pair(spark, 500, 0.9)
     assert rows.count() == 1000
+
+
+def test_csv_skips_and_bounds_rows(spark, tmp_path):
+    lines = ["time,v", *[f"2024-01-{i:02d} 00:00:00,{i}" for i in range(1, 10)]]
+    lines[4] = "unreadable,4"
+    path = tmp_path / "rows.csv"
+    path.write_text("\n".join(lines))
+    got = lambda **o: sorted(r.value for r in readers.read_csv(spark, str(path), **o).collect())
+    assert got(skip_rows=2) == [3, 5, 6, 7, 8, 9]
+    assert got(skip_rows=2, max_rows=3) == [3, 5, 6]
+    assert got(max_rows=0) == [] and got(skip_rows=50) == [] and len(got()) == 8

@@ -59,24 +59,49 @@ def time_column(columns: list[str]) -> str:
     return next((c for c in columns if any(n in low[c] for n in TIME_NAMES)), columns[0])
 
 
+def _time_of(df: DataFrame, time: str | list[str] | None) -> Column:
+    time = time or time_column(df.columns)
+    if isinstance(time, str):
+        return parse_time(F.col(f"`{time}`"))
+    return parse_time(F.concat_ws(" ", *[F.col(f"`{c}`") for c in time]) if len(time) > 1 else F.col(f"`{time[0]}`"))
+
+
 def to_long(df: DataFrame, time: str | list[str] | None = None, values: list[str] | None = None, missing: float | None = None) -> DataFrame:
     """A series for each value column; rows without a readable time go. ``time``: a column, or a date and a time column."""
     time = time or time_column(df.columns)
     parts = [time] if isinstance(time, str) else time
     names = values or [c for c in df.columns if c not in parts]
-    ts = parse_time(F.concat_ws(" ", *[F.col(f"`{c}`") for c in parts]) if len(parts) > 1 else F.col(f"`{parts[0]}`"))
+    ts = _time_of(df, parts)
     cells = F.array(*[F.struct(F.lit(c).alias(KEY), F.col(f"`{c}`").cast("string").alias("raw")) for c in names])
     rows = df.select(ts.alias("ts"), F.explode(cells).alias("cell")).where(F.col("ts").isNotNull())
     return rows.select(F.col(f"cell.{KEY}").alias(KEY), "ts", parse_value(F.col("cell.raw"), missing).alias("value"))
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, header: bool | None = None, **options) -> DataFrame:
+def take_rows(df: DataFrame, skip_rows: int = 0, max_rows: int | None = None, keep: Column | None = None) -> DataFrame:
+    """Without the first ``skip_rows`` rows, then the first ``max_rows`` of those that ``keep`` holds for, in the order of reading.
+
+    Each task gives no more than these numbers of row ids to find the two cuts.
+    """
+    at = F.col("__at")
+    rows = df.withColumn("__at", F.monotonically_increasing_id())
+    if skip_rows > 0:
+        cut = rows.select("__at").orderBy("__at").limit(skip_rows).agg(F.max("__at")).scalar()
+        rows = rows.where(at > cut)
+    if max_rows is not None:
+        rows = (rows if keep is None else rows.where(keep)).orderBy("__at").limit(max(0, max_rows))
+    return rows.drop("__at")
+
+
+def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, header: bool | None = None, skip_rows: int = 0, max_rows: int | None = None, **options) -> DataFrame:
+    """``skip_rows`` data rows are passed over; ``max_rows`` bounds the rows with a readable time."""
     if delimiter is None or header is None:
         found = sniff_csv(spark, path)
         delimiter, header = delimiter or found[0], found[1] if header is None else header
     df = spark.read.csv(path, sep=delimiter, header=header, inferSchema=False, mode="PERMISSIVE")
     if not header:
         df = df.toDF(*[f"column_{i}" for i in range(len(df.columns))])
+    if skip_rows or max_rows is not None:
+        df = take_rows(df, skip_rows, max_rows, _time_of(df, options.get("time")).isNotNull())
     return to_long(df, **options)
 
 
