@@ -1,8 +1,8 @@
 """Causality, vector autoregression, cointegration, principal components and similarity of series.
 
-Variables are the series of one frame, aligned by index. A system of variables is one
-task's work: sums over the points are taken in Spark where they suffice (PCA), else the
-aligned values are collected for each system.
+Variables are the series of one frame, aligned by index. Systems of variables are fitted
+from sums over the points, which Spark takes; only their matrix, whose size depends on the
+number of variables and lags, meets in one task.
 """
 
 from __future__ import annotations
@@ -67,14 +67,6 @@ def granger_test(cause: np.ndarray, effect: np.ndarray, lags: int) -> tuple[floa
     return f, f_tail(f, lags, df) if df > 0 else 1.0
 
 
-def _systems(series: DataFrame) -> DataFrame:
-    return valid(series).select(F.lit(0).alias("system"), KEY, "idx", "value")
-
-
-def _wide(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pdf.pivot_table(index="idx", columns=KEY, values="value").dropna().sort_index()
-
-
 def granger(series: DataFrame, lags: int = 5, alpha: float = 0.05) -> DataFrame:
     """F test of each ordered pair of series: whether the past of ``cause`` helps to predict ``effect``."""
     from .correlation import pair_up
@@ -91,49 +83,113 @@ def granger(series: DataFrame, lags: int = 5, alpha: float = 0.05) -> DataFrame:
     return pair_up(series).groupBy("var1", "var2").applyInPandas(run, "cause string, effect string, f double, p_value double, is_significant boolean")
 
 
-def fit_var(y: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Intercepts, coefficient matrices (lag, equation, variable) and residual covariance over n - 1."""
-    k, z = y.shape[1], np.hstack([np.ones((len(y) - p, 1)), lagged(y, p)])
-    b = np.linalg.lstsq(z, y[p:], rcond=None)[0]
-    r = y[p:] - z @ b
-    return b[0], b[1:].reshape(p, k, k).transpose(0, 2, 1), r.T @ r / max(1, len(r) - 1)
+class Moments:
+    """Sums of products of (1, all variables at lags 0 to ``p``), variables less their means, over ``n`` points."""
+
+    def __init__(self, rows: pd.DataFrame, p: int):
+        means = rows[rows["kind"] == "mean"].sort_values(KEY)
+        self.names, self.means, self.p, self.k = list(means[KEY]), means["value"].to_numpy(float), p, len(means)
+        size = 1 + self.k * (p + 1)
+        sums = rows[rows["kind"] == "product"].sort_values("at")["value"].to_numpy(float)
+        self.sums = sums.reshape(size, size) if len(sums) else np.zeros((size, size))
+        self.last, self.n = rows[rows["kind"] == "last"].sort_values("at")["value"].to_numpy(float), self.sums[0, 0]
+
+    def lag(self, i: int) -> np.ndarray:
+        """Picks the variables at lag ``i``."""
+        return np.eye(1 + self.k * (self.p + 1))[1 + i * self.k : 1 + (i + 1) * self.k]
+
+    def between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Sums of products of two sets of combinations."""
+        return a @ self.sums @ b.T
+
+    def regression(self, z: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Coefficients of least squares of ``y`` on ``z``; columns are scaled before the normal equations are solved."""
+        zz = self.between(z, z)
+        d = 1 / np.sqrt(np.maximum(np.diag(zz), 1e-300))
+        return d[:, None] * np.linalg.lstsq(zz * np.outer(d, d), d[:, None] * self.between(z, y), rcond=None)[0]
+
+
+def _by_moments(series: DataFrame, p: int, finish: Callable[[Moments], list[tuple]], schema: str) -> DataFrame:
+    """The rows that ``finish`` makes of the moments of all points at which every variable has its values at lags 0 to ``p``.
+
+    A point's values meet in a group of (p + 1) times as many as there are variables;
+    tasks sum their points' products, so what is shuffled further doesn't grow with the points.
+    Without any common point the result is empty.
+    """
+    rows = valid(series).select(KEY, "idx", "value")
+    means = rows.groupBy(KEY).agg(F.avg("value").alias("mean"))
+    variables = means.agg(F.count("*").alias("k")).scalar()
+    cells = rows.join(means, KEY).select(F.explode(F.sequence(F.lit(0), F.lit(p))).alias("lag"), KEY, "idx", (F.col("value") - F.col("mean")).alias("x"))
+    points = cells.groupBy((F.col("idx") + F.col("lag")).cast("long").alias("t")).agg(F.array_sort(F.collect_list(F.struct("lag", KEY, "x"))).alias("w"))
+    points = points.where(F.size("w") == variables * (p + 1)).select("t", F.col("w.x").alias("w"))
+
+    def products(batches):
+        sums, at, last = None, -1, None
+        for b in batches:
+            if not len(b):
+                continue
+            w = np.stack(b["w"].to_list())
+            z = np.hstack([np.ones((len(w), 1)), w])
+            sums = z.T @ z if sums is None else sums + z.T @ z
+            i = int(b["t"].to_numpy().argmax())
+            if b["t"].iat[i] > at:
+                at, last = int(b["t"].iat[i]), w[i]
+        if sums is not None:
+            for kind, values in (("product", sums.ravel()), ("last", last)):
+                yield pd.DataFrame({"kind": kind, "at": np.arange(len(values)), "t": at, "value": values})
+
+    sums = points.mapInPandas(products, "kind string, at int, t long, value double").groupBy("kind", "at")
+    sums = sums.agg(F.when(F.col("kind") == "last", F.max_by("value", "t")).otherwise(F.sum("value")).alias("value"))
+    every = sums.select("kind", "at", F.lit(None).cast("string").alias(KEY), "value")
+    every = every.unionByName(means.select(F.lit("mean").alias("kind"), F.lit(0).alias("at"), KEY, F.col("mean").alias("value")))
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = Moments(pdf, p)
+        return pd.DataFrame(finish(m) if m.n else [], columns=names, dtype=None if m.n else object)
+
+    return every.withColumn("system", F.lit(0)).groupBy("system").applyInPandas(run, schema)
+
+
+def fit_var(m: Moments) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intercepts (of values less their means), coefficient matrices (lag, equation, variable) and residual covariance over n - 1."""
+    one = np.eye(1, m.sums.shape[0])
+    z, y, k = np.vstack([one, *[m.lag(i) for i in range(1, m.p + 1)]]), m.lag(0), m.k
+    b = m.regression(z, y)
+    e = y - b.T @ z
+    return b[0], b[1:].reshape(m.p, k, k).transpose(0, 2, 1), m.between(e, e) / max(1, m.n - 1)
 
 
 def var_forecast(series: DataFrame, p: int = 1, horizon: int = 10) -> DataFrame:
     """Joint forecasts of all series by a vector autoregression."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = _wide(pdf)
-        y = wide.to_numpy()
-        c, a, _ = fit_var(y, p)
-        past, rows = list(y[-p:]), []
+    def finish(m: Moments) -> list[tuple]:
+        c, a, _ = fit_var(m)
+        past, rows = list(m.last.reshape(p + 1, m.k)[:p][::-1]), []
         for h in range(1, horizon + 1):
-            v = c + sum(a[i] @ past[-1 - i] for i in range(p))
-            past.append(v)
-            rows += [(name, h, float(x)) for name, x in zip(wide.columns, v, strict=True)]
-        return pd.DataFrame(rows, columns=[KEY, "step", "forecast"])
+            past.append(c + sum(a[i] @ past[-1 - i] for i in range(p)))
+            rows += [(name, h, float(x)) for name, x in zip(m.names, past[-1] + m.means, strict=True)]
+        return rows
 
-    return _systems(series).groupBy("system").applyInPandas(run, f"{KEY} string, step int, forecast double")
+    return _by_moments(series, p, finish, f"{KEY} string, step int, forecast double")
 
 
 def impulse_responses(series: DataFrame, p: int = 1, steps: int = 10) -> DataFrame:
     """Orthogonalised responses (Cholesky, variables by name), and each shock's share of the forecast variance."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = _wide(pdf)
-        _, a, s = fit_var(wide.to_numpy(), p)
-        k, names = len(s), list(wide.columns)
-        chol = np.linalg.cholesky(s + 1e-12 * np.eye(k))
+    def finish(m: Moments) -> list[tuple]:
+        _, a, s = fit_var(m)
+        k, names = m.k, m.names
+        chol = np.linalg.cholesky((s + s.T) / 2 + 1e-12 * np.eye(k))
         psi = [np.eye(k)]
         for h in range(1, steps + 1):
             psi.append(sum(psi[h - i - 1] @ a[i] for i in range(min(p, h))))
-        theta = [m @ chol for m in psi]
+        theta = [x @ chol for x in psi]
         share = np.cumsum([t**2 for t in theta], axis=0)
         share = share / np.maximum(share.sum(2, keepdims=True), 1e-300)
-        rows = [(names[j], names[i], h, float(theta[h][i, j]), float(share[h][i, j])) for h in range(steps + 1) for i in range(k) for j in range(k)]
-        return pd.DataFrame(rows, columns=["impulse", "response", "step", "irf", "fevd"])
+        return [(names[j], names[i], h, float(theta[h][i, j]), float(share[h][i, j])) for h in range(steps + 1) for i in range(k) for j in range(k)]
 
-    return _systems(series).groupBy("system").applyInPandas(run, "impulse string, response string, step int, irf double, fevd double")
+    return _by_moments(series, p, finish, "impulse string, response string, step int, irf double, fevd double")
 
 
 def engle_granger(series: DataFrame) -> DataFrame:
@@ -158,28 +214,28 @@ JOHANSEN_5 = {1: 3.84, 2: 15.49, 3: 29.80, 4: 47.86, 5: 69.82, 6: 95.75}
 
 
 def johansen(series: DataFrame, lags: int = 1) -> DataFrame:
-    """Eigenvalues, trace statistics and vectors of the error-correction form with ``lags`` lagged changes."""
+    """Eigenvalues, trace statistics and vectors of the error-correction form with ``lags`` lagged changes.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = _wide(pdf)
-        y = wide.to_numpy()
-        d = np.diff(y, axis=0)
-        z0, z1 = d[lags:], y[lags:-1]
-        z2 = np.hstack([np.ones((len(z0), 1)), *[d[lags - i : len(d) - i] for i in range(1, lags + 1)]])
-        r0, r1 = (z - z2 @ np.linalg.lstsq(z2, z, rcond=None)[0] for z in (z0, z1))
-        n = len(r0)
-        s00, s01, s11 = r0.T @ r0 / n, r0.T @ r1 / n, r1.T @ r1 / n
+    ``rejected`` is null, as ``critical_5`` is, where more series are left than the table has critical values for.
+    """
+
+    def finish(m: Moments) -> list[tuple]:
+        change = [m.lag(i) - m.lag(i + 1) for i in range(lags + 1)]
+        z2 = np.vstack([np.eye(1, m.sums.shape[0]), *change[1:]])
+        r0, r1 = (z - m.regression(z2, z).T @ z2 for z in (change[0], m.lag(1)))
+        n, k = m.n, m.k
+        s00, s01, s11 = m.between(r0, r0) / n, m.between(r0, r1) / n, m.between(r1, r1) / n
         values, vectors = np.linalg.eig(np.linalg.solve(s11, s01.T) @ np.linalg.solve(s00, s01))
         order = np.argsort(-values.real)
-        lam, vec, k = np.clip(values.real[order], 0, 1 - 1e-12), vectors.real[:, order], y.shape[1]
+        lam, vec = np.clip(values.real[order], 0, 1 - 1e-12), vectors.real[:, order]
         rows = []
         for r in range(k):
             trace, crit = -n * float(np.log(1 - lam[r:]).sum()), JOHANSEN_5.get(k - r)
             v = vec[:, r] / (vec[0, r] if abs(vec[0, r]) > 1e-12 else 1)
-            rows.append((r, float(lam[r]), trace, -n * math.log(1 - float(lam[r])), crit, bool(crit is not None and trace > crit), [float(c) for c in v]))
-        return pd.DataFrame(rows, columns=["rank", "eigenvalue", "trace", "max_eigenvalue", "critical_5", "rejected", "vector"])
+            rows.append((r, float(lam[r]), trace, -n * math.log(1 - float(lam[r])), crit, None if crit is None else bool(trace > crit), [float(c) for c in v]))
+        return rows
 
-    return _systems(series).groupBy("system").applyInPandas(run, "rank int, eigenvalue double, trace double, max_eigenvalue double, critical_5 double, rejected boolean, vector array<double>")
+    return _by_moments(series, lags + 1, finish, "rank int, eigenvalue double, trace double, max_eigenvalue double, critical_5 double, rejected boolean, vector array<double>")
 
 
 def covariance(series: DataFrame, standardize: bool = True) -> DataFrame:
