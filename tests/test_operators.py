@@ -150,6 +150,36 @@ def test_correlations(spark):
         assert len(got) == 51 and math.isclose(got[30], want(x[21:31], y[21:31]))
 
 
+def test_johansen_against_regressions(spark):
+    rng = np.random.default_rng(3)
+    y = rng.normal(size=(200, 7)).cumsum(0)
+    y[:, 1] = y[:, 0] + rng.normal(size=200)
+    s = make(spark, y[:, 0], "v0")
+    for i in range(1, 7):
+        s = s.unionByName(make(spark, y[:, i], f"v{i}"))
+    d = np.diff(y, axis=0)
+    z0, z1, z2 = d[1:], y[1:-1], np.hstack([np.ones((198, 1)), d[:-1]])
+    r0, r1 = (z - z2 @ np.linalg.lstsq(z2, z, rcond=None)[0] for z in (z0, z1))
+    m = np.linalg.solve(r1.T @ r1, r1.T @ r0) @ np.linalg.solve(r0.T @ r0, r0.T @ r1)
+    got = multivariate.johansen(s).orderBy("rank").collect()
+    assert np.allclose([r.eigenvalue for r in got], sorted(np.linalg.eigvals(m).real, reverse=True), atol=1e-8)
+    assert got[0].rejected is None and got[0].critical_5 is None and got[1].critical_5 == 95.75 and got[1].rejected is not None
+
+
+def test_patterns_and_moments(spark):
+    x = [math.sin(2 * math.pi * i / 12) for i in range(240)]
+    found = {r.period: r.confidence for r in correlation.seasonal_patterns(correlation.autocorrelation(make(spark, x), 52)).collect()}
+    assert found[12] == found[24] == 0.8
+    assert one(stationarity.optimal_lag(stationarity.partial_autocorrelation(make(spark, x)))).optimal_lag == 1
+    v = np.array([1.0, 2, 2, 3, 9])
+    z = (v - v.mean()) / v.std()
+    r = one(descriptive.standardized_moments(make(spark, v)))
+    assert math.isclose(r.skewness, 5 / 12 * (z**3).sum()) and math.isclose(r.kurtosis, 30 / 24 * (z**4).sum() - 48 / 6)
+    for odd in ([4.0] * 6, [1.0, 2.0]):
+        r = one(descriptive.standardized_moments(make(spark, odd)))
+        assert r.skewness == 0 and r.kurtosis == 0
+
+
 def test_causality_and_systems(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=300)
@@ -161,6 +191,20 @@ def test_causality_and_systems(spark):
     assert multivariate.var_forecast(s, 1, 3).count() == 6
     shares = multivariate.impulse_responses(s, 1, 3).groupBy("response", "step").agg(F.sum("fevd").alias("t")).collect()
     assert all(abs(r.t - 1) < 1e-9 for r in shares)
+    want, y2 = [], np.column_stack([x, y])
+    z = np.hstack([np.ones((298, 1)), y2[1:-1], y2[:-2]])
+    b = np.linalg.lstsq(z, y2[2:], rcond=None)[0]
+    past = [*y2]
+    for _ in range(3):
+        past.append(np.concatenate([[1], past[-1], past[-2]]) @ b)
+        want += list(past[-1])
+    got = multivariate.var_forecast(s, 2, 3).orderBy("step", "series_id").collect()
+    assert np.allclose([r.forecast for r in got], want, atol=1e-9)
+    e = y2[2:] - z @ b
+    irf = {(r.impulse, r.response): r.irf for r in multivariate.impulse_responses(s, 2, 1).where("step = 0").collect()}
+    chol = np.linalg.cholesky(e.T @ e / 297)
+    assert np.allclose([irf["x", "x"], irf["x", "y"], irf["y", "y"]], [chol[0, 0], chol[1, 0], chol[1, 1]])
+    assert multivariate.var_forecast(s.where("idx < 1"), 2, 3).count() == 0 and multivariate.johansen(s.where("idx < 0")).count() == 0
     walk = rng.normal(size=300).cumsum()
     c = make(spark, walk, "a").unionByName(make(spark, 2 * walk + rng.normal(size=300), "b"))
     assert one(multivariate.engle_granger(c)).is_cointegrated

@@ -38,6 +38,13 @@ def significant_lags(acf: DataFrame) -> DataFrame:
     return acf.where("lag > 0 and abs(acf) > bound")
 
 
+def seasonal_patterns(acf: DataFrame, periods: tuple[int, ...] = (7, 12, 24, 48, 52), least: float = 0.1) -> DataFrame:
+    """Which of the usual periods have a significant autocorrelation above ``least``; confidence 0.8 above 0.3, else 0.5."""
+    strength = F.abs("acf")
+    found = significant_lags(acf).where(F.col("lag").isin(*periods) & (strength > least))
+    return found.select(KEY, F.col("lag").alias("period"), strength.alias("strength"), F.when(strength > 0.3, 0.8).otherwise(0.5).alias("confidence"))
+
+
 def cross_correlation(pairs: DataFrame, max_lag: int) -> DataFrame:
     """Of ``idx, x, y``: correlation of x with y ``lag`` steps later, over the overlap; the global means and deviations are used."""
     t = pairs.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))

@@ -39,6 +39,19 @@ def describe(series: DataFrame) -> DataFrame:
     )
 
 
+def standardized_moments(series: DataFrame) -> DataFrame:
+    """Skewness and excess kurtosis by the formulas for samples, but of values standardised by the population's deviation.
+
+    0 for constant series, and for fewer than three (skewness) or four (kurtosis) values.
+    """
+    n = F.col("n")
+    t = valid(series).groupBy(KEY).agg(F.count("*").cast("double").alias("n"), F.skewness("value").alias("g1"), F.kurtosis("value").alias("g2"))
+    varied = F.col("g1").isNotNull() & ~F.isnan("g1")
+    skew = n * n * F.col("g1") / ((n - 1) * (n - 2))
+    kurt = n * n * (n + 1) * (F.col("g2") + 3) / ((n - 1) * (n - 2) * (n - 3)) - 3 * (n - 1) ** 2 / ((n - 2) * (n - 3))
+    return t.select(KEY, F.when(varied & (n > 2), skew).otherwise(0.0).alias("skewness"), F.when(varied & (n > 3), kurt).otherwise(0.0).alias("kurtosis"))
+
+
 def mad(series: DataFrame) -> DataFrame:
     """Median, and median absolute deviation from it."""
     med = valid(series).groupBy(KEY).agg(F.percentile("value", 0.5).alias("median"))

@@ -37,6 +37,11 @@ def partial_autocorrelation(series: DataFrame, max_lag: int = 20) -> DataFrame:
     return per_series(series, run, "lag int, pacf double, significant boolean", 10)
 
 
+def optimal_lag(pacf: DataFrame) -> DataFrame:
+    """The first lag of each series whose partial autocorrelation is significant, null if none is."""
+    return pacf.groupBy(KEY).agg(F.min(F.when(F.col("significant"), F.col("lag"))).alias("optimal_lag"))
+
+
 #: Critical values of the Dickey-Fuller t with a constant: c0 + c1 / n + c2 / n^2 (fixed values).
 DICKEY_FULLER = {"1%": (-3.43035, -6.5393, -16.786), "5%": (-2.86154, -2.8903, -4.234), "10%": (-2.56677, -1.5384, -2.809)}
 

@@ -274,3 +274,11 @@ _CYCLES = ", ".join(f"round({f}(2 * pi() * ({c}) / {n}), 3) + 0 AS {k}_{f}" for
 SQL["forecast_features"] = f"""WITH {ORDERS} SELECT series_id, round(value, 3) AS value, idx, idx AS vidx, {', '.join(f'round(lag(value, {k}) {_I}, 3) AS lag_{k}' for k in (1, 2, 7, 14, 21))}, {_FULL}, idx AS trend, idx * idx AS trend_squared, round(value - lag(value) {_I}, 3) AS first_diff, round(value - 2 * lag(value) {_I} + lag(value, 2) {_I}, 3) AS second_diff,
 (isodow(ts) - 1)::INT AS dow, month(ts)::INT AS month, quarter(ts)::INT AS quarter, year(ts)::INT AS year, dayofyear(ts)::INT AS day_of_year, week(ts)::INT AS iso_week, hour(ts)::INT AS hour, isodow(ts) > 5 AS is_weekend, {_CYCLES}, (month(ts) = 1 AND day(ts) = 1) OR (month(ts) = 12 AND day(ts) = 25) AS is_holiday,
 idx % 7 AS season, round(sin(2 * pi() * (idx % 7) / 7), 3) AS season_sin, round(cos(2 * pi() * (idx % 7) / 7), 3) AS season_cos FROM o"""
+
+SQL["standardized_moments"] = f"""WITH {EVENTS}, t AS (SELECT series_id, count(*)::DOUBLE AS n, avg(value) AS m, stddev_pop(value) AS sd FROM e WHERE value IS NOT NULL GROUP BY 1),
+z AS (SELECT series_id, n, sum(((value - m) / nullif(sd, 0)) ** 3) AS z3, sum(((value - m) / nullif(sd, 0)) ** 4) AS z4 FROM e JOIN t USING (series_id) WHERE value IS NOT NULL GROUP BY 1, 2)
+SELECT series_id, coalesce(round(CASE WHEN n > 2 THEN n / ((n - 1) * (n - 2)) * z3 END, 6), 0) AS skewness,
+coalesce(round(CASE WHEN n > 3 THEN n * (n + 1) / ((n - 1) * (n - 2) * (n - 3)) * z4 - 3 * (n - 1) ** 2 / ((n - 2) * (n - 3)) END, 6), 0) AS kurtosis FROM z"""
+
+SQL["seasonal_patterns"] = f"""SELECT series_id, lag AS period, round(abs(acf), 6) AS strength, CASE WHEN abs(acf) > .3 THEN .8::DOUBLE ELSE .5::DOUBLE END AS confidence
+FROM ({_ACF.replace(EVENTS, FLAGS + ", e AS (SELECT * FROM f)").replace("range(11)", "range(53)")}) WHERE lag IN (7, 12, 24, 48, 52) AND abs(acf) > .1 AND abs(acf) > bound"""

@@ -155,6 +155,7 @@ FROM (SELECT *, unnest([time_bucket(INTERVAL '1 hour', ts), time_bucket(INTERVAL
 query("histogram", f"""WITH {EVENTS}, t AS (SELECT series_id, min(value) AS lo, max(value) AS hi, count(*) AS n FROM e GROUP BY 1), b AS (SELECT series_id, lo, n, (hi - lo) / 20 AS w, unnest(range(20)) AS bin FROM t),
 c AS (SELECT e.series_id, least(floor((value - lo) / ((hi - lo) / 20)), 19)::BIGINT AS bin, count(*) AS k FROM e JOIN t USING (series_id) GROUP BY 1, 2)
 SELECT b.series_id, b.bin, round(lo + b.bin * w, 6) AS left_edge, coalesce(k, 0) AS count, round(coalesce(k, 0) / (n * w), 6) AS density FROM b LEFT JOIN c ON b.series_id = c.series_id AND b.bin = c.bin""")(on(events, lambda s: descriptive.histogram(s, 20)))
+query("standardized_moments")(on(events, descriptive.standardized_moments))
 query("histogram_auto")(on(events, descriptive.histogram))
 query("qq_points")(on(events, descriptive.qq_points))
 query("shapiro_wilk")(on(events, descriptive.shapiro_wilk))
@@ -254,6 +255,8 @@ query("autocorrelation", f"""WITH {EVENTS}, t AS (SELECT series_id, count(*) AS
 r AS (SELECT a.series_id, lag, a.n, sum(a.x * b.x) / a.n / a.v AS acf FROM c a JOIN l ON true JOIN c b ON b.series_id = a.series_id AND b.idx = a.idx + lag GROUP BY a.series_id, lag, a.n, a.v)
 SELECT series_id, lag::INT AS lag, n, round(acf, 6) AS acf, round(CASE WHEN lag > 0 THEN 1.96 * sqrt((1 + 2 * coalesce(sum(CASE WHEN lag > 0 THEN acf ** 2 ELSE 0 END) OVER (PARTITION BY series_id ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / n) ELSE 0 END, 6) AS bound,
 round(n * (n + 2) * sum(CASE WHEN lag > 0 THEN acf ** 2 / (n - lag) ELSE 0 END) OVER (PARTITION BY series_id ORDER BY lag), 6) AS ljung_box FROM r""")(on(events, lambda s: correlation.autocorrelation(s, 10)))
+query("seasonal_patterns")(on(flags_daily, lambda s: correlation.seasonal_patterns(correlation.autocorrelation(s, 52))))
+query("optimal_lag")(on(events, lambda s: stationarity.optimal_lag(stationarity.partial_autocorrelation(s, 20))))
 query("partial_autocorrelation")(on(events, lambda s: stationarity.partial_autocorrelation(s, 20)))
 query("significant_lags")(on(events, lambda s: correlation.significant_lags(correlation.autocorrelation(s, 20))))
 
