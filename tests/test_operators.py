@@ -166,6 +166,16 @@ def test_johansen_against_regressions(spark):
     assert got[0].rejected is None and got[0].critical_5 is None and got[1].critical_5 == 95.75 and got[1].rejected is not None
 
 
+def test_median_slope_counts_pairs(spark):
+    rng = np.random.default_rng(5)
+    for z in (rng.normal(size=257), rng.integers(0, 4, 100), np.zeros(9), np.array([1.0])):
+        assert detectors_np.rising_pairs(z) == sum(int((z[i + 1 :] > z[i]).sum()) for i in range(len(z)))
+    for x in (rng.normal(size=120).cumsum() + 1e6, rng.integers(0, 5, 61).astype(float), np.full(7, 3.0), np.array([2.0, 5.0]), -np.arange(40.0)):
+        slopes = [(x[j] - x[i]) / (j - i) for i in range(len(x)) for j in range(i + 1, len(x))]
+        assert math.isclose(one(trend.sens_slope(make(spark, x))).slope, float(np.median(slopes)), rel_tol=1e-8, abs_tol=1e-12)
+    assert trend.sens_slope(make(spark, [4.0])).count() == 0
+
+
 def test_patterns_and_moments(spark):
     x = [math.sin(2 * math.pi * i / 12) for i in range(240)]
     found = {r.period: r.confidence for r in correlation.seasonal_patterns(correlation.autocorrelation(make(spark, x), 52)).collect()}

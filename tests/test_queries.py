@@ -11,7 +11,7 @@ from tidegauge.plans import oracles
 
 SF = "/root/testdata/sf0.001"
 NAMES = ["flagship", "describe", "rolling", "linear_fill", "gaps", "histogram", "anomaly_iqr", "detect_anomalies", "temporal_clusters", "longest_runs", "autocorrelation", "cross_correlation", "correlation_spearman", "rolling_correlation", "seasonal_strength", "effect_month", "cusum", "forecast_seasonal_naive", "clean_linear", "distance_cosine", "pareto_front", "persistence", "compact", "parse_times", "sliding_windows",
-         "kernel_density", "qq_points", "shapiro_wilk", "anomaly_volatility", "anomaly_seasonal_context", "ensemble_vote", "trend_summary", "mann_kendall", "decompose_multiplicative", "stl", "correlation_tests", "rolling_spearman", "acf_periods", "pattern_consistency", "evolving_strength", "effect_easter", "effect_holidays", "kpss_trend", "quality_scores", "quality_trend", "stream_modified_zscore", "session_windows", "standardized_moments", "seasonal_patterns"]
+         "kernel_density", "qq_points", "shapiro_wilk", "anomaly_volatility", "anomaly_seasonal_context", "ensemble_vote", "trend_summary", "mann_kendall", "decompose_multiplicative", "stl", "correlation_tests", "rolling_spearman", "acf_periods", "pattern_consistency", "evolving_strength", "effect_easter", "effect_holidays", "kpss_trend", "quality_scores", "quality_trend", "stream_modified_zscore", "session_windows", "standardized_moments", "seasonal_patterns", "sens_slope"]
 
 
 @pytest.fixture(scope="module")

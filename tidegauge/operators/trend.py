@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import safe_div, two_sided_p
-from .detectors_np import mann_kendall as counted_kendall
+from .detectors_np import mann_kendall as counted_kendall, median_slope
 from .series import by_index, KEY, valid, place, val
 from .windows import average_ranks
 
@@ -84,11 +84,13 @@ def _kendall_test(t: DataFrame) -> DataFrame:
 
 
 def sens_slope(series: DataFrame) -> DataFrame:
-    """Median of the slopes of all pairs, and the median line's intercept."""
-    rows = valid(series).select(KEY, "idx", "value")
-    later = rows.toDF(KEY, "j", "w")
-    slopes = rows.join(later, KEY).where(F.col("j") > F.col("idx")).groupBy(KEY).agg(F.percentile((F.col("w") - val()) / (F.col("j") - F.col("idx")), 0.5).alias("slope"))
-    return slopes.join(rows.groupBy(KEY).agg(F.percentile(val(), 0.5).alias("mv"), F.percentile(place(), 0.5).alias("mi")), KEY).select(KEY, "slope", (F.col("mv") - F.col("slope") * F.col("mi")).alias("intercept"))
+    """Median of the slopes of all pairs, and the median line's intercept.
+
+    The median is found series by series from counts, so no pairs are made. Series of a single value give none.
+    """
+    rows = valid(series)
+    middle = rows.groupBy(KEY).agg(F.percentile(val(), 0.5).alias("mv"), F.percentile(place(), 0.5).alias("mi"))
+    return median_slope(series).join(middle, KEY).select(KEY, "slope", (F.col("mv") - F.col("slope") * F.col("mi")).alias("intercept"))
 
 
 def pettitt(series: DataFrame) -> DataFrame:
