@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, html_text, ngram_join, packing, quality, sharding, unigram, url_filter, warc
+from . import ann, collocations, exact_dedup, hard_negatives, html_text, line_dedup, ngram_join, packing, quality, sharding, unigram, url_filter, warc
 from .common import scratch_path, table, without_blanks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_captures(spark, path)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 100 == 0)
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_shared_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = r"""
 WITH u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
                   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
@@ -120,9 +134,46 @@ FROM f
 """
 
 
+OP11_SQL = r"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i]))::BIGINT AS score
+           FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+     p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE own = label QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM s JOIN p USING (anchor_id) WHERE own <> label AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+"""
+
+OP12_SQL = r"""
+WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+     l AS (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM t),
+     k AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+     d AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM (SELECT doc_id, i, line, coalesce(doc_id <> first, false) AS gone FROM k LEFT JOIN d USING (key)) GROUP BY doc_id
+"""
+
+OP13_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+     w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+     g AS (SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase FROM w, range(1, 6) t(m)),
+     f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL),
+     n AS (SELECT lang, sum(f)::HUGEINT AS n FROM f WHERE m = 1 GROUP BY lang),
+     c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND f >= 100),
+     i AS (SELECT DISTINCT s.lang, s.phrase FROM c s JOIN c o ON s.lang = o.lang AND s.m < o.m AND contains(' ' || o.phrase || ' ', ' ' || s.phrase || ' ') AND 100 * o.a >= 100 * s.a),
+     k AS (SELECT lang, phrase, a, ws, unnest(range(1, m)) AS k FROM c ANTI JOIN i USING (lang, phrase)),
+     x AS (SELECT k.lang, k.phrase, a, k, l.f AS l, r.f AS r, n.n, (1000 * a::HUGEINT * n.n) // (l.f::HUGEINT * r.f) AS score
+           FROM k JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(ws[:k], ' ') JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(ws[k + 1:], ' ') JOIN n ON n.lang = k.lang),
+     b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM b QUALIFY rank <= 2000
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_url_filters, op3_ngram_jaccard, op4_nearest_neighbours, op5_sharding, op6_exact_dedup, op7_sentencepiece, op8_packing, op9_quality, op10_warc)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_url_filters, op3_ngram_jaccard, op4_nearest_neighbours, op5_sharding, op6_exact_dedup, op7_sentencepiece, op8_packing, op9_quality, op10_warc, op11_hard_negatives, op12_line_dedup, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": OP2_SQL, "op3_ngram_jaccard": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op10_warc": OP10_SQL}
+    return {"op2_url_filters": OP2_SQL, "op3_ngram_jaccard": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op10_warc": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_line_dedup": OP12_SQL, "op13_collocations": OP13_SQL}
