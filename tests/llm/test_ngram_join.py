@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidegauge.llm import ngram_join
 from tidegauge.llm.components import components
@@ -103,3 +104,16 @@ def test_blocks_of_long_lists(spark, monkeypatch):
     rows = corpus(4)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == brute(rows)
+
+
+@pytest.mark.parametrize("size", [50, 200])
+def test_first_pass_gives_no_more_pairs_than_components(spark, size):
+    """One long list of near copies, each its own component."""
+    rng = np.random.default_rng(size)
+    parity = bytearray(rng.bytes(32))
+    nodes = spark.createDataFrame([(i, 100, parity) for i in range(size)], "node long, n long, parity binary")
+    members = nodes.select(F.lit(7).cast("long").alias("shingle"), "node")
+    first = ngram_join._long_list_pairs(members, None, nodes, 85, False).collect()
+    assert len(first) == size - 1
+    assert len(components(spark.createDataFrame(first)).collect()) == size
+    assert ngram_join._long_list_pairs(members, None, nodes, 85, True).count() == size * (size - 1) // 2

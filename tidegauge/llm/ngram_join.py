@@ -459,10 +459,10 @@ def _long_list_pairs(members: DataFrame, roots: DataFrame | None, parities: Data
     one = F.col("blocks") == 1
     small = at.where(one).select(F.col("shingle").alias("list"), "n", "node", "root", F.col("minor").alias("query"), F.lit(True).alias("member"), "minor", "parity")
     spot = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
-    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    copied = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
     wide = ["shingle", "n", "node", "root", "minor", "parity"]
-    asked = at.where(~one & F.col("minor")).select(*wide, spot("asked").alias("q"), every("blocks").alias("m"), F.lit(True).alias("query"), F.lit(False).alias("member"))
-    held = at.where(~one).select(*wide, every("asked").alias("q"), spot("blocks").alias("m"), F.lit(False).alias("query"), F.lit(True).alias("member"))
+    asked = at.where(~one & F.col("minor")).select(*wide, spot("asked").alias("q"), copied("blocks").alias("m"), F.lit(True).alias("query"), F.lit(False).alias("member"))
+    held = at.where(~one).select(*wide, copied("asked").alias("q"), spot("blocks").alias("m"), F.lit(False).alias("query"), F.lit(True).alias("member"))
     large = asked.unionByName(held).select(F.xxhash64("shingle", "q", "m").alias("list"), "n", "node", "root", "query", "member", "minor", "parity")
     both = small.unionByName(large).repartition("list").sortWithinPartitions("list")
     return both.mapInArrow(_across(percent, every), "a long, b long").distinct()
