@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import safe_div
-from .grouped import autocorrelations, per_series
+from .arima import Order, models, steps
+from .grouped import per_series
 from .series import by_index, KEY, valid, val
 
 _STEPS = "step int, forecast double"
@@ -162,81 +163,29 @@ def theta(x: np.ndarray, h: int, theta: float = 2.0) -> np.ndarray:
     return level + np.arange(1, h + 1) * (x[-1] - x[0]) / (n - 1)
 
 
-def arima(x: np.ndarray, h: int, p: int = 1, d: int = 1, q: int = 0, yule_walker: bool = False) -> np.ndarray:
-    """AR terms on the d-th difference: its autocorrelations (covariances over the overlap, within 0.99), or Yule-Walker's solution.
+def _of_order(order: Order | None, name: str, series: DataFrame, horizon: int, **options) -> DataFrame:
+    fitted = models(series, order, horizon, **options)
+    return _dated(series, steps(fitted).select(KEY, "step", "forecast"), name)
 
-    Future errors are zero, so MA terms add nothing beyond the sample. Forecasts are summed back once.
-    """
-    w = np.diff(x, d) if d else x
-    phi = _ar(w, p, yule_walker)
-    recent, level, out = list(w[-p:]) if p else [], x[-1], []
-    for _ in range(h):
-        step = float(sum(a * v for a, v in zip(phi, reversed(recent), strict=False)))
-        level = level + step if d else step
-        out.append(level)
-        if p:
-            recent = (recent + [step])[-p:]
-    return np.array(out)
-
-
-def _ar(w: np.ndarray, p: int, yule_walker: bool = False) -> np.ndarray:
-    if not p or len(w) <= p:
-        return np.full(p, 0.1)
-    r = autocorrelations(w, p)
-    if yule_walker:
-        return np.linalg.lstsq(np.array([[r[abs(i - j)] for j in range(p)] for i in range(p)]), r[1:], rcond=None)[0]
-    n = len(w)
-    return np.clip(r[1:] * n / (n - np.arange(1, p + 1)), -0.99, 0.99)
-
-
-def sarima(x: np.ndarray, h: int, p: int = 1, d: int = 0, sp: int = 1, sd: int = 1, period: int = 7) -> np.ndarray:
-    """AR terms at lags 1 to p and at ``sp`` multiples of the period, after plain and seasonal differences; each step uses the forecasts before it."""
-    w = np.diff(x, d) if d else x.copy()
-    heads = []
-    for _ in range(sd):
-        heads.append(w.copy())
-        w = w[period:] - w[:-period]
-    mean = w.mean() if len(w) else 0.0
-    phi = _ar(w - mean, p)
-    seasonal = autocorrelations(w, period)[-1] if sp and len(w) > period else 0.0
-    run = list(w - mean)
-    for _ in range(h):
-        v = sum(phi[k] * run[-1 - k] for k in range(p) if len(run) > k)
-        v += sum(seasonal ** (k + 1) * run[-period * (k + 1)] * (1 - sum(phi)) for k in range(sp) if len(run) >= period * (k + 1))
-        run.append(float(v))
-    out = np.array(run[len(w) :]) + mean
-    for head in reversed(heads):
-        full = list(head)
-        for v in out:
-            full.append(v + full[-period])
-        out = np.array(full[len(head) :])
-    if d:
-        base = [x]
-        for _ in range(d - 1):
-            base.append(np.diff(base[-1]))
-        for b in reversed(base):
-            out = b[-1] + np.cumsum(out)
-    return out
+
+def arima(series: DataFrame, horizon: int = 10, p: int = 1, d: int = 1, q: int = 1) -> DataFrame:
+    """Maximum likelihood ARIMA; see :mod:`.arima` for its coefficients, criteria, intervals and residuals."""
+    return _of_order(Order(p, d, q), "arima", series, horizon)
+
+
+def sarima(series: DataFrame, horizon: int = 10, p: int = 1, d: int = 0, q: int = 1, sp: int = 0, sd: int = 1, sq: int = 1, period: int = 7) -> DataFrame:
+    """Maximum likelihood seasonal ARIMA."""
+    return _of_order(Order(p, d, q, sp, sd, sq, period), "sarima", series, horizon)
 
 
-def auto_arima(x: np.ndarray, h: int, most_p: int = 3, most_d: int = 2) -> np.ndarray:
-    """The AR order and difference with the least AIC of the one-step errors on the original scale."""
-    best = (math.inf, 0, 0)
-    for d in range(most_d + 1):
-        w = np.diff(x, d) if d else x
-        for p in range(most_p + 1):
-            phi = _ar(w - w.mean(), p, True)
-            c = w - w.mean()
-            e = c[most_p:] - sum((phi[k] * c[most_p - 1 - k : len(c) - 1 - k] for k in range(p)), np.zeros(max(0, len(c) - most_p)))
-            if len(e) > 2:
-                aic = len(e) * math.log(max(float((e * e).mean()), 1e-300)) + 2 * (p + d + 1)
-                best = min(best, (aic, d, p))
-    return arima(x, h, best[2], best[1], 0, True)
+def auto_arima(series: DataFrame, horizon: int = 10, period: int = 1, most: tuple[int, int, int, int] = (3, 3, 1, 1)) -> DataFrame:
+    """The (seasonal) ARIMA of least AICc; ``most``: of p, q and their seasonal kin."""
+    return _of_order(None, "auto_arima", series, horizon, period=period, most=most)
 
 
 FORECASTERS: dict[str, Callable[..., DataFrame]] = {
-    **{f.__name__: f for f in (moving_average, weighted_moving_average, linear, seasonal_naive, prophet_like)},
-    **{name: _recurrent(name, f, interval, least) for name, f, interval, least in (("ses", ses, "last", 1), ("holt_winters", holt_winters, "last", 2), ("ets", ets, "first", 2), ("theta", theta, "first", 3), ("arima", arima, "last", 12), ("sarima", sarima, "last", 12), ("auto_arima", auto_arima, "last", 12))},
+    **{f.__name__: f for f in (moving_average, weighted_moving_average, linear, seasonal_naive, prophet_like, arima, sarima, auto_arima)},
+    **{name: _recurrent(name, f, interval, least) for name, f, interval, least in (("ses", ses, "last", 1), ("holt_winters", holt_winters, "last", 2), ("ets", ets, "first", 2), ("theta", theta, "first", 3))},
 }
 
 

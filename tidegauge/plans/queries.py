@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr
-from ..operators import anomaly, calendar, correlation, descriptive, detectors_np, forecasting, ml, multivariate, quality, seasonality, series, stationarity, trend, windows
+from ..operators import anomaly, arima, calendar, correlation, descriptive, detectors_np, forecasting, ml, multivariate, quality, seasonality, series, stationarity, trend, windows
 from ..sources import readers, synthetic
 from ..streaming import detector, drift, windowed
 from . import compose
@@ -363,6 +363,11 @@ query("forecast_seasonal_naive", f"WITH {ORDERS}{_DAILY} SELECT n.series_id, ste
 query("forecast_prophet", f"""WITH {ORDERS}{_DAILY}, b AS (SELECT series_id, arg_min(value, idx) AS f, arg_max(value, idx) AS l, count(*) AS n FROM o GROUP BY 1) SELECT series_id, step, round(l + step * (l - f) / (n - 1) + .05 * sin(2 * pi() * ((n + step - 1) % 7) / 7), 6) AS forecast FROM b, st""")(_plain("prophet_like"))
 for _m in ("ses", "holt_winters", "ets", "theta", "arima", "sarima", "auto_arima"):
     query(f"forecast_{_m}", None, 4)(_plain(_m))
+_SARIMA = arima.Order(1, 0, 1, 0, 1, 1, 7)
+query("arima_criteria", None, 3)(on(orders_daily, lambda s: arima.criteria(arima.models(s, arima.Order(2, 0, 1), 1))))
+query("arima_coefficients", None, 3)(on(orders_daily, lambda s: arima.coefficients(arima.models(s, _SARIMA, 1))))
+query("arima_intervals", None, 1)(on(orders_daily, lambda s: arima.steps(arima.models(s, _SARIMA, 14))))
+query("arima_residuals", None, 1)(on(orders_daily, lambda s: arima.residuals(arima.models(s, arima.Order(1, 1, 1), 1, with_residuals=True))))
 query("forecast_dates")(on(orders_daily, lambda s: forecasting.forecast(s, "moving_average", 3).withColumn("ts", F.col("ts").cast("timestamp_ntz"))))
 query("forecast_intervals", None, 4)(on(orders_daily, lambda s: forecasting.with_intervals(forecasting.forecast(s, "linear", 10)).drop("ts")))
 _MEMBERS = {"moving_average": {}, "linear": {}, "seasonal_naive": {"period": 7}}
