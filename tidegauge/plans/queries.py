@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import expr
 from ..operators import anomaly, arima, calendar, correlation, descriptive, detectors_np, forecasting, ml, multivariate, quality, seasonality, series, stationarity, trend, windows
 from ..sources import readers, synthetic
-from ..streaming import detector, drift, windowed
+from ..streaming import detector, drift, online, windowed
 from . import compose
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -396,7 +396,9 @@ for _m in ("zscore", "modified_zscore", "iqr", "volatility"):
     query(f"stream_{_m}")(on(events, lambda s, m=_m: detector.replay(s, method=m, threshold={"iqr": 0.5, "volatility": 1.5}.get(m, 2.5), size=50).withColumn("ts", F.col("ts").cast("timestamp_ntz"))))
 query("stream_adaptive")(on(events, lambda s: detector.replay(s, method="zscore", threshold=2.5, size=50, adaptive=True)))
 for _m in drift.DETECTORS:
-    query(f"drift_{_m}")(on(events, lambda s, m=_m: drift.detect_drift(s, m)))
+    query(f"drift_{_m}")(on(events, lambda s, m=_m: drift.detect_drift(drift.misses(s) if m in ("ddm", "eddm") else s, m)))
+query("adwin_state", f"WITH {EVENTS} SELECT series_id, count(*) AS width, round(avg(value), 6) AS mean, 0::BIGINT AS drifts FROM e GROUP BY 1")(on(events, drift.window_state))
+query("online_forecast", None, 4)(on(events, lambda s: online.forecast_table(s).withColumn("ts", F.col("ts").cast("timestamp_ntz"))))
 
 
 # --- models, sources, composites ----------------------------------------------------------

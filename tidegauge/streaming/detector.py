@@ -14,7 +14,8 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 SCHEMA = "series_id string, ts timestamp, value double, score double, severity string, expected double, threshold double"
@@ -87,25 +88,77 @@ class Detector:
         return pd.DataFrame(rows, columns=["series_id", "ts", "value", "score", "severity", "expected", "threshold"])
 
 
-def detect_stream(events: DataFrame, **options) -> DataFrame:
-    """Anomalies of a stream of ``series_id, ts, value``; points of a micro-batch are taken in time order."""
+def detect_stream(events: DataFrame, idle_ms: int | None = None, **options) -> DataFrame:
+    """Anomalies of a stream of ``series_id, ts, value``; points of a micro-batch are taken in time order. A series without points for ``idle_ms`` of processing time is forgotten."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         detector = Detector(**(json.loads(state.get[0]) if state.exists else options))
         pdf = pd.concat(list(batches)).sort_values("ts", kind="stable")
         out = detector.run(key[0], pdf)
         state.update((json.dumps(asdict(detector)),))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield out
 
-    return events.groupBy("series_id").applyInPandasWithState(step, SCHEMA, "detector string", "append", GroupStateTimeout.NoTimeout)
+    kind = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return events.groupBy("series_id").applyInPandasWithState(step, SCHEMA, "detector string", "append", kind)
+
+
+def _quantile(ordered: Column, q: float) -> Column:
+    """Linear between the two nearest of an ordered array."""
+    at = (F.size(ordered) - 1) * F.lit(q)
+    low = F.element_at(ordered, (F.floor(at) + 1).cast("int"))
+    high = F.element_at(ordered, (F.ceil(at) + 1).cast("int"))
+    return low + (high - low) * (at - F.floor(at))
+
+
+def _score(method: str, size: int, factor: float, short: int) -> tuple[Column, dict[str, Column]]:
+    """The score of a point within the frame of the last ``size`` rows, and the columns it needs."""
+    by = Window.partitionBy("series_id").orderBy("ts")
+    last = by.rowsBetween(1 - size, 0)
+    v, held = F.col("value"), F.array_sort(F.collect_list("value").over(last))
+    if method == "zscore":
+        needs = {"mean": F.avg("value").over(last), "spread": F.stddev_pop("value").over(last)}
+        return F.when(F.col("spread") > 0, F.abs(v - F.col("mean")) / F.col("spread")), needs
+    if method == "modified_zscore":
+        median = _quantile(F.col("held"), 0.5)
+        needs = {"held": held, "median": median, "mad": _quantile(F.array_sort(F.transform("held", lambda x: F.abs(x - F.col("median")))), 0.5)}
+        return F.when((F.col("median") != 0) & (F.col("mad") > 0), 0.6745 * F.abs(v - F.col("median")) / F.col("mad")), needs
+    if method == "iqr":
+        needs = {"held": held, "q1": _quantile(F.col("held"), 0.25), "q3": _quantile(F.col("held"), 0.75)}
+        wide = F.col("q3") - F.col("q1")
+        return F.when(wide > 0, F.greatest(F.lit(0.0), F.col("q1") - factor * wide - v, v - F.col("q3") - factor * wide) / wide), needs
+    if method == "volatility":
+        needs = {
+            "d": v - F.lag("value").over(by), "n": F.count("value").over(last),
+            "near": F.stddev_pop("d").over(by.rowsBetween(2 - short, 0)), "all_of_it": F.stddev_pop("d").over(by.rowsBetween(2 - size, 0)),
+        }
+        return F.when((F.col("n") >= short) & (F.lit(short) > 2) & (F.col("all_of_it") > 0), F.col("near") / F.col("all_of_it")), needs
+    raise ValueError(method)
+
+
+def _framed(series: DataFrame, method: str = "zscore", threshold: float = 3.0, size: int = 100, factor: float = 1.5, short: int = 10) -> DataFrame:
+    """What :class:`Detector` finds with a fixed threshold, as window frames of the last ``size`` values."""
+    rows = series.select("series_id", F.col("ts").cast("timestamp").alias("ts"), "value").where(F.col("value").isNotNull() & ~F.isnan("value"))
+    score, needs = _score(method, size, factor, short)
+    for name, c in needs.items():
+        rows = rows.withColumn(name, c)
+    last = Window.partitionBy("series_id").orderBy("ts").rowsBetween(1 - size, 0)
+    ratio = F.col("score") / threshold
+    grade = F.when(ratio >= 2.5, "critical").when(ratio >= 2, "high").when(ratio >= 1.5, "medium").otherwise("low")
+    found = rows.withColumn("expected", F.avg("value").over(last)).withColumn("score", score).where(F.col("score") > threshold)
+    return found.select("series_id", "ts", "value", "score", grade.alias("severity"), "expected", F.lit(float(threshold)).alias("threshold"))
 
 
 def replay(series: DataFrame, **options) -> DataFrame:
-    """The same anomalies from a table, a series at a time."""
+    """The same anomalies from a table: window frames, or with ``adaptive`` a series at a time, since its threshold moves with what it finds."""
+    if not options.get("adaptive") and options.get("method", "zscore") != "adaptive":
+        return _framed(series, **{k: v for k, v in options.items() if k in ("method", "threshold", "size", "factor", "short")})
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return Detector(**options).run(key[0], pdf.sort_values("ts", kind="stable"))
 
-    from pyspark.sql import functions as F
-
     return series.select("series_id", F.col("ts").cast("timestamp").alias("ts"), "value").groupBy("series_id").applyInPandas(run, SCHEMA)

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from ..operators.grouped import per_series
+from .online import AdaptiveWindow, KsWindow
 
 
 class Adwin:
@@ -129,7 +130,22 @@ class PageHinkley:
         return False
 
 
-DETECTORS = {"adwin": Adwin, "ddm": Ddm, "eddm": Eddm, "page_hinkley": PageHinkley}
+DETECTORS = {"adwin": AdaptiveWindow, "adwin_halves": Adwin, "ddm": Ddm, "eddm": Eddm, "kswin": KsWindow, "page_hinkley": PageHinkley}
+
+
+def misses(series: DataFrame, alpha: float = 0.2, factor: float = 3.0) -> DataFrame:
+    """A series of ones where exponential smoothing misses by more than ``factor`` times its mean error so far, else zeros: what detectors of error rates read."""
+
+    def run(x: np.ndarray, idx: np.ndarray) -> dict:
+        level, usual, out = x[0], 0.0, np.zeros(len(x))
+        for i, v in enumerate(x.tolist()):
+            error = abs(v - level)
+            out[i] = float(i > 1 and error > factor * usual)
+            usual += (error - usual) / max(i, 1) if i else 0.0
+            level += alpha * (v - level)
+        return {"idx": idx, "value": out}
+
+    return per_series(series, run, "idx long, value double")
 
 
 def detect_drift(series: DataFrame, method: str = "adwin", **options) -> DataFrame:
@@ -142,6 +158,17 @@ def detect_drift(series: DataFrame, method: str = "adwin", **options) -> DataFra
     return per_series(series, run, "idx long")
 
 
+def window_state(series: DataFrame, **options) -> DataFrame:
+    """What the adaptive window of each series holds at the end: ``width`` (points), their ``mean``, and the ``drifts`` until then."""
+
+    def run(x: np.ndarray, idx: np.ndarray) -> dict:
+        w = AdaptiveWindow(**options)
+        drifts = sum(w.push(v) for v in x.tolist())
+        return {"width": int(sum(b[0] for b in w.buckets)), "mean": w.mean(), "drifts": drifts}
+
+    return per_series(series, run, "width long, mean double, drifts long")
+
+
 def performance_trend(errors: DataFrame, key: str = "series_id") -> DataFrame:
     """Improving or degrading: the later half's mean error against the earlier half's, by 5 %."""
     from pyspark.sql import Window
