@@ -109,19 +109,25 @@ class Moments:
         return d[:, None] * np.linalg.lstsq(zz * np.outer(d, d), d[:, None] * self.between(z, y), rcond=None)[0]
 
 
-def _by_moments(series: DataFrame, p: int, finish: Callable[[Moments], list[tuple]], schema: str) -> DataFrame:
-    """The rows that ``finish`` makes of the moments of all points at which every variable has its values at lags 0 to ``p``.
-
-    A point's values meet in a group of (p + 1) times as many as there are variables;
-    tasks sum their points' products, so what is shuffled further doesn't grow with the points.
-    Without any common point the result is empty.
-    """
+def points_of(series: DataFrame, p: int) -> tuple[DataFrame, DataFrame]:
+    """Points ``t`` with ``w``: all variables, less their means, at lags 0 to ``p``, in the order of their names; and the means."""
     rows = valid(series).select(KEY, "idx", "value")
     means = rows.groupBy(KEY).agg(F.avg("value").alias("mean"))
     variables = means.agg(F.count("*").alias("k")).scalar()
     cells = rows.join(means, KEY).select(F.explode(F.sequence(F.lit(0), F.lit(p))).alias("lag"), KEY, "idx", (F.col("value") - F.col("mean")).alias("x"))
     points = cells.groupBy((F.col("idx") + F.col("lag")).cast("long").alias("t")).agg(F.array_sort(F.collect_list(F.struct("lag", KEY, "x"))).alias("w"))
     points = points.where(F.size("w") == variables * (p + 1)).select("t", F.col("w.x").alias("w"))
+    return points, means
+
+
+def by_moments(series: DataFrame, p: int, finish: Callable[[Moments], list[tuple]], schema: str) -> DataFrame:
+    """The rows that ``finish`` makes of the moments of all points at which every variable has its values at lags 0 to ``p``.
+
+    A point's values meet in a group of (p + 1) times as many as there are variables;
+    tasks sum their points' products, so what is shuffled further doesn't grow with the points.
+    Without any common point the result is empty.
+    """
+    points, means = points_of(series, p)
 
     def products(batches):
         sums, at, last = None, -1, None
@@ -171,7 +177,7 @@ def var_forecast(series: DataFrame, p: int = 1, horizon: int = 10) -> DataFrame:
             rows += [(name, h, float(x)) for name, x in zip(m.names, past[-1] + m.means, strict=True)]
         return rows
 
-    return _by_moments(series, p, finish, f"{KEY} string, step int, forecast double")
+    return by_moments(series, p, finish, f"{KEY} string, step int, forecast double")
 
 
 def impulse_responses(series: DataFrame, p: int = 1, steps: int = 10) -> DataFrame:
@@ -189,7 +195,7 @@ def impulse_responses(series: DataFrame, p: int = 1, steps: int = 10) -> DataFra
         share = share / np.maximum(share.sum(2, keepdims=True), 1e-300)
         return [(names[j], names[i], h, float(theta[h][i, j]), float(share[h][i, j])) for h in range(steps + 1) for i in range(k) for j in range(k)]
 
-    return _by_moments(series, p, finish, "impulse string, response string, step int, irf double, fevd double")
+    return by_moments(series, p, finish, "impulse string, response string, step int, irf double, fevd double")
 
 
 def engle_granger(series: DataFrame) -> DataFrame:
@@ -235,7 +241,7 @@ def johansen(series: DataFrame, lags: int = 1) -> DataFrame:
             rows.append((r, float(lam[r]), trace, -n * math.log(1 - float(lam[r])), crit, None if crit is None else bool(trace > crit), [float(c) for c in v]))
         return rows
 
-    return _by_moments(series, lags + 1, finish, "rank int, eigenvalue double, trace double, max_eigenvalue double, critical_5 double, rejected boolean, vector array<double>")
+    return by_moments(series, lags + 1, finish, "rank int, eigenvalue double, trace double, max_eigenvalue double, critical_5 double, rejected boolean, vector array<double>")
 
 
 def covariance(series: DataFrame, standardize: bool = True) -> DataFrame:

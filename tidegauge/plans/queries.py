@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr
-from ..operators import anomaly, arima, calendar, correlation, descriptive, detectors_np, forecasting, ml, multivariate, quality, seasonality, series, stationarity, trend, windows
+from ..operators import anomaly, arima, calendar, correlation, descriptive, detectors_np, forecasting, ml, multivariate, quality, seasonality, series, stationarity, systems, trend, windows
 from ..sources import readers, synthetic
 from ..streaming import detector, drift, online, windowed
 from . import compose
@@ -292,6 +292,11 @@ query("var_forecast")(on(orders_daily, lambda s: multivariate.var_forecast(s, 2,
 query("impulse_responses")(on(orders_daily, lambda s: multivariate.impulse_responses(s, 2, 5)))
 query("engle_granger")(on(orders_daily, multivariate.engle_granger))
 query("johansen")(on(orders_daily, multivariate.johansen))
+query("vecm", None, 3)(on(orders_daily, lambda s: systems.vecm(s, 1, 1)))
+query("var_diagnostics", None, 4)(on(orders_daily, lambda s: systems.var_diagnostics(s, 1, 5)))
+query("common_trends", None, 2)(on(orders_daily, lambda s: systems.common_trends(s, 1, 1)))
+query("factor_analysis", None, 3)(on(orders_daily, lambda s: systems.factor_analysis(s, 1)))
+query("factor_scores", None, 3)(on(orders_daily, lambda s: systems.factor_scores(s, systems.factor_analysis(s, 1))))
 query("covariance", f"WITH {ORDERS} SELECT a.series_id AS var1, b.series_id AS var2, round(covar_samp(a.value, b.value) / (stddev_samp(a.value) * stddev_samp(b.value)), 6) AS c FROM o a JOIN o b ON a.idx = b.idx AND a.series_id <= b.series_id GROUP BY 1, 2")(on(orders_daily, multivariate.covariance))
 query("principal_components")(on(orders_daily, multivariate.principal_components))
 query("component_scores")(on(orders_daily, lambda s: multivariate.component_scores(s, multivariate.principal_components(s))))
