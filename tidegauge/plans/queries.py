@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr
-from ..operators import anomaly, arima, calendar, correlation, descriptive, detectors_np, forecasting, ml, multivariate, quality, seasonality, series, stationarity, systems, trend, windows
+from ..operators import anomaly, arima, breaks, calendar, correlation, descriptive, detectors_np, forecasting, ml, multivariate, quality, seasonality, series, stationarity, systems, trend, windows
 from ..sources import readers, synthetic
 from ..streaming import detector, drift, online, windowed
 from . import compose
@@ -324,6 +324,31 @@ query("pattern_consistency")(on(orders_daily, lambda s: seasonality.pattern_cons
 query("adjust_additive", None, 3)(on(orders_daily, lambda s: seasonality.adjust(s, 7)))
 query("adjust_multiplicative", None, 3)(on(orders_daily, lambda s: seasonality.adjust(s, 7, True)))
 query("adjust_x13", None, 4)(on(orders_daily, lambda s: seasonality.adjust_x13(s, 12)))
+_NUMBERED = ", p AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM o)"
+_SUMMED = "count(*) AS k, sum(value) AS s, sum(value * value) AS q, sum(value * cos(2 * pi() * (idx % 7) / 7)) AS c1, sum(value * sin(2 * pi() * (idx % 7) / 7)) AS s1, sum(value * cos(4 * pi() * (idx % 7) / 7)) AS c2, sum(value * sin(4 * pi() * (idx % 7) / 7)) AS s2"
+query("seasonal_breaks", f"""WITH {ORDERS}{_NUMBERED}, w AS (SELECT series_id, idx // 28 AS w, {_SUMMED} FROM p WHERE (idx // 28 + 1) * 28 <= n GROUP BY 1, 2),
+r AS (SELECT a.series_id, b.w, q_rest(a.q, a.s, a.k, a.c1, a.s1, a.c2, a.s2) + q_rest(b.q, b.s, b.k, b.c1, b.s1, b.c2, b.s2) AS apart, a.q + b.q - a.s ** 2 / a.k - b.s ** 2 / b.k - 2 * ((a.c1 + b.c1) ** 2 + (a.s1 + b.s1) ** 2 + (a.c2 + b.c2) ** 2 + (a.s2 + b.s2) ** 2) / (a.k + b.k) AS together,
+2 * sqrt(a.c1 ** 2 + a.s1 ** 2) / a.k AS x, 2 * sqrt(b.c1 ** 2 + b.s1 ** 2) / b.k AS y, b.s / b.k - a.s / a.k AS l FROM w a JOIN w b ON a.series_id = b.series_id AND b.w = a.w + 1)
+SELECT series_id, w::BIGINT AS w, round((together - apart) / 4 / (apart / 46), 4) AS f, round(x, 2) AS amplitude_before, round(y, 2) AS amplitude_after, round(l, 2) AS level_shift FROM r""".replace("q_rest(a.q, a.s, a.k, a.c1, a.s1, a.c2, a.s2)", "(a.q - a.s ** 2 / a.k - 2 * (a.c1 ** 2 + a.s1 ** 2 + a.c2 ** 2 + a.s2 ** 2) / a.k)").replace("q_rest(b.q, b.s, b.k, b.c1, b.s1, b.c2, b.s2)", "(b.q - b.s ** 2 / b.k - 2 * (b.c1 ** 2 + b.s1 ** 2 + b.c2 ** 2 + b.s2 ** 2) / b.k)"))(
+    on(orders_daily, lambda s: breaks.seasonal_breaks(s, 7).select("series_id", "w", F.round("f", 4).alias("f"), *[F.round(c, 2).alias(c) for c in ("amplitude_before", "amplitude_after", "level_shift")])))
+query("seasonal_break_kinds", None, 4)(on(orders_daily, lambda s: breaks.seasonal_breaks(s, 7).where("is_break")))
+query("seasonal_outliers", f"""WITH {ORDERS}, e AS (SELECT *, avg(value) OVER (PARTITION BY series_id, idx % 7) AS expected, 2 * stddev_pop(value) OVER (PARTITION BY series_id) AS lim FROM o)
+SELECT series_id, idx, round(value, 6) AS value, round(expected, 6) AS expected, round(abs(value - expected), 6) AS deviation, CASE WHEN abs(value - expected) > 3 * lim THEN 'innovation' ELSE 'additive' END AS kind FROM e WHERE abs(value - expected) > lim""")(on(orders_daily, lambda s: breaks.outlier_points(s, 7)))
+query("pattern_stability", f"""WITH {ORDERS}{_NUMBERED}, b AS (SELECT series_id, idx AS i, n, (n // 5) AS w FROM p), v AS (SELECT b.series_id, b.i, var_pop(p.value) AS v FROM b JOIN p ON p.series_id = b.series_id AND p.idx >= b.i AND p.idx < b.i + b.w WHERE b.i < b.n - b.w GROUP BY 1, 2)
+SELECT series_id, count(*) AS windows, round(avg(v), 0) AS mean_variance, round(1 / (1 + var_pop(v) / greatest(avg(v), 0.001)), 12) AS stability FROM v GROUP BY 1""", 14)(on(orders_daily, lambda s: breaks.pattern_stability(s).select("series_id", "windows", F.round("mean_variance", 0).alias("mean_variance"), F.round("stability", 12).alias("stability"))))
+query("pattern_evolution", f"""WITH {ORDERS}{_NUMBERED}, a AS (SELECT p.series_id, p.idx AS i, p.n, sum(x.value) / any_value(p.n // 10) AS mean FROM p JOIN p x ON x.series_id = p.series_id AND x.idx >= p.idx - p.n // 20 AND x.idx < p.idx + p.n // 20 WHERE p.idx >= p.n // 10 AND p.idx < p.n - p.n // 10 GROUP BY p.series_id, p.idx, p.n),
+h AS (SELECT series_id, avg(value) FILTER (WHERE idx < n // 10) AS head, avg(abs(value)) AS size FROM p GROUP BY 1), c AS (SELECT a.*, size, abs(mean - coalesce(lag(mean) OVER (PARTITION BY a.series_id ORDER BY i), head)) AS ch FROM a JOIN h USING (series_id)),
+s AS (SELECT series_id, n, count(*) FILTER (WHERE ch > .1 * size) AS changes, max(ch) AS largest FROM c GROUP BY 1, 2)
+SELECT series_id, changes, round(changes / n, 6) AS change_rate, round(largest, 3) AS largest, CASE WHEN changes / n < .01 THEN 'stable' WHEN changes / n > .05 THEN 'irregular' ELSE 'shifting' END AS trend FROM s""")(on(orders_daily, lambda s: breaks.pattern_evolution(s).withColumn("largest", F.round("largest", 3))))
+query("trend_interaction", f"""WITH {ORDERS}{_NUMBERED}, m AS (SELECT p.series_id, p.idx AS i, p.n, p.value, avg(x.value) AS trend FROM p JOIN p x ON x.series_id = p.series_id AND x.idx BETWEEN p.idx - p.n // 10 // 2 AND p.idx + p.n // 10 // 2 GROUP BY ALL),
+e AS (SELECT *, 2 * pi() * (i % period) / period AS a FROM m, (VALUES (7), (30)) t(period)), v AS (SELECT series_id, period, covar_pop(trend, sin(a) + .5 * sin(2 * a)) / (stddev_pop(trend) * stddev_pop(sin(a) + .5 * sin(2 * a))) AS wave_r FROM e GROUP BY 1, 2),
+c AS (SELECT series_id, period, i // period AS c, avg(trend) AS level, stddev_pop(value - trend) AS amp FROM e WHERE (i // period + 1) * period <= n GROUP BY 1, 2, 3), b AS (SELECT series_id, period, covar_pop(level, amp) / (stddev_pop(level) * stddev_pop(amp)) AS r, count(*) AS cycles FROM c GROUP BY 1, 2)
+SELECT series_id, period, round(wave_r, 5) AS wave_r, round(r, 5) AS amplitude_r, cycles, CASE WHEN abs(r) < .1 THEN 'independent' WHEN r > 0 THEN 'amplifying' ELSE 'dampening' END AS kind FROM v JOIN b USING (series_id, period)""")(on(orders_daily, lambda s: rounded(breaks.trend_interaction(s, [7, 30]), 5)))
+query("phase_cusum", f"""WITH RECURSIVE {ORDERS}, p AS (SELECT series_id, idx, idx % 7 AS phase, idx // 7 AS cycle, value FROM o), b AS (SELECT series_id, phase, avg(value) AS m, stddev_samp(value) AS sd FROM p WHERE cycle < 8 GROUP BY 1, 2 HAVING count(*) = 8),
+z AS (SELECT series_id, phase, cycle, idx, (value - m) / sd AS z FROM p JOIN b USING (series_id, phase) WHERE sd > 0),
+f(series_id, phase, cycle, idx, up, down, hit) AS (SELECT series_id, phase, 0::BIGINT, idx, greatest(0, z - .5), greatest(0, -z - .5), greatest(abs(z) - .5, 0) > 5 FROM z WHERE cycle = 0
+UNION ALL SELECT z.series_id, z.phase, z.cycle, z.idx, greatest(0, CASE WHEN f.hit THEN 0 ELSE f.up END + z.z - .5), greatest(0, CASE WHEN f.hit THEN 0 ELSE f.down END - z.z - .5), greatest(CASE WHEN f.hit THEN 0 ELSE f.up END + z.z - .5, CASE WHEN f.hit THEN 0 ELSE f.down END - z.z - .5) > 5 FROM f JOIN z ON z.series_id = f.series_id AND z.phase = f.phase AND z.cycle = f.cycle + 1)
+SELECT series_id, phase::INT AS phase, cycle, idx, round(CASE WHEN up >= down THEN up ELSE -down END, 6) AS sum FROM f WHERE hit""")(on(orders_daily, lambda s: breaks.phase_cusum(s, 7).withColumn("phase", F.col("phase").cast("int"))))
 query("evolving_strength")(on(orders_daily, lambda s: seasonality.evolving_strength(s, 7, 112)))
 query("calendar_features", """SELECT o_orderkey, (isodow(o_orderdate) - 1)::INT AS dow, month(o_orderdate)::INT AS month, quarter(o_orderdate)::INT AS quarter, year(o_orderdate)::INT AS year, dayofyear(o_orderdate)::INT AS day_of_year, week(o_orderdate)::INT AS iso_week, hour(o_orderdate)::INT AS hour, isodow(o_orderdate) > 5 AS is_weekend,
 (month(o_orderdate) = 1 AND day(o_orderdate) = 1) OR (month(o_orderdate) = 12 AND day(o_orderdate) = 25) AS is_holiday, round(sin(2 * pi() * (isodow(o_orderdate) - 1) / 7), 6) AS dow_sin, round(cos(2 * pi() * (isodow(o_orderdate) - 1) / 7), 6) AS dow_cos FROM orders""")(
