@@ -5,15 +5,22 @@ Correlations are ``covar_pop / (stddev_pop * stddev_pop)``, null without varianc
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import safe_div, two_sided_p
+from .grouped import per_series
 from .series import by_index, KEY, valid, val
 from .windows import average_ranks
 
 
 
+#: Up to so many lags are columns of one window pass; more come from the power spectrum, a series at a time.
+WINDOW_LAGS = 60
+
+
 def pearson(x: str, y: str) -> Column:
     return safe_div(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
@@ -22,10 +29,21 @@ def autocorrelation(series: DataFrame, max_lag: int) -> DataFrame:
     """r of each lag, its 95 % bound after Bartlett and the cumulative Ljung-Box statistic. Constant series give none."""
     rows = valid(series).withColumn("i", F.row_number().over(by_index()) - 1)
     t = rows.groupBy(KEY).agg(F.count("*").alias("n"), F.avg(val()).alias("m"), F.var_pop(val()).alias("v")).where("v > 0")
-    c = rows.join(t, KEY).select(KEY, "i", "n", "v", (val() - F.col("m")).alias("x"))
-    shifted = c.select(KEY, "x", "n", "v", "i", F.explode(F.sequence(F.lit(0), F.least(F.lit(max_lag), F.col("n") - 1).cast("int"))).alias("lag")).withColumn("j", F.col("i") + F.col("lag"))
-    both = shifted.join(c.select(KEY, F.col("i").alias("j"), F.col("x").alias("y")), [KEY, "j"])
-    r = both.groupBy(KEY, "lag", "n", "v").agg(F.sum(F.col("x") * F.col("y")).alias("s")).withColumn("acf", F.col("s") / F.col("n") / F.col("v"))
+    if max_lag <= WINDOW_LAGS:
+        c = rows.join(t, KEY).select(KEY, "i", "n", "v", (val() - F.col("m")).alias("x"))
+        order = Window.partitionBy(KEY).orderBy("i")
+        lagged = c.select(KEY, "n", "v", *[(F.col("x") * F.lag("x", k).over(order)).alias(f"x{k}") for k in range(max_lag + 1)])
+        sums = lagged.groupBy(KEY, "n", "v").agg(F.array(*[F.sum(f"x{k}") for k in range(max_lag + 1)]).alias("s"))
+        r = sums.select(KEY, "n", "v", F.posexplode("s").alias("lag", "s")).where(F.col("lag") < F.col("n")).withColumn("acf", F.col("s") / F.col("n") / F.col("v"))
+    else:
+        # the power spectrum of the values, padded so that nothing wraps around, is the transform of their autocovariances
+        def run(x, _):  # noqa: ANN001, ANN202
+            n, most = len(x), min(max_lag, len(x) - 1)
+            d = np.fft.rfft(x - x.mean(), 1 << (2 * n - 1).bit_length())
+            s = np.fft.irfft(np.abs(d) ** 2)[: most + 1]
+            return {"lag": np.arange(most + 1), "s": s}
+
+        r = per_series(series, run, "lag int, s double").join(t.select(KEY, "n", "v"), KEY).withColumn("acf", F.col("s") / F.col("n") / F.col("v"))
     past = Window.partitionBy(KEY).orderBy("lag").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy(KEY).orderBy("lag").rowsBetween(Window.unboundedPreceding, 0)
     sq = F.when(F.col("lag") > 0, F.col("acf") ** 2).otherwise(0.0)
@@ -80,11 +98,18 @@ def correlation_matrix(series: DataFrame, method: str = "pearson") -> DataFrame:
 
 
 def kendall_tau(series: DataFrame) -> DataFrame:
-    """tau-a of each pair of series, by a join of the pair's points with the later ones."""
-    p = pair_up(series)
-    q = p.select("var1", "var2", F.col("idx").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    s = p.join(q, ["var1", "var2"]).where("idx < j").groupBy("var1", "var2").agg(F.sum(F.signum((F.col("x2") - F.col("x"))) * F.signum(F.col("y2") - F.col("y"))).alias("s"), F.count("*").alias("pairs"))
-    return s.select("var1", "var2", (F.col("s") / F.col("pairs")).alias("tau"))
+    """tau-a of each pair of series: rising less falling pairs of points over all, counted in n log^2 n steps. Two common points at least."""
+    from .detectors_np import rising_pairs
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        x, y = np.asarray(table["x"]), np.asarray(table["y"])
+        n = len(x)
+        # within equal x the order is such that none of their pairs rises
+        up, down = (rising_pairs(v[np.lexsort((-v, x))]) for v in (y, -y))
+        tau = [(up - down) / (n * (n - 1) / 2)] if n > 1 else []
+        return pa.table({"var1": pa.array([key[0].as_py()] * len(tau), pa.string()), "var2": pa.array([key[1].as_py()] * len(tau), pa.string()), "tau": pa.array(tau, pa.float64())})
+
+    return pair_up(series).select("var1", "var2", "x", "y").groupBy("var1", "var2").applyInArrow(run, "var1 string, var2 string, tau double")
 
 
 def strong_pairs(matrix: DataFrame, least: float = 0.7) -> DataFrame:

@@ -87,9 +87,9 @@ def qq_points(series: DataFrame) -> DataFrame:
 
 
 def shapiro_wilk(series: DataFrame) -> DataFrame:
-    """W of the approximate normal scores, normalised, and its tabulated p-value; for 8 to 5000 values."""
+    """W of the approximate normal scores, normalised, and its tabulated p-value; 8 values at least."""
     m = normal_quantile((F.col("i") - 0.375) / (F.col("n") + 0.25))
-    t = ordered(series).where(F.col("n").between(8, 5000)).withColumn("m", m)
+    t = ordered(series).where(F.col("n") >= 8).withColumn("m", m)
     out = t.groupBy(KEY).agg(F.sum(F.col("m") * F.col("value")).alias("b"), F.sum(F.col("m") * F.col("m")).alias("mm"), (F.var_pop("value") * F.count("*")).alias("ss"))
     raw = safe_div(F.col("b") ** 2, F.col("ss"))
     w = safe_div(raw, F.col("mm"))
@@ -109,6 +109,14 @@ def kolmogorov_smirnov(series: DataFrame) -> DataFrame:
     return d.select(KEY, F.col("d").alias("statistic"), (1.36 / F.sqrt(n)).alias("critical"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * p)).alias("p_value"))
 
 
+def normality(series: DataFrame, alpha: float = 0.05, most: int = 5000) -> DataFrame:
+    """The test that suits a series' length: Shapiro-Wilk for 8 to ``most`` values, Kolmogorov-Smirnov beyond; named in ``test``."""
+    n = valid(series).groupBy(KEY).agg(F.count("*").alias("n")).where("n >= 8")
+    a = shapiro_wilk(series).select(KEY, F.lit("shapiro_wilk").alias("test"), F.col("w").alias("statistic"), "p_value").join(n, KEY).where(F.col("n") <= most)
+    b = kolmogorov_smirnov(series).select(KEY, F.lit("kolmogorov_smirnov").alias("test"), "statistic", "p_value").join(n, KEY).where(F.col("n") > most)
+    return a.unionByName(b).withColumn("is_normal", F.col("p_value") > alpha)
+
+
 def normal_fit(series: DataFrame) -> DataFrame:
     """Mean, deviation, log-likelihood and AIC of a normal distribution."""
     t = valid(series).groupBy(KEY).agg(F.count("*").alias("n"), F.avg("value").alias("mu"), F.stddev_samp("value").alias("sigma"), F.var_pop("value").alias("v"))

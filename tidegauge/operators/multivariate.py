@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .grouped import least_squares
-from .series import KEY, valid
+from .series import KEY, by_index, valid
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -367,15 +367,34 @@ DISTANCES = {
 
 
 def pairwise_distances(series: DataFrame, measure: str = "dtw") -> DataFrame:
-    """Distance of each pair of series over all their values."""
-    fn = DISTANCES[measure]
-    arrays = valid(series).groupBy(KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda r: r["value"]).alias("x"))
+    """Distance of each pair of series over all their values, by place; of unequal lengths the common places count, but for warping and cross-correlation.
 
-    @F.pandas_udf("double")
-    def distance(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([fn(np.asarray(a, float), np.asarray(b, float)) for a, b in zip(x, y, strict=True)])
+    Euclidean, Manhattan and cosine distances are sums over a join on the place; the others see whole arrays, in groups of two blocks of series.
+    """
+    if measure in ("euclidean", "manhattan", "cosine"):
+        rows = valid(series).select(KEY, (F.row_number().over(by_index()) - 1).alias("i"), "value")
+        both = rows.toDF("var1", "i", "x").join(rows.toDF("var2", "i", "y"), "i").where("var1 < var2")
+        x, y = F.col("x"), F.col("y")
+        d = {
+            "euclidean": F.sqrt(F.sum((x - y) ** 2)), "manhattan": F.sum(F.abs(x - y)),
+            "cosine": 1 - F.sum(x * y) / F.greatest(F.sqrt(F.sum(x * x)) * F.sqrt(F.sum(y * y)), F.lit(1e-300)),
+        }[measure]
+        return both.groupBy("var1", "var2").agg(d.alias("distance"))
+    from .warping import BLOCK, arrays_of
+
+    fn, arrays = DISTANCES[measure], arrays_of(series)
+    blocks = max(1, -(-arrays.count() // BLOCK))
+    own = F.pmod(F.xxhash64(KEY), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    one = arrays.select(KEY, "x", F.lit(True).alias("first"), own.alias("a"), every.alias("b"))
+    other = arrays.select(KEY, "x", F.lit(False).alias("first"), every.alias("a"), own.alias("b")).select(KEY, "x", "first", "a", "b")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["first"]], pdf[~pdf["first"]]
+        found = [(p, q, fn(np.asarray(x, float), np.asarray(y, float))) for p, x in zip(left[KEY], left["x"], strict=True) for q, y in zip(right[KEY], right["x"], strict=True) if p < q]
+        return pd.DataFrame(found, columns=["var1", "var2", "distance"])
 
-    return arrays.toDF("var1", "x").join(arrays.toDF("var2", "y"), F.col("var1") < F.col("var2")).select("var1", "var2", distance("x", "y").alias("distance"))
+    return one.unionByName(other).groupBy("a", "b").applyInPandas(run, "var1 string, var2 string, distance double")
 
 
 def nearest_series(distances: DataFrame, k: int) -> DataFrame:

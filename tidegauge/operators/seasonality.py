@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import safe_div
 from .correlation import autocorrelation
+from .grouped import per_series
 from .series import by_index, KEY, valid, val
 
 
@@ -18,25 +20,38 @@ def _centred(series: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy(KEY).agg(F.count("*").alias("n"), F.avg(val()).alias("m"), F.var_pop(val()).alias("v")), KEY).withColumn("x", val() - F.col("m"))
 
 
-def fourier(series: DataFrame, most: int = 50) -> DataFrame:
-    """Power at k cycles per series, k = 1 to min(n / 2, most): |sum x exp(-2 pi i k t / n)|^2 / n."""
-    rows = _centred(series).select(KEY, "i", "n", "x", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), F.floor(F.col("n") / 2)).cast("int"))).alias("k"))
-    angle = 2 * math.pi * F.col("k") * F.col("i") / F.col("n")
-    s = rows.groupBy(KEY, "k", "n").agg(F.sum(F.col("x") * F.cos(angle)).alias("re"), F.sum(F.col("x") * F.sin(angle)).alias("im"))
-    out = s.select(KEY, "k", (F.col("n") / F.col("k")).alias("period"), ((F.col("re") ** 2 + F.col("im") ** 2) / F.col("n")).alias("power"))
-    return out.join(out.groupBy(KEY).agg(F.avg("power").alias("mean_power")), KEY).withColumn("is_dominant", F.col("power") > 2 * F.col("mean_power"))
+def spectrum(x: np.ndarray) -> np.ndarray:
+    """|sum x exp(-2 pi i k t / n)|^2 / n for k = 1 to n / 2, of values less their mean."""
+    return np.abs(np.fft.rfft(x - x.mean())[1:]) ** 2 / len(x)
+
+
+def fourier(series: DataFrame) -> DataFrame:
+    """Power at every frequency of a series, k = 1 to n / 2 cycles, by the fast transform; its ``share`` of the sum of squares; dominant above twice the mean power. Two values at least."""
+
+    def run(x: np.ndarray, _: np.ndarray) -> dict:
+        power, n = spectrum(x), len(x)
+        k, total = np.arange(1, n // 2 + 1), float(((x - x.mean()) ** 2).sum())
+        return {"k": k, "period": n / k, "power": power, "share": 2 * power / total if total else np.full(len(k), np.nan), "mean_power": power.mean(), "is_dominant": power > 2 * power.mean()}
+
+    out = per_series(series, run, "k long, period double, power double, share double, mean_power double, is_dominant boolean", 2)
+    return out.withColumn("share", F.nanvl("share", F.lit(None)))
 
 
 def periodogram(series: DataFrame, low: int, high: int) -> DataFrame:
-    """Power at whole periods; peaks are local maxima above the mean by two deviations."""
-    rows = _centred(series).select(KEY, "i", "n", "x", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("period")).where(F.col("period") * 2 <= F.col("n"))
-    angle = 2 * math.pi * F.col("i") / F.col("period")
-    s = rows.groupBy(KEY, "period", "n").agg(F.sum(F.col("x") * F.cos(angle)).alias("re"), F.sum(F.col("x") * F.sin(angle)).alias("im"))
-    out = s.select(KEY, "period", ((F.col("re") ** 2 + F.col("im") ** 2) / F.col("n")).alias("power"))
-    w = Window.partitionBy(KEY).orderBy("period")
-    out = out.join(out.groupBy(KEY).agg(F.avg("power").alias("mu"), F.stddev_pop("power").alias("sd")), KEY)
-    peak = (F.col("power") > F.col("mu") + 2 * F.col("sd")) & (F.col("power") > F.coalesce(F.lag("power").over(w), F.lit(-1.0))) & (F.col("power") > F.coalesce(F.lead("power").over(w), F.lit(-1.0)))
-    return out.select(KEY, "period", "power", peak.alias("is_peak"))
+    """Power at whole periods of at most half the series; peaks are local maxima above the mean by two deviations."""
+
+    def run(x: np.ndarray, _: np.ndarray) -> dict:
+        n, d = len(x), x - x.mean()
+        periods = np.arange(low, min(high, n // 2) + 1)
+        power = np.zeros(len(periods))
+        for i, p in enumerate(periods.tolist()):  # the sums of each place of a period, then one wave over the places
+            wave = np.exp(-2j * np.pi * np.arange(p) / p)
+            power[i] = abs(wave @ np.bincount(np.arange(n) % p, d, p)) ** 2 / n
+        before, after = np.append(-1.0, power[:-1]), np.append(power[1:], -1.0)
+        level = power.mean() + 2 * power.std() if len(power) else 0.0
+        return {"period": periods, "power": power, "is_peak": (power > level) & (power > before) & (power > after)}
+
+    return per_series(series, run, "period int, power double, is_peak boolean", 2 * low)
 
 
 def acf_periods(series: DataFrame, low: int = 2, high: int = 365) -> DataFrame:

@@ -36,7 +36,7 @@ def combined_periods(series: DataFrame, low: int = 2, high: int = 60) -> DataFra
     """Periods that any of the three methods finds, with how many do."""
     peaks = seasonality.periodogram(series, low, high).where("is_peak").select(KEY, F.col("period").cast("double").alias("period"))
     acf = seasonality.acf_periods(series, low, high).select(KEY, F.col("period").cast("double").alias("period"))
-    waves = seasonality.fourier(series).where("is_dominant").select(KEY, F.round("period").alias("period"))
+    waves = seasonality.fourier(series).where("is_dominant").select(KEY, F.round("period").alias("period")).distinct()  # frequencies of a long series share periods
     return peaks.unionByName(acf).unionByName(waves).where(F.col("period").between(low, high)).groupBy(KEY, "period").agg(F.count("*").alias("n_methods"))
 
 

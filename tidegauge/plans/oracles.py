@@ -55,7 +55,7 @@ SELECT b.series_id, b.bin, round(lo + b.bin * w, 6) AS left_edge, coalesce(c, 0)
 _PLACED = f"{EVENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY value, idx) AS i FROM e), t AS (SELECT series_id, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS s FROM e GROUP BY 1)"
 SQL["qq_points"] = f"WITH {_PLACED}, p AS (SELECT *, (i - .5::DOUBLE) / n AS p FROM r JOIN t USING (series_id)), z AS (SELECT *, {_quantile('p')} AS z FROM p) SELECT series_id, i::INT AS i, round(z, 6) AS theoretical, round(value, 6) AS sample, round(mean + s * z, 6) AS line FROM z"
 _TABLE = "CASE WHEN {c} > .95 THEN .5 + 2 * ({c} - .95) WHEN {c} > .9 THEN .1 + 8 * ({c} - .9) ELSE .01 + .09 * {c} END"
-SQL["shapiro_wilk"] = f"""WITH {_PLACED}, p AS (SELECT *, (i - .375::DOUBLE) / (n + .25) AS p FROM r JOIN t USING (series_id) WHERE n BETWEEN 8 AND 5000), z AS (SELECT *, {_quantile('p')} AS z FROM p),
+SQL["shapiro_wilk"] = f"""WITH {_PLACED}, p AS (SELECT *, (i - .375::DOUBLE) / (n + .25) AS p FROM r JOIN t USING (series_id) WHERE n >= 8), z AS (SELECT *, {_quantile('p')} AS z FROM p),
 w AS (SELECT series_id, sum(z * value) ** 2 / (var_pop(value) * count(*)) AS raw, sum(z * z) AS mm FROM z GROUP BY 1)
 SELECT series_id, round(raw / mm, 6) AS w, round({_TABLE.format(c='raw / mm')}, 6) AS p_value, round(raw, 6) AS w_ref, round({_TABLE.format(c='raw')}, 6) AS p_value_ref FROM w"""
 SQL["kolmogorov_smirnov"] = f"""WITH {_PLACED}, z AS (SELECT *, (value - mean) / s AS z FROM r JOIN t USING (series_id)), c AS (SELECT *, {_cdf('z')} AS c FROM z), d AS (SELECT series_id, n, max(greatest(abs(i / n - c), abs((i - 1) / n - c))) AS d FROM c GROUP BY 1, 2)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr
-from ..operators import anomaly, arima, breaks, calendar, correlation, descriptive, detectors_np, forecasting, ml, multivariate, quality, seasonality, series, stationarity, systems, trend, windows
+from ..operators import anomaly, arima, breaks, calendar, correlation, descriptive, detectors_np, forecasting, ml, multivariate, quality, seasonality, series, stationarity, systems, trend, warping, windows
 from ..sources import readers, synthetic
 from ..streaming import detector, drift, online, windowed
 from . import compose
@@ -159,6 +159,7 @@ query("standardized_moments")(on(events, descriptive.standardized_moments))
 query("histogram_auto")(on(events, descriptive.histogram))
 query("qq_points")(on(events, descriptive.qq_points))
 query("shapiro_wilk")(on(events, descriptive.shapiro_wilk))
+query("normality", None, 4)(on(events, lambda s: descriptive.normality(s, most=2000)))
 query("kolmogorov_smirnov")(on(events, descriptive.kolmogorov_smirnov))
 query("normal_fit", f"""WITH {EVENTS}, t AS (SELECT series_id, count(*) AS n, avg(value) AS mu, stddev_samp(value) AS sigma, var_pop(value) AS v FROM e GROUP BY 1),
 l AS (SELECT *, -n / 2 * ln(2 * pi() * sigma ** 2) - n * v / (2 * sigma ** 2) AS ll FROM t) SELECT series_id, round(mu, 6) AS mu, round(sigma, 6) AS sigma, round(ll, 4) AS log_likelihood, round(4 - 2 * ll, 4) AS aic FROM l""")(
@@ -277,8 +278,8 @@ query("correlation_spearman", f"""WITH {ORDERS}, p AS (SELECT a.series_id AS var
 r AS (SELECT var1, var2, rank() OVER (PARTITION BY var1, var2 ORDER BY x) + (count(*) OVER (PARTITION BY var1, var2, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY var1, var2 ORDER BY y) + (count(*) OVER (PARTITION BY var1, var2, y) - 1) / 2 AS ry FROM p)
 SELECT var1, var2, count(*) AS n, round(corr(rx, ry), 6) AS r FROM r GROUP BY 1, 2""")(on(orders_daily, lambda s: correlation.correlation_matrix(s, "spearman").select("var1", "var2", "n", "r")))
 query("correlation_tests")(on(orders_daily, correlation.correlation_matrix))
-query("kendall_tau", f"""WITH {FLAGS}, p AS (SELECT a.series_id AS var1, b.series_id AS var2, a.idx, a.value AS x, b.value AS y FROM f a JOIN f b ON a.idx = b.idx AND a.series_id < b.series_id WHERE a.idx < 300)
-SELECT a.var1, a.var2, round(sum(sign(b.x - a.x) * sign(b.y - a.y)) / count(*), 6) AS tau FROM p a JOIN p b ON a.var1 = b.var1 AND a.var2 = b.var2 AND a.idx < b.idx GROUP BY 1, 2""".replace(" WHERE a.idx < 300", ""))(on(flags_daily, correlation.kendall_tau))
+query("kendall_tau", f"""WITH {FLAGS}, p AS (SELECT a.series_id AS var1, b.series_id AS var2, a.idx, a.value AS x, b.value AS y FROM f a JOIN f b ON a.idx = b.idx AND a.series_id < b.series_id)
+SELECT a.var1, a.var2, round(sum(sign(b.x - a.x) * sign(b.y - a.y)) / count(*), 6) AS tau FROM p a JOIN p b ON a.var1 = b.var1 AND a.var2 = b.var2 AND a.idx < b.idx GROUP BY 1, 2""")(on(flags_daily, correlation.kendall_tau))
 query("strong_pairs")(on(orders_daily, lambda s: correlation.strong_pairs(correlation.correlation_matrix(s), 0.0)))
 _ROLL = "OVER (ORDER BY idx ROWS 29 PRECEDING)"
 query("rolling_correlation", f"""WITH {_XY}, r AS (SELECT idx, x, y, count(*) {_ROLL} AS k, covar_pop(x, y) {_ROLL} / nullif(stddev_pop(x) {_ROLL} * stddev_pop(y) {_ROLL}, 0) AS r FROM xy) SELECT idx, round(r, 6) AS r FROM r WHERE k = 30 AND r IS NOT NULL""")(
@@ -306,6 +307,8 @@ _FIRST = f"{FLAGS}, g AS (SELECT a.series_id AS var1, b.series_id AS var2, a.val
 SQL["distance_euclidean"] = f"WITH {_FIRST} SELECT var1, var2, round(sqrt(sum((x - y) ** 2)), 6) AS distance FROM g GROUP BY 1, 2"
 SQL["distance_manhattan"] = f"WITH {_FIRST} SELECT var1, var2, round(sum(abs(x - y)), 6) AS distance FROM g GROUP BY 1, 2"
 SQL["distance_cosine"] = f"WITH {_FIRST} SELECT var1, var2, round(1 - sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))), 6) AS distance FROM g GROUP BY 1, 2"
+query("nearest_by_warping", None, 4)(lambda spark, sf_dir: warping.nearest(series.indexed(read(spark, sf_dir, "events"), "user_id", "ts", "value"), 3, 3))
+query("warping_ranking", None, 4)(on(flags_daily, lambda s: warping.ranking(s, "A", 100)))
 query("nearest_series")(on(flags_daily, lambda s: multivariate.nearest_series(multivariate.pairwise_distances(s, "euclidean"), 2)))
 query("vector_distances", """WITH q AS (SELECT embedding AS a FROM embeddings WHERE vec_id = 0)
 SELECT vec_id, round(sqrt(list_sum(list_transform(list_zip(embedding, a), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2))), 6) AS euclidean, round(list_sum(list_transform(list_zip(embedding, a), lambda p: abs(p[1]::DOUBLE - p[2]::DOUBLE))), 6) AS manhattan FROM embeddings, q""")(
@@ -313,7 +316,9 @@ SELECT vec_id, round(sqrt(list_sum(list_transform(list_zip(embedding, a), lambda
 
 # --- seasonality and calendar -------------------------------------------------------------
 
-query("fourier")(on(orders_daily, lambda s: seasonality.fourier(s, 20)))
+query("fourier", f"""WITH {ORDERS}, t AS (SELECT series_id, count(*) AS n, avg(value) AS m, var_pop(value) AS v FROM o GROUP BY 1), f AS (SELECT series_id, n, v, unnest(range(1, n // 2 + 1)) AS k FROM t),
+s AS (SELECT f.series_id, f.k, any_value(n) AS n, any_value(v) AS v, sum((value - m) * cos(2 * pi() * ((k * idx) % f.n) / f.n)) AS a, sum((value - m) * sin(2 * pi() * ((k * idx) % f.n) / f.n)) AS b FROM f JOIN o USING (series_id) JOIN (SELECT series_id, m FROM t) USING (series_id) GROUP BY 1, 2)
+SELECT series_id, k, round(n / k, 6) AS period, round((a * a + b * b) / n / (n * v) * 2, 6) AS share, (a * a + b * b) / n > 2 * avg((a * a + b * b) / n) OVER (PARTITION BY series_id) AS is_dominant FROM s""")(on(orders_daily, lambda s: seasonality.fourier(s).select("series_id", "k", "period", "share", "is_dominant")))
 query("periodogram")(on(orders_daily, lambda s: seasonality.periodogram(s, 2, 30)))
 query("acf_periods")(on(orders_daily, lambda s: seasonality.acf_periods(s, 2, 60)))
 query("auto_period")(on(orders_daily, seasonality.auto_period))
