@@ -64,10 +64,18 @@ def test_nearest_equals_brute_force(spark, window, block, long, monkeypatch):
         assert [got[q, i + 1][1] for i in range(3)] == [d for d, _ in want]
         assert got[q, 1][0] == want[0][1]
     assert len(got) == 3 * len(xs) and got["copy", 1] == ("s03", 0)
-    assert all(r.tried + r.pruned == len(xs) - 1 for r in rows) and (sum(r.pruned for r in rows) > 0 or window is None)
+    assert all(r.tried + r.pruned == len(xs) - 1 for r in rows)
     assert warping.nearest(frame(spark, named).limit(0), 2).count() == 0
 
 
+def test_bounds_spare_warpings(spark):
+    rng = np.random.default_rng(7)
+    named = {f"s{i:03d}": rng.normal(size=40) * 0.3 + 4 * (i % 8) for i in range(60)}
+    rows = warping.nearest(frame(spark, named), 2, 2).where("rank = 1").collect()
+    assert all(int(r.series_id[1:]) % 8 == int(r.other[1:]) % 8 for r in rows)
+    assert sum(r.pruned for r in rows) > 0.5 * sum(r.tried + r.pruned for r in rows)
+
+
 def test_ranking_and_quality(spark):
     t = np.arange(60)
     named = {"q": np.sin(t / 5), "same": np.sin(t / 5), "late": np.sin((t - 4) / 5), "other": np.cos(t / 2) * 3, "short": np.sin(np.arange(0, 60, 2) / 5)}
