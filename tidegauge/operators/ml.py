@@ -103,13 +103,10 @@ def successive_halving(points: list[dict], score: Callable[[dict, int], float],
 
 
 def pareto_front(rows: DataFrame, key: str, objectives: list[str]) -> DataFrame:
-    """Rows that no other is at least as good as in every objective and better in one (all maximised)."""
-    other = rows.select(*[F.col(c).alias(f"_{c}") for c in objectives])
-    beats = F.lit(True)
-    better = F.lit(False)
-    for c in objectives:
-        beats, better = beats & (F.col(f"_{c}") >= F.col(c)), better | (F.col(f"_{c}") > F.col(c))
-    return rows.join(other, beats & better, "left_anti").select(key, *objectives)
+    """Rows that no other is at least as good as in every objective and better in one (all maximised); see :mod:`.skyline`."""
+    from . import skyline
+
+    return skyline.pareto_front(rows, objectives).select(key, *objectives)
 
 
 def early_stop(history: DataFrame, patience: int = 5, least: float = 0.0) -> DataFrame:

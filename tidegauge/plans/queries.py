@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr
-from ..operators import anomaly, arima, breaks, calendar, correlation, descriptive, detectors_np, forecasting, ml, multivariate, quality, seasonality, series, stationarity, systems, trend, warping, windows
+from ..operators import anomaly, arima, breaks, calendar, correlation, descriptive, detectors_np, forecasting, ml, multivariate, quality, seasonality, series, skyline, stationarity, systems, trend, warping, windows
 from ..sources import readers, synthetic
 from ..streaming import detector, drift, online, windowed
 from . import compose
@@ -441,6 +441,22 @@ query("online_forecast", None, 4)(on(events, lambda s: online.forecast_table(s).
 query("persistence", f"WITH {ORDERS}, l AS (SELECT series_id, arg_max(value, idx) AS forecast FROM o GROUP BY 1) SELECT series_id, unnest(range(1, 6))::INT AS step, round(forecast, 6) AS forecast FROM l")(on(orders_daily, lambda s: ml.persistence(s, 5)))
 query("sequences", f"""WITH {ORDERS}, w AS (SELECT series_id, idx, list(value) OVER (PARTITION BY series_id ORDER BY idx ROWS 3 PRECEDING) AS x, list(value) OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS y FROM o)
 SELECT series_id, idx, round(list_sum(x), 2) AS total, round(y[1], 2) AS target FROM w WHERE len(x) = 4 AND len(y) = 1""")(on(orders_daily, lambda s: ml.sequences(s, 4).select("series_id", "idx", F.round(F.aggregate("x", F.lit(0.0), lambda a, b: a + b), 2).alias("total"), F.round(F.col("y")[0], 2).alias("target"))))
+_FRONTS = """l1 AS (SELECT p_partkey, p_size AS x, p_retailprice AS y FROM part), f1 AS (SELECT * FROM l1 a WHERE NOT EXISTS (SELECT 1 FROM l1 b WHERE b.x >= a.x AND b.y >= a.y AND (b.x > a.x OR b.y > a.y))),
+l2 AS (SELECT * FROM l1 ANTI JOIN f1 USING (p_partkey)), f2 AS (SELECT * FROM l2 a WHERE NOT EXISTS (SELECT 1 FROM l2 b WHERE b.x >= a.x AND b.y >= a.y AND (b.x > a.x OR b.y > a.y))),
+l3 AS (SELECT * FROM l2 ANTI JOIN f2 USING (p_partkey)), f3 AS (SELECT * FROM l3 a WHERE NOT EXISTS (SELECT 1 FROM l3 b WHERE b.x >= a.x AND b.y >= a.y AND (b.x > a.x OR b.y > a.y))),
+f AS (SELECT *, 1 AS front FROM f1 UNION ALL SELECT *, 2 FROM f2 UNION ALL SELECT *, 3 FROM f3)"""
+
+
+def _fronts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skyline.fronts(read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"], 3)
+
+
+query("pareto_fronts", f"WITH {_FRONTS} SELECT p_partkey, front FROM f")(lambda spark, d: _fronts(spark, d).select("p_partkey", "front"))
+query("crowding", f"""WITH {_FRONTS}, g AS (SELECT *, count(*) OVER (PARTITION BY front) AS n, lag(x) OVER wx AS x0, lead(x) OVER wx AS x1, lag(y) OVER wy AS y0, lead(y) OVER wy AS y1, max(x) OVER (PARTITION BY front) - min(x) OVER (PARTITION BY front) AS rx, max(y) OVER (PARTITION BY front) - min(y) OVER (PARTITION BY front) AS ry FROM f WINDOW wx AS (PARTITION BY front ORDER BY x, p_partkey), wy AS (PARTITION BY front ORDER BY y, p_partkey))
+SELECT p_partkey, front, CASE WHEN n > 2 AND x0 IS NOT NULL AND x1 IS NOT NULL AND y0 IS NOT NULL AND y1 IS NOT NULL THEN round(coalesce((x1 - x0) / nullif(rx, 0), 0) + coalesce((y1 - y0) / nullif(ry, 0), 0), 6) END AS crowding FROM g""")(
+    lambda spark, d: skyline.crowding(_fronts(spark, d), "p_partkey", ["p_size", "p_retailprice"]).select("p_partkey", "front", F.when(F.col("crowding") < float("inf"), F.col("crowding")).alias("crowding")))
+query("hypervolume", f"""WITH {_FRONTS}, d AS (SELECT DISTINCT front, x, y FROM f), s AS (SELECT *, x * (y - coalesce(lag(y) OVER (PARTITION BY front ORDER BY x DESC), 0)) AS a FROM d) SELECT front, count(*) AS points, round(sum(a), 3) AS hypervolume FROM s GROUP BY 1""", 3)(
+    lambda spark, d: skyline.hypervolume(_fronts(spark, d), ["p_size", "p_retailprice"], (0.0, 0.0)))
 query("pareto_front", """SELECT p_partkey, p_size, round(p_retailprice, 6) AS p_retailprice FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_size >= a.p_size AND b.p_retailprice >= a.p_retailprice AND (b.p_size > a.p_size OR b.p_retailprice > a.p_retailprice))""")(
     lambda spark, d: ml.pareto_front(read(spark, d, "part"), "p_partkey", ["p_size", "p_retailprice"]))
 query("compact", f"""WITH {EVENTS}, t AS (SELECT series_id, min(value) AS lo, max(value) AS hi FROM e GROUP BY 1) SELECT series_id, idx, round(abs(value - (lo + round(65535 * (value - lo) / (hi - lo)) / 65535 * (hi - lo))), 6) <= round((hi - lo) / 65535, 6) AS near FROM e JOIN t USING (series_id)""")(
