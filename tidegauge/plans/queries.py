@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr
-from ..operators import anomaly, arima, breaks, calendar, correlation, descriptive, detectors_np, forecasting, ml, multivariate, quality, seasonality, series, skyline, stationarity, systems, trend, warping, windows
+from ..operators import anomaly, arima, breaks, calendar, correlation, descriptive, detectors_np, forecasting, ml, multivariate, quality, scan, seasonality, series, skyline, stationarity, systems, trend, warping, windows
 from ..sources import readers, synthetic
 from ..streaming import detector, drift, online, windowed
 from . import compose
@@ -128,6 +128,9 @@ for _stat, _agg in (("mean", "avg(value)"), ("median", "quantile_cont(value, .5)
     query(f"fill_{_stat}", f"WITH {HOLED}, t AS (SELECT series_id, {_agg} AS t FROM h GROUP BY 1) SELECT series_id, idx, round(coalesce(value, t), 6) AS filled FROM h JOIN t USING (series_id)")(on(holed, lambda s, k=_stat: windows.statistic_fill(s, k).select("series_id", "idx", "filled")))
     query(f"window_fill_{_stat}", f"WITH {HOLED} SELECT series_id, idx, round(coalesce(value, {_agg} OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)), 6) AS filled FROM h")(on(holed, lambda s, k=_stat: windows.window_fill(s, 5, k).select("series_id", "idx", "filled")))
 query("constant_fill", f"WITH {HOLED} SELECT series_id, idx, round(coalesce(value, 0), 6) AS filled FROM h")(on(holed, lambda s: windows.constant_fill(s, 0).select("series_id", "idx", "filled")))
+for _name in ("forward_fill", "backward_fill", "linear_fill"):
+    query(f"{_name}_by_blocks", SQL[_name])(on(holed, lambda s, f=_name: getattr(scan, f)(scan.dealt(s)).select("series_id", "idx", "filled")))
+query("index_by_blocks", f"WITH {HOLED} SELECT series_id, ts, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS idx, CASE WHEN value IS NOT NULL THEN count(value) OVER (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 END AS vidx FROM h")(on(holed, lambda s: scan.with_index(scan.dealt(s.select("series_id", "ts", "value"))).select("series_id", "ts", "idx", "vidx")))
 query("ewma")(on(holed, lambda s: windows.ewma(s, 0.3).drop("ts")))
 query("exponential_fill")(on(holed, lambda s: windows.exponential_fill(s, 0.3).select("series_id", "idx", "filled")))
 _C = "OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"
@@ -376,6 +379,7 @@ query("phillips_perron")(on(orders_daily, stationarity.phillips_perron))
 query("cusum", f"""WITH {EVENTS}, t AS (SELECT series_id, avg(value) AS m, stddev_pop(value) AS s FROM e GROUP BY 1), p AS (SELECT series_id, idx, ts, value, s, sum(value - m - .5 * s) OVER w AS pu, sum(m - value - .5 * s) OVER w AS pd FROM e JOIN t USING (series_id) WINDOW w AS (PARTITION BY series_id ORDER BY idx ROWS UNBOUNDED PRECEDING)),
 c AS (SELECT *, pu - least(0, min(pu) OVER w) AS up, pd - least(0, min(pd) OVER w) AS down FROM p WINDOW w AS (PARTITION BY series_id ORDER BY idx ROWS UNBOUNDED PRECEDING))
 SELECT series_id, idx, ts, round(value, 6) AS value, round(up, 4) AS up, round(down, 4) AS down, greatest(up, down) > 4 * s AS alarm FROM c""")(on(events, lambda s: stationarity.cusum(s).withColumns({"up": F.round("up", 4), "down": F.round("down", 4)})))
+query("cusum_by_blocks", SQL["cusum"])(on(events, lambda s: scan.cusum(scan.dealt(s)).withColumns({"up": F.round("up", 4), "down": F.round("down", 4)})))
 query("cusum_changepoints")(on(events, stationarity.cusum_changepoints))
 query("pelt")(on(orders_daily, stationarity.pelt))
 query("binary_segmentation")(on(events, lambda s: stationarity.binary_segmentation(s, critical=2.5)))
