@@ -98,11 +98,13 @@ def trend_deviation(series: DataFrame, window: int = 10) -> DataFrame:
     return _found(rows, "trend_deviation", (F.col("n0") == window) & (F.col("n1") == window) & (score > 2), score, severity(score, 1.5, 2.5, 4.0), line)
 
 
-def level_shift(series: DataFrame, threshold: float = 2.0, window: int = 10) -> DataFrame:
-    before, after = _by_v().rowsBetween(-window, -1), _by_v().rowsBetween(0, window - 1)
-    rows = _dense(series).withColumns({"m0": F.avg(val()).over(before), "s0": F.stddev_pop(val()).over(before), "m1": F.avg(val()).over(after), "s1": F.stddev_pop(val()).over(after), "n0": F.count(val()).over(before), "n1": F.count(val()).over(after)})
-    score = F.abs(F.col("m1") - F.col("m0")) / F.greatest((F.col("s0") + F.col("s1")) / 2, F.lit(0.001))
-    return _found(rows, "level_shift", (F.col("n0") == window) & (F.col("n1") == window) & (score > threshold), score, severity(score, 2.0, 3.0, 5.0), F.col("m0"))
+def level_shift(series: DataFrame, threshold: float = 2.0) -> DataFrame:
+    """The means of the w points before and after a point, over their mean deviation (0.001 at least); w is a tenth of the values, within 5 and 20. Ten values at least."""
+    from .windows import around
+
+    rows = around(series, gap=1).where("n >= 10")
+    score = F.abs(F.col("m1") - F.col("m0")) / F.greatest((F.sqrt("v0") + F.sqrt("v1")) / 2, F.lit(0.001))
+    return _found(rows, "level_shift", score > threshold, score, severity(score, 2.0, 3.0, 5.0), F.col("m0"))
 
 
 def volatility(series: DataFrame, window: int = 10) -> DataFrame:

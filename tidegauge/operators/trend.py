@@ -60,12 +60,17 @@ def longest_runs(series: DataFrame) -> DataFrame:
     return runs.groupBy(KEY).agg(pick(1).alias("longest_rise"), pick(-1).alias("longest_fall"))
 
 
-def breakpoints(series: DataFrame, threshold: float = 1.0, window: int = 10) -> DataFrame:
-    """Points between windows whose means differ: a t-like statistic, divided by 3, above the threshold."""
-    before, after = by_index().rowsBetween(-window, -1), by_index().rowsBetween(0, window - 1)
-    rows = valid(series).withColumns({"m0": F.avg(val()).over(before), "v0": F.var_samp(val()).over(before), "m1": F.avg(val()).over(after), "v1": F.var_samp(val()).over(after), "n0": F.count(val()).over(before), "n1": F.count(val()).over(after)})
-    t = safe_div(F.abs(F.col("m1") - F.col("m0")), F.sqrt((F.col("v0") + F.col("v1")) / window))
-    return rows.withColumn("score", t / 3).where((F.col("n0") == window) & (F.col("n1") == window) & (F.col("score") > threshold)).select(KEY, "idx", "ts", "value", "score")
+def breakpoints(series: DataFrame, threshold: float = 1.0) -> DataFrame:
+    """Points between windows whose means differ: a t-like statistic, divided by 3, above the threshold. ``kind``: variance where it grows by half or more, else level.
+
+    A window is a tenth of the values, within 5 and 20.
+    """
+    from .windows import around
+
+    rows = around(series)
+    t = safe_div(F.abs(F.col("m1") - F.col("m0")), F.sqrt((F.col("v0") + F.col("v1")) / F.col("w")))
+    kind = F.when(F.col("v1") > 1.5 * F.col("v0"), "variance").otherwise("level")
+    return rows.withColumns({"score": t / 3, "kind": kind}).where(F.col("score") > threshold).select(KEY, "idx", "ts", "value", "score", "kind")
 
 
 def mann_kendall(series: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from ..functions.expr import safe_div
-from .series import by_index, KEY
+from .series import by_index, KEY, valid
 
 
 def all_before() -> WindowSpec:
@@ -209,3 +209,29 @@ def time_windows(df: DataFrame, ts: str, size: str, slide: str | None = None) ->
 
 def session_windows(df: DataFrame, key: str, ts: str, value: str, gap: str) -> DataFrame:
     return df.groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "total")
+
+
+def around(series: DataFrame, share: int = 10, least: int = 5, most: int = 20, gap: int = 0) -> DataFrame:
+    """Mean and population variance of the ``w`` values before each point (``m0``, ``v0``) and of the ``w`` from ``gap`` points on (``m1``, ``v1``), where n - 2 w points have both.
+
+    ``w`` is a ``share``-th of a series' values, rounded down, within ``least`` and ``most``. All widths are read from prefix sums in one pass.
+    """
+    rows = valid(series).withColumn("i", F.row_number().over(by_index()) - 1)
+    t = rows.groupBy(KEY).agg(F.count("*").alias("n"), F.avg("value").alias("m"))
+    rows = rows.join(t, KEY).withColumn("w", F.greatest(F.lit(least), F.least(F.lit(most), F.floor(F.col("n") / share))).cast("int"))
+    x, upto = F.col("value") - F.col("m"), by_index().rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"p1": F.sum(x).over(upto), "p2": F.sum(x * x).over(upto)})
+
+    def at(name: str, offsets: list[int]) -> Column:
+        """The prefix sum as many rows on as the entry for this width says; none lies before the first row."""
+        read = [F.coalesce(F.lead(name, k).over(by_index()) if k >= 0 else F.lag(name, -k).over(by_index()), F.lit(0.0)) for k in offsets]
+        return F.element_at(F.array(*read), F.col("w") - least + 1)
+
+    widths = range(least, most + 1)
+    ends = {"a": [-w - 1 for w in widths], "b": [-1] * len(widths), "c": [gap - 1] * len(widths), "d": [gap + w - 1 for w in widths]}
+    rows = rows.withColumns({f"{k}{p}": at(f"p{p}", o) for k, o in ends.items() for p in (1, 2)})
+    w = F.col("w")
+    before, after = ((F.col("b1") - F.col("a1")) / w, (F.col("b2") - F.col("a2")) / w), ((F.col("d1") - F.col("c1")) / w, (F.col("d2") - F.col("c2")) / w)
+    rows = rows.withColumns({"m0": F.col("m") + before[0], "v0": F.greatest(before[1] - before[0] ** 2, F.lit(0.0)), "m1": F.col("m") + after[0], "v1": F.greatest(after[1] - after[0] ** 2, F.lit(0.0))})
+    drop = [f"{k}{p}" for k in ends for p in (1, 2)] + ["p1", "p2", "m"]
+    return rows.where((F.col("i") >= w) & (F.col("i") < F.col("n") - w)).drop(*drop)

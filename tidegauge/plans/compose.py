@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import safe_div, two_sided_p
 from ..operators import anomaly, calendar, correlation, descriptive, quality, seasonality, stationarity, trend
-from ..operators.series import KEY
+from ..operators.series import KEY, valid
 
 
 def analyze(series: DataFrame, lags: int = 50) -> dict[str, DataFrame]:
@@ -98,3 +99,36 @@ class Profile:
 
 
 PROFILES = {p.name: p for p in (Profile(), Profile("finance", period=5, anomaly="modified_zscore", threshold=3.5, quality="regulatory"), Profile("iot", missing="forward", period=24, anomaly="iqr", threshold=1.5, quality="real_time"), Profile("weather", period=365, forecaster="holt_winters"))}
+
+
+STATIONARITY = {"adf": stationarity.adf, "kpss": stationarity.kpss, "pp": stationarity.phillips_perron}
+
+
+def stationarity_test(series: DataFrame, method: str = "adf") -> DataFrame:
+    """``test``, ``statistic``, ``p_value`` and ``is_stationary`` by one of the tests ``adf``, ``kpss`` and ``pp``, or ``all`` of them."""
+    out = None
+    for name in STATIONARITY if method == "all" else [method]:
+        one = STATIONARITY[name](series).select(KEY, F.lit(name).alias("test"), "statistic", "p_value", "is_stationary")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def trend_test(series: DataFrame, method: str = "mann_kendall", alpha: float = 0.05) -> DataFrame:
+    """``test``, ``statistic`` (z, or the slope's t), ``p_value``, ``direction`` (none where it isn't significant) by ``mann_kendall``, ``linear``, or ``all``."""
+    mk = trend.mann_kendall(series).select(KEY, F.lit("mann_kendall").alias("test"), F.col("z").alias("statistic"), "p_value")
+    x, v = F.col("idx").cast("double"), F.col("value")
+    t = valid(series).groupBy(KEY).agg(F.count("*").alias("n"), F.regr_slope(v, x).alias("b"), F.regr_r2(v, x).alias("r2")).where("n > 2")
+    stat = F.signum("b") * F.sqrt(safe_div(F.col("r2") * (F.col("n") - 2), 1 - F.col("r2")))
+    line = t.select(KEY, F.lit("linear").alias("test"), stat.alias("statistic"), two_sided_p(stat).alias("p_value"))
+    out = {"mann_kendall": mk, "linear": line, "all": mk.unionByName(line)}[method]
+    return out.withColumn("direction", F.when(F.col("p_value") >= alpha, "none").when(F.col("statistic") > 0, "increasing").otherwise("decreasing"))
+
+
+def correlation_analysis(series: DataFrame, strong: float = 0.7, most: int = 5) -> DataFrame:
+    """All three coefficients of each pair with Pearson's p-value, whether it is ``strong``, and its rank among the positive and among the negative ones (null beyond ``most``)."""
+    p = correlation.correlation_matrix(series, "pearson").select("var1", "var2", "n", F.col("r").alias("pearson"), "p_value")
+    s = correlation.correlation_matrix(series, "spearman").select("var1", "var2", F.col("r").alias("spearman"))
+    out = p.join(s, ["var1", "var2"]).join(correlation.kendall_tau(series).withColumnRenamed("tau", "kendall"), ["var1", "var2"])
+    r = F.col("pearson")
+    place = F.row_number().over(Window.partitionBy(r >= 0).orderBy(F.desc(F.abs(r)), "var1", "var2"))
+    return out.withColumn("is_strong", F.abs(r) >= strong).withColumn("place", F.when(r.isNotNull(), place)).withColumn("place", F.when(F.col("place") <= most, F.col("place")))

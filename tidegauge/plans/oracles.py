@@ -95,8 +95,10 @@ r AS (SELECT series_id, idx, value - a - b * idx AS r FROM o JOIN l USING (serie
 c AS (SELECT series_id, count(*) FILTER (d > 0)::DOUBLE AS p, count(*) FILTER (d < 0)::DOUBLE AS q FROM (SELECT series_id, value - lag(value) OVER (PARTITION BY series_id ORDER BY idx) AS d FROM o) GROUP BY 1), k AS (SELECT series_id, (p * (p - 1) + q * (q - 1)) / ((p + q) * (p + q - 1)) AS k FROM c)
 SELECT series_id, n, round(b, 6) AS slope, round(a, 6) AS intercept, round(r2, 6) AS r2, CASE WHEN r2 < .1 THEN 'inconclusive' WHEN b > 0 AND r2 > .95 AND b > .5 THEN 'strongly_increasing' WHEN b > 0 THEN 'increasing' WHEN b < 0 AND r2 > .95 AND b < -.5 THEN 'strongly_decreasing' WHEN b < 0 THEN 'decreasing' ELSE 'stable' END AS direction,
 round(r2 * k / (1 + .5 * cv), 6) AS strength, round(k, 6) AS consistency, round((z / f) ** (1 / (n - 1)) - 1, 6) AS growth_rate, round(rmse, 6) AS rmse, round(mae, 6) AS mae, round(dw, 6) AS durbin_watson, round(n * ln(rmse ** 2) + 4, 6) AS aic, round(n * ln(rmse ** 2) + 2 * ln(n), 6) AS bic FROM l JOIN x USING (series_id) JOIN k USING (series_id)"""
-SQL["breakpoints"] = f"""WITH {EVENTS}, w AS (SELECT *, avg(value) OVER b AS m0, var_samp(value) OVER b AS v0, count(*) OVER b AS n0, avg(value) OVER a AS m1, var_samp(value) OVER a AS v1, count(*) OVER a AS n1 FROM e WINDOW b AS {_frame('10 PRECEDING', '1 PRECEDING')}, a AS {_frame('CURRENT ROW', '9 FOLLOWING')})
-SELECT series_id, idx, ts, round(value, 6) AS value, round(abs(m1 - m0) / sqrt((v0 + v1) / 10) / 3, 6) AS score FROM w WHERE n0 = 10 AND n1 = 10 AND abs(m1 - m0) / sqrt((v0 + v1) / 10) / 3 > 1"""
+SQL["breakpoints"] = f"""WITH {EVENTS}, k AS (SELECT *, greatest(5, least(20, count(*) OVER (PARTITION BY series_id) // 10)) AS w, count(*) OVER (PARTITION BY series_id) AS n FROM e),
+w AS (SELECT k.series_id, k.idx, any_value(k.ts) AS ts, any_value(k.value) AS value, any_value(k.w) AS w, avg(x.value) FILTER (WHERE x.idx < k.idx) AS m0, var_pop(x.value) FILTER (WHERE x.idx < k.idx) AS v0, avg(x.value) FILTER (WHERE x.idx >= k.idx + 0) AS m1, var_pop(x.value) FILTER (WHERE x.idx >= k.idx + 0) AS v1
+FROM k JOIN e x ON x.series_id = k.series_id AND x.idx >= k.idx - k.w AND x.idx < k.idx + 0 + k.w WHERE k.idx >= k.w AND k.idx < k.n - k.w GROUP BY 1, 2)
+SELECT series_id, idx, ts, round(value, 6) AS value, round(abs(m1 - m0) / sqrt((v0 + v1) / w) / 3, 6) AS score, CASE WHEN v1 > 1.5 * v0 THEN 'variance' ELSE 'level' END AS kind FROM w WHERE abs(m1 - m0) / sqrt((v0 + v1) / w) / 3 > 1"""
 SQL["mann_kendall"] = f"""WITH {FLAGS}, s AS (SELECT a.series_id, sum(sign(b.value - a.value))::DOUBLE AS s FROM f a JOIN f b ON a.series_id = b.series_id AND a.idx < b.idx GROUP BY 1), z AS (SELECT series_id, n, s, (s - sign(s)) / sqrt(n * (n - 1) * (2 * n + 5) / 18) AS z FROM s JOIN (SELECT series_id, count(*) AS n FROM f GROUP BY 1) USING (series_id))
 SELECT series_id, n, s, round(z, 6) AS z, round({_p('z')}, 6) AS p_value, round(2 * s / (n * (n - 1)), 6) AS tau FROM z"""
 SQL["pettitt"] = f"""WITH {EVENTS}, r AS (SELECT *, rank() OVER (PARTITION BY series_id ORDER BY value) + (count(*) OVER (PARTITION BY series_id, value) - 1) / 2 AS r, count(*) OVER (PARTITION BY series_id) AS n FROM e),
@@ -282,3 +284,6 @@ coalesce(round(CASE WHEN n > 3 THEN n * (n + 1) / ((n - 1) * (n - 2) * (n - 3))
 
 SQL["seasonal_patterns"] = f"""SELECT series_id, lag AS period, round(abs(acf), 6) AS strength, CASE WHEN abs(acf) > .3 THEN .8::DOUBLE ELSE .5::DOUBLE END AS confidence
 FROM ({_ACF.replace(EVENTS, FLAGS + ", e AS (SELECT * FROM f)").replace("range(11)", "range(53)")}) WHERE lag IN (7, 12, 24, 48, 52) AND abs(acf) > .1 AND abs(acf) > bound"""
+SQL["stationarity_kpss"] = f"SELECT series_id, 'kpss' AS test, statistic, p_value, is_stationary FROM ({SQL['kpss']})"
+_COUNTED = SQL["mann_kendall"].replace(FLAGS, EVENTS).replace("FROM f ", "FROM e ").replace("JOIN f ", "JOIN e ")
+SQL["mann_kendall_counted"] = f"SELECT * REPLACE (round(p_value, 4) AS p_value) FROM ({_COUNTED})"

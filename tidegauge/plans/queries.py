@@ -187,10 +187,11 @@ z AS (SELECT *, greatest(q1 - 1.5 * (q3 - q1) - value, value - q3 - 1.5 * (q3 -
 query("anomaly_iqr", f"WITH {EVENTS}, {_IQR} SELECT series_id, idx, ts, round(value, 6) AS value, round(score, 6) AS score, {_SEV.format(r='score / 1.5', m=1.5, h=2.0, c=3.0)} AS severity, round((q1 + q3) / 2, 6) AS expected, 'iqr' AS method FROM z WHERE score > 0")(on(events, anomaly.iqr))
 query("anomaly_grubbs", f"""WITH {EVENTS}, t AS (SELECT series_id, count(*) AS n, avg(value) AS m, stddev_pop(value) AS s FROM e GROUP BY 1), z AS (SELECT *, abs(value - m) / s AS score, (n - 1) / sqrt(n) * sqrt(1.96 ** 2 / (n - 2 + 1.96 ** 2)) AS lim FROM e JOIN t USING (series_id))
 SELECT series_id, idx, ts, round(value, 6) AS value, round(score, 6) AS score, {_SEV.format(r='score / lim', m=1.2, h=1.5, c=2.0)} AS severity, round(m, 6) AS expected, 'grubbs' AS method FROM z WHERE score > lim""")(on(events, anomaly.grubbs))
-query("anomaly_level_shift", f"""WITH {EVENTS}, w AS (SELECT *, avg(value) OVER b AS m0, stddev_pop(value) OVER b AS s0, count(value) OVER b AS n0, avg(value) OVER a AS m1, stddev_pop(value) OVER a AS s1, count(value) OVER a AS n1 FROM e
-WINDOW b AS (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY series_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)),
-z AS (SELECT *, abs(m1 - m0) / greatest((s0 + s1) / 2, .001) AS score FROM w WHERE n0 = 10 AND n1 = 10)
-SELECT series_id, idx, ts, round(value, 6) AS value, round(score, 6) AS score, {_SEV.format(r='score', m=2.0, h=3.0, c=5.0)} AS severity, round(m0, 6) AS expected, 'level_shift' AS method FROM z WHERE score > 2""")(on(events, anomaly.level_shift))
+query("anomaly_level_shift", f"""WITH {EVENTS}, k AS (SELECT *, greatest(5, least(20, count(*) OVER (PARTITION BY series_id) // 10)) AS w, count(*) OVER (PARTITION BY series_id) AS n FROM e),
+w AS (SELECT k.series_id, k.idx, any_value(k.ts) AS ts, any_value(k.value) AS value, any_value(k.w) AS w, avg(x.value) FILTER (WHERE x.idx < k.idx) AS m0, var_pop(x.value) FILTER (WHERE x.idx < k.idx) AS v0, avg(x.value) FILTER (WHERE x.idx >= k.idx + 1) AS m1, var_pop(x.value) FILTER (WHERE x.idx >= k.idx + 1) AS v1
+FROM k JOIN e x ON x.series_id = k.series_id AND x.idx >= k.idx - k.w AND x.idx < k.idx + 1 + k.w WHERE k.idx >= k.w AND k.idx < k.n - k.w GROUP BY 1, 2),
+z AS (SELECT *, abs(m1 - m0) / greatest((sqrt(v0) + sqrt(v1)) / 2, .001) AS score FROM w)
+SELECT series_id, idx, ts, round(value, 6) AS value, round(score, 6) AS score, {_SEV.format(r='score', m=2.0, h=3.0, c=5.0)} AS severity, round(m0, 6) AS expected, 'level_shift' AS method FROM z WHERE score > .8""")(on(events, lambda s: anomaly.level_shift(s, 0.8)))
 query("anomaly_trend_deviation")(on(events, anomaly.trend_deviation))
 query("anomaly_volatility")(on(events, anomaly.volatility))
 query("anomaly_seasonal")(on(events, lambda s: anomaly.seasonal_decomposition(s, 24)))
@@ -239,7 +240,7 @@ query("longest_runs", f"""WITH {EVENTS}, d AS (SELECT series_id, idx, sign(value
 SELECT series_id, coalesce(max(k) FILTER (s = 1), 0) AS longest_rise, coalesce(max(k) FILTER (s = -1), 0) AS longest_fall FROM c GROUP BY 1""")(on(events, trend.longest_runs))
 query("breakpoints")(on(events, trend.breakpoints))
 query("mann_kendall")(on(flags_daily, trend.mann_kendall))
-query("mann_kendall_counted")(on(events, detectors_np.mann_kendall))
+query("mann_kendall_counted")(on(events, lambda s: detectors_np.mann_kendall(s).withColumn("p_value", F.round("p_value", 4))))
 query("sens_slope")(on(lambda s, d: flags_daily(s, d), trend.sens_slope))
 SQL["sens_slope"] = f"""WITH {FLAGS}, s AS (SELECT a.series_id, quantile_cont((b.value - a.value) / (b.idx - a.idx), .5) AS slope FROM f a JOIN f b ON a.series_id = b.series_id AND a.idx < b.idx GROUP BY 1), m AS (SELECT series_id, quantile_cont(value, .5) AS mv, quantile_cont(idx, .5) AS mi FROM f GROUP BY 1)
 SELECT series_id, round(slope, 6) AS slope, round(mv - slope * mi, 6) AS intercept FROM s JOIN m USING (series_id)"""
@@ -335,9 +336,9 @@ query("adjust_x13", None, 4)(on(orders_daily, lambda s: seasonality.adjust_x13(s
 _NUMBERED = ", p AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM o)"
 _SUMMED = "count(*) AS k, sum(value) AS s, sum(value * value) AS q, sum(value * cos(2 * pi() * (idx % 7) / 7)) AS c1, sum(value * sin(2 * pi() * (idx % 7) / 7)) AS s1, sum(value * cos(4 * pi() * (idx % 7) / 7)) AS c2, sum(value * sin(4 * pi() * (idx % 7) / 7)) AS s2"
 query("seasonal_breaks", f"""WITH {ORDERS}{_NUMBERED}, w AS (SELECT series_id, idx // 28 AS w, {_SUMMED} FROM p WHERE (idx // 28 + 1) * 28 <= n GROUP BY 1, 2),
-r AS (SELECT a.series_id, b.w, q_rest(a.q, a.s, a.k, a.c1, a.s1, a.c2, a.s2) + q_rest(b.q, b.s, b.k, b.c1, b.s1, b.c2, b.s2) AS apart, a.q + b.q - a.s ** 2 / a.k - b.s ** 2 / b.k - 2 * ((a.c1 + b.c1) ** 2 + (a.s1 + b.s1) ** 2 + (a.c2 + b.c2) ** 2 + (a.s2 + b.s2) ** 2) / (a.k + b.k) AS together,
+r AS (SELECT a.series_id, b.w, (a.q - a.s ** 2 / a.k - 2 * (a.c1 ** 2 + a.s1 ** 2 + a.c2 ** 2 + a.s2 ** 2) / a.k) + (b.q - b.s ** 2 / b.k - 2 * (b.c1 ** 2 + b.s1 ** 2 + b.c2 ** 2 + b.s2 ** 2) / b.k) AS apart, a.q + b.q - a.s ** 2 / a.k - b.s ** 2 / b.k - 2 * ((a.c1 + b.c1) ** 2 + (a.s1 + b.s1) ** 2 + (a.c2 + b.c2) ** 2 + (a.s2 + b.s2) ** 2) / (a.k + b.k) AS together,
 2 * sqrt(a.c1 ** 2 + a.s1 ** 2) / a.k AS x, 2 * sqrt(b.c1 ** 2 + b.s1 ** 2) / b.k AS y, b.s / b.k - a.s / a.k AS l FROM w a JOIN w b ON a.series_id = b.series_id AND b.w = a.w + 1)
-SELECT series_id, w::BIGINT AS w, round((together - apart) / 4 / (apart / 46), 4) AS f, round(x, 2) AS amplitude_before, round(y, 2) AS amplitude_after, round(l, 2) AS level_shift FROM r""".replace("q_rest(a.q, a.s, a.k, a.c1, a.s1, a.c2, a.s2)", "(a.q - a.s ** 2 / a.k - 2 * (a.c1 ** 2 + a.s1 ** 2 + a.c2 ** 2 + a.s2 ** 2) / a.k)").replace("q_rest(b.q, b.s, b.k, b.c1, b.s1, b.c2, b.s2)", "(b.q - b.s ** 2 / b.k - 2 * (b.c1 ** 2 + b.s1 ** 2 + b.c2 ** 2 + b.s2 ** 2) / b.k)"))(
+SELECT series_id, w::BIGINT AS w, round((together - apart) / 4 / (apart / 46), 4) AS f, round(x, 2) AS amplitude_before, round(y, 2) AS amplitude_after, round(l, 2) AS level_shift FROM r""")(
     on(orders_daily, lambda s: breaks.seasonal_breaks(s, 7).select("series_id", "w", F.round("f", 4).alias("f"), *[F.round(c, 2).alias(c) for c in ("amplitude_before", "amplitude_after", "level_shift")])))
 query("seasonal_break_kinds", None, 4)(on(orders_daily, lambda s: breaks.seasonal_breaks(s, 7).where("is_break")))
 query("seasonal_outliers", f"""WITH {ORDERS}, e AS (SELECT *, avg(value) OVER (PARTITION BY series_id, idx % 7) AS expected, 2 * stddev_pop(value) OVER (PARTITION BY series_id) AS lim FROM o)
@@ -492,6 +493,10 @@ query("read_parquet", "SELECT 'o_totalprice' AS series_id, o_orderdate::TIMESTAM
 query("synthetic_sine", "SELECT 'sine' AS series_id, make_timestamp((1000000000 + i * 3600) * 1000000) AS ts, round(sin(2 * pi() * i / 24), 6) + 0 AS value FROM range(1000) t(i)")(lambda spark, d: synthetic.sine(spark).withColumn("ts", F.col("ts").cast("timestamp_ntz")))
 query("event_filters", "SELECT event_id, event_type, round(value, 6) AS value FROM events WHERE event_type IN ('click', 'view') AND value >= 10 AND event_type NOT LIKE '%x%'")(
     lambda spark, d: series.value_counts_filter(series.value_counts_filter(read(spark, d, "events").select("event_id", "event_type", "value"), "event_type", "in", ["click", "view"]), "value", "ge", 10))
+query("stationarity_kpss")(on(orders_daily, lambda s: compose.stationarity_test(s, "kpss")))
+query("stationarity_all", None, 4)(on(orders_daily, lambda s: compose.stationarity_test(s, "all")))
+query("trend_test", None, 4)(on(flags_daily, lambda s: compose.trend_test(s, "all")))
+query("correlation_analysis", None, 4)(on(flags_daily, compose.correlation_analysis))
 query("insights")(on(orders_daily, compose.insights))
 query("combined_periods")(on(orders_daily, compose.combined_periods))
 
