@@ -30,6 +30,16 @@ def test_round_trip(spark, tmp_path):
     assert sum(gzip.decompress(f.read_bytes()).count(b"WARC-Type: metadata") for f in files) == len(PAGES)
 
 
+def test_every_revisit_refers_to_a_record(spark, tmp_path):
+    rows = [*PAGES, (2, "u", "<p>é</p>"), (1, "u", "<p>é</p>"), (5, "v", PAGES[4][2]), (9, "v", "z"), (None, "w", "z"), (None, "w", "only null ids"), (None, "x", "only null ids")]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), f"file://{tmp_path}/w")
+    records = warc.read_records(spark, f"file://{tmp_path}/w").select("record_id", "record_type", "refers_to").collect()
+    responses = {r.record_id for r in records if r.record_type == "response"}
+    refers = [r.refers_to for r in records if r.record_type == "revisit"]
+    assert len(refers) == 6 and all(x in responses for x in refers)
+    assert len({r.record_id for r in records}) == len(records) == 3 * len(rows)
+
+
 def test_nested_rows_lose_no_record(spark):
     rows = [("<r1>", "response", None, 1), ("<q1>", "request", "<r1>", 2), ("<q2>", "request", "<r1>", 3), ("<m1>", "metadata", "<gone>", 4), ("<i>", "warcinfo", None, 5), ("<r2>", "revisit", None, 6), ("<q3>", "request", None, 7)]
     records = spark.createDataFrame(rows, "record_id string, record_type string, concurrent_to string, response int")

@@ -32,6 +32,8 @@ RECORD = "record_id string, record_type string, concurrent_to string, refers_to
 _ARROW = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("concurrent_to", pa.string()), ("refers_to", pa.string()), ("target_uri", pa.string()), ("declared_digest", pa.string()), ("content_type", pa.string()), ("http_status", pa.int32()), ("http_length", pa.int64()), ("payload", pa.binary()), ("payload_digest", pa.string())])
 #: Bytes of payloads that a batch returned by the reader may hold before it is closed.
 BATCH_BYTES = 8 << 20
+#: Captures of a file at most, so that a file fits the memory of the task that reads it.
+FILE_RECORDS = 20_000
 #: Compressed bytes given to zlib at once.
 STEP = 4096
 
@@ -50,10 +52,10 @@ def _one_line(value: str | None) -> str | None:
     return None if value is None else value.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def _capture(page_id: int | None, url: str | None, payload: bytes, first: int | None, name: str) -> bytes:
-    """The three records of a capture; ``first`` is the page that holds the payload, None for a response."""
+def _capture(page_id: int | None, url: str | None, payload: bytes, first: int | None, name: str | None) -> bytes:
+    """The three records of a capture; ``first`` is the page that holds the payload, None for a response. The response that others refer to has no ``name``."""
     sha, url = digest(payload), _one_line(url)
-    main = f"<urn:capture:{page_id}:{sha}:{name}>"
+    main = f"<urn:capture:{page_id}:{sha}>" if name is None else f"<urn:capture:{page_id}:{sha}:{name}>"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     kind = "response" if first is None else "revisit"
     fields = [("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha1:{sha}"), ("Content-Type", "application/http;msgtype=response")]
@@ -76,8 +78,8 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, n = TaskContext.get().partitionId(), 0
     for batch in batches:
         out, held = [], 0
-        for page_id, url, payload, first in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "first")), strict=True):
-            out.append(_capture(page_id, url, payload, first, f"{part}-{n}"))
+        for page_id, url, payload, first, leads in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "first", "leads")), strict=True):
+            out.append(_capture(page_id, url, payload, first, None if leads else f"{part}-{n}"))
             held += len(out[-1])
             n += 1
             if held > BATCH_BYTES:
@@ -96,10 +98,13 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     breaks in URLs are written percent-encoded.
     """
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).cast("binary").alias("payload"))
-    keyed = rows.withColumn("bytes", F.length("payload")).withColumn("full", F.sha2("payload", 256))
-    groups = keyed.where(F.col("bytes") >= least_bytes).groupBy("bytes", "full").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    known = keyed.join(groups, ["bytes", "full"], "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("first"))
-    known.mapInArrow(_members, "member binary").select(F.col("member").cast("string")).write.option("lineSep", NOTHING.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+    keyed = rows.withColumn("bytes", F.length("payload")).withColumn("full", F.sha2("payload", 256)).withColumn("row", F.monotonically_increasing_id())
+    lead = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row")))
+    groups = keyed.where(F.col("bytes") >= least_bytes).groupBy("bytes", "full").agg(lead.alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
+    known = keyed.join(groups, ["bytes", "full"], "left").withColumn("first", F.col("lead.page_id"))
+    # a row that leads its group is named by page and digest alone, which is what the others refer to
+    known = known.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("first"), F.coalesce(F.col("row") == F.col("lead.row"), F.lit(False)).alias("leads"))
+    known.mapInArrow(_members, "member binary").select(F.col("member").cast("string")).write.option("maxRecordsPerFile", FILE_RECORDS).option("lineSep", NOTHING.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
 
 
 def _inflate(data: bytes) -> bytes:
