@@ -50,3 +50,11 @@ def test_sql_has_its_query():
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 5
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_names_need_no_session():
+    import subprocess
+    import sys
+
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=os.path.dirname(__spark_entry__.__file__), capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr[-500:]

@@ -433,15 +433,18 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.groupBy("series_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts")).agg((100 * F.avg(F.col("value").isNotNull().cast("int"))).alias("score"))
 
 
-_NTZ = {"ts": F.col("ts").cast("timestamp_ntz")}
+def _plain_time(df: DataFrame) -> DataFrame:
+    return df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 query("sudden_drops", f"WITH {_SCORES}, l AS (SELECT *, lag(score) OVER w AS before, epoch(ts) - epoch(lag(ts) OVER w) AS gap FROM q WINDOW w AS (PARTITION BY series_id ORDER BY ts)) SELECT series_id, ts, round(before, 6) AS before, round(score, 6) AS score, round(before - score, 6) AS drop FROM l WHERE before - score > 5 AND gap <= 604800")(
-    on(_scores, lambda h: degradation.sudden_drops(h, 5.0).withColumns(_NTZ)))
+    on(_scores, lambda h: _plain_time(degradation.sudden_drops(h, 5.0))))
 query("gradual_decline", f"""WITH {_SCORES}, s AS (SELECT *, regr_slope(score, epoch(ts) / 86400 - 19000) OVER w AS slope, count(*) OVER w AS points FROM q WINDOW w AS (PARTITION BY series_id ORDER BY ts RANGE BETWEEN INTERVAL 14 DAY PRECEDING AND CURRENT ROW))
-SELECT series_id, ts, round(score, 6) AS score, round(slope, 4) AS slope, points, slope < -1 AS is_declining FROM s WHERE points >= 3 AND slope IS NOT NULL""")(on(_scores, lambda h: degradation.gradual_decline(h, 14 * 86_400).withColumns({**_NTZ, "slope": F.round("slope", 4)})))
+SELECT series_id, ts, round(score, 6) AS score, round(slope, 4) AS slope, points, slope < -1 AS is_declining FROM s WHERE points >= 3 AND slope IS NOT NULL""")(on(_scores, lambda h: _plain_time(degradation.gradual_decline(h, 14 * 86_400)).withColumn("slope", F.round("slope", 4))))
 query("bad_runs", f"""WITH {_SCORES}, n AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS n, count(*) OVER (PARTITION BY series_id) AS k FROM q), b AS (SELECT *, n - row_number() OVER (PARTITION BY series_id ORDER BY ts) AS run FROM n WHERE score < 90)
 SELECT series_id, min(ts) AS begin, max(ts) AS "end", count(*) AS length, round(min(score), 6) AS worst, round(avg(score), 6) AS mean, max(n) = max(k) AS is_open FROM b GROUP BY series_id, run HAVING count(*) >= 2""")(
     on(_scores, lambda h: degradation.bad_runs(h, 90.0).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("begin", "end")})))
-query("quality_baseline", None, 4)(on(_scores, lambda h: degradation.against_baseline(h).withColumns(_NTZ)))
+query("quality_baseline", None, 4)(on(_scores, lambda h: _plain_time(degradation.against_baseline(h))))
 query("clean_linear")(on(holed, lambda s: quality.clean(s).select("series_id", "idx", "value", "changed")))
 SQL["clean_linear"] = f"WITH {HOLED}" + _LINEAR.format(at="idx").replace("SELECT series_id, idx, round(coalesce(value, v0 + (v1 - v0) * (idx - t0) / nullif(t1 - t0, 0)), 6) AS filled FROM b", "SELECT series_id, idx, round(coalesce(value, v0 + (v1 - v0) * (idx - t0) / nullif(t1 - t0, 0)), 6) AS value, value IS NULL AND v0 IS NOT NULL AND v1 IS NOT NULL AS changed FROM b")
 query("quality_history")(on(events, lambda s: quality.windowed_scores(s, "1 day")))
