@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bits import bit_array, bit_is_set
+from .bits import bit_array, bit_is_set, may_repeat, repeats
 from .common import release, rows_without, settle
 from .components import components
 from .shingles import STEP, mixed, shingle_sets
@@ -57,6 +57,8 @@ FINER = 4
 AT_ONCE, WORDS_AT_ONCE = 1 << 15, 1 << 19
 #: log2 of the bits that mark texts whose sets are read again.
 MARK_BITS = 22
+#: log2 of the bits, at most, that tell which sets may occur again; there are 16 for each row until then.
+REPEAT_BITS = 27
 _MASK, _LEVEL_MASK = np.uint64((1 << COUNTER_BITS) - 1), np.uint64((1 << LEVEL_BITS) - 1)
 
 
@@ -265,7 +267,9 @@ def _merged(percent: int):
 
 def _pruned(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The distinct pairs that sizes and parities allow."""
-    slim = classes.select("node", "n", "parity")
+    spot = lambda c: F.xxhash64(c).bitwiseAND((1 << MARK_BITS) - 1)
+    marks = bit_array(pairs.select(F.explode(F.array("a", "b")).alias("node")).select(spot("node").alias("p")), MARK_BITS).scalar()
+    slim = classes.select("node", "n", "parity").where(bit_is_set(marks, spot("node")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -303,6 +307,20 @@ def _sets(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int) ->
     return settle(_first_texts(nodes, classes, texts).select("node", "text").mapInArrow(run, "node long, set binary"), "ngram-sets")
 
 
+def _unchanged(classes: DataFrame, measured: np.ndarray) -> DataFrame:
+    """``node``, ``n`` and ``lists`` of the classes that have no measured list among their short ones; nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("lists")
+            ends = np.asarray(lists.offsets).astype(np.int64)
+            flags = measured[(np.asarray(lists.values).view(np.uint64) & _LEVEL_MASK).astype(np.int64)] > 0
+            hits = np.append(0, np.cumsum(flags))
+            yield b.filter(pa.array(hits[ends[1:]] == hits[ends[:-1]]))
+
+    return classes.select("node", "n", "lists").mapInArrow(run, "node long, n long, lists array<long>")
+
+
 def _chosen_again(classes: DataFrame, texts: DataFrame, level: np.ndarray, measured: np.ndarray, width: int, percent: int) -> DataFrame:
     """Of the classes that had a measured list among their short ones: ``node``, ``n``, ``lists``, ``long`` (those of the new short lists that are long all the same) and, with any such, finer parities.
 
@@ -324,10 +342,13 @@ def _chosen_again(classes: DataFrame, texts: DataFrame, level: np.ndarray, measu
             at = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("id").take(at), b.column("text_hash").take(at), _lists(short), _lists(long), pa.array(fine, pa.binary())], ["id", "text_hash", "lists", "long", "fine"])
 
+    # a document is named by plain columns, so that the join and the removal of repeated rows share a shuffle
+    name = lambda c, of: [of.alias("text_hash"), F.coalesce(c, F.lit(0).cast("long")).alias("id0"), c.isNull().alias("no_id")]
     found = texts.mapInArrow(run, "id long, text_hash long, lists array<long>, long array<long>, fine binary")
-    of = classes.select("node", "n", F.col("first.id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
-    found = found.join(of, (F.col("text_hash") == F.col("first_hash")) & F.col("id").eqNullSafe(F.col("first_id")))
-    return settle(found.select("node", "n", "lists", "long", "fine").dropDuplicates(["node"]), "ngram-again")
+    found = found.select(*name(F.col("id"), F.col("text_hash")), "lists", "long", "fine")
+    of = classes.select("node", "n", *name(F.col("first.id"), F.col("first.text_hash")))
+    keys = ["text_hash", "id0", "no_id"]
+    return settle(found.join(of, keys).dropDuplicates(keys).select("node", "n", "lists", "long", "fine"), "ngram-again")
 
 
 def _probed(percent: int):
@@ -484,12 +505,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = settle(_profiles(texts, level, width, percent), "ngram-rows")
     key = ["n", "s1", "s2"]
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash"))
-    classes = rows.where("n > 0").groupBy(*key).agg(first.alias("first"), F.count("*").alias("class_size"), F.any_value("lists").alias("lists"), F.any_value("parity").alias("parity"))
-    classes = settle(classes.withColumn("node", F.monotonically_increasing_id()), "ngram-classes")
+    full, named_by = rows.where("n > 0"), F.xxhash64(*key)
+    bits = min(REPEAT_BITS, max(16, (16 * rows.count()).bit_length()))  # rows whose set may occur again are grouped, the others are classes as they are
+    twice = may_repeat(repeats(full.select(named_by.alias("h")), bits).scalar(), named_by, bits)
+    marked = full.withColumn("twice", twice)
+    grouped = marked.where("twice").groupBy(*key).agg(first.alias("first"), F.count("*").alias("class_size"), F.any_value("lists").alias("lists"), F.any_value("parity").alias("parity"))
+    alone = marked.where("not twice").select(*key, F.struct(F.col("id").isNull().alias("none"), "id", "text_hash").alias("first"), F.lit(1).cast("long").alias("class_size"), "lists", "parity")
+    classes = settle(grouped.unionByName(alone).withColumn("node", F.monotonically_increasing_id()), "ngram-classes")
     measured = _measured(classes)
     again = _chosen_again(classes, texts, level, measured, width, percent)
-    changed = settle(again.select("node"), "ngram-changed")
-    same = classes.select("node", "n", "lists", F.array().cast("array<long>").alias("long")).join(changed, "node", "left_anti")
+    same = _unchanged(classes, measured).withColumn("long", F.array().cast("array<long>"))
     flagged = lambda c, long: F.transform(c, lambda g: F.struct(g.alias("shingle"), F.lit(long).alias("long")))
     every = same.unionByName(again.select("node", "n", "lists", "long")).select(F.explode(F.concat(flagged("lists", False), flagged("long", True))).alias("p"), "n", "node").select("p.*", "n", "node")
     short, known = every.where("not long").drop("long"), settle(every.where("long").drop("long"), "ngram-known")
@@ -501,8 +526,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     heads = members.groupBy("shingle").agg(F.min_by("node", F.xxhash64("node", "shingle")).alias("head"))
     starred = members.join(heads, "shingle").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).where("a < b")
     counted = merged.where("length = 0").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"), F.first("need").alias("need")).where(F.col("n") >= F.col("need"))
-    pairs = counted.select("a", "b").unionByName(starred).distinct()
-    links, roots = _verified(settle(_pruned(pairs, classes, percent), "ngram-pairs"), None, classes, texts, width, percent)
+    tried = settle(counted.select("a", "b").unionByName(starred).distinct(), "ngram-tried")
+    links, roots = _verified(settle(_pruned(tried, classes, percent), "ngram-pairs"), None, classes, texts, width, percent)
     parities = classes.select("node", "n", "parity").join(again.where("fine is not null").select("node", "fine"), "node", "left").select("node", "n", F.coalesce("fine", "parity").alias("parity"))
     for whole in (False, True):  # the last pass tries all that the first left apart
         across = settle(_long_list_pairs(members.select("shingle", "node"), roots, parities, percent, whole), "ngram-across")
@@ -517,7 +542,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         named = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     tops = named.groupBy("root").agg(F.min("first").alias("top"))
     named = settle(named.join(tops, "root").select(*key, "class_size", "top"), "ngram-named")
-    release(classes, again, changed, known, merged, members)
+    release(classes, again, known, merged, members, tried)
     own = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
     out = ["id", "text_hash", "n"]
     empty = rows.where("n = 0").select(*out, F.lit(1).cast("long").alias("class_size"), own.alias("top"))
