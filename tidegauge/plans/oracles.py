@@ -287,3 +287,36 @@ FROM ({_ACF.replace(EVENTS, FLAGS + ", e AS (SELECT * FROM f)").replace("range(1
 SQL["stationarity_kpss"] = f"SELECT series_id, 'kpss' AS test, statistic, p_value, is_stationary FROM ({SQL['kpss']})"
 _COUNTED = SQL["mann_kendall"].replace(FLAGS, EVENTS).replace("FROM f ", "FROM e ").replace("JOIN f ", "JOIN e ")
 SQL["mann_kendall_counted"] = f"SELECT * REPLACE (round(p_value, 4) AS p_value) FROM ({_COUNTED})"
+_N = "n AS (SELECT series_id, count(*) AS n FROM e GROUP BY 1)"
+SQL["normality"] = f"""WITH {EVENTS}, {_N} SELECT series_id, 'shapiro_wilk' AS test, round(w, 4) AS statistic, round(p_value, 4) AS p_value, n, p_value > .05 AS is_normal FROM ({SQL['shapiro_wilk']}) JOIN n USING (series_id) WHERE n <= 2000
+UNION ALL SELECT series_id, 'kolmogorov_smirnov', round(statistic, 4), round(p_value, 4), n, p_value > .05 FROM ({SQL['kolmogorov_smirnov']}) JOIN n USING (series_id) WHERE n > 2000"""
+_ENDS = "n AS (SELECT series_id, count(*) AS n, arg_min(value, idx) AS first, arg_max(value, idx) AS last FROM o GROUP BY 1), st AS (SELECT unnest(range(1, 11))::INT AS step)"
+SQL["forecast_ets"] = f"""WITH RECURSIVE {ORDERS}, {_ENDS}, r(series_id, i, base, slope, e) AS (SELECT a.series_id, 0::BIGINT, a.value + (b.value - a.value), b.value - a.value, a.value - (a.value + (b.value - a.value)) FROM o a JOIN o b ON b.series_id = a.series_id AND a.idx = 0 AND b.idx = 1
+UNION ALL SELECT r.series_id, o.idx, r.base + .3e0 * r.e + r.slope + .3e0 * .1e0 * r.e, r.slope + .3e0 * .1e0 * r.e, o.value - (r.base + .3e0 * r.e + r.slope + .3e0 * .1e0 * r.e) FROM r JOIN o ON o.series_id = r.series_id AND o.idx = r.i + 1)
+SELECT series_id, step, round(base + .3e0 * e + step * (slope + .3e0 * .1e0 * e), 4) AS forecast FROM r JOIN n USING (series_id), st WHERE i = n - 1"""
+SQL["forecast_theta"] = f"""WITH RECURSIVE {ORDERS}, {_ENDS}, d AS (SELECT a.series_id, b.idx, b.value - a.value AS d FROM o a JOIN o b ON b.series_id = a.series_id AND b.idx = a.idx + 1),
+l AS (SELECT series_id, regr_slope(d, idx) AS b, regr_intercept(d, idx) AS a FROM d GROUP BY 1), t AS (SELECT o.series_id, idx, n, 2 * value - (first + a * idx + b * idx * (idx + 1) / 2) AS v FROM o JOIN l USING (series_id) JOIN n USING (series_id)),
+r(series_id, i, level) AS (SELECT series_id, 0::BIGINT, v FROM t WHERE idx = 0 UNION ALL SELECT r.series_id, t.idx, 2 / (t.n + 1) * t.v + (1 - 2 / (t.n + 1)) * r.level FROM r JOIN t ON t.series_id = r.series_id AND t.idx = r.i + 1)
+SELECT series_id, step, round(level + step * (last - first) / (n - 1), 4) AS forecast FROM r JOIN n USING (series_id), st WHERE i = n - 1"""
+SQL["forecast_holt_winters"] = f"""WITH RECURSIVE {ORDERS}, {_ENDS}, h AS (SELECT series_id, avg(value) FILTER (WHERE idx < 7) AS level, (avg(value) FILTER (WHERE idx >= 7) - avg(value) FILTER (WHERE idx < 7)) / 7 AS trend, list(value ORDER BY idx) FILTER (WHERE idx < 7) AS x FROM o WHERE idx < 14 GROUP BY 1),
+r(series_id, i, level, trend, q) AS (SELECT series_id, 0::BIGINT, level, trend, list_transform(list_concat(x[2:7], x[1:1]), lambda v: v - level) FROM h
+UNION ALL SELECT u.series_id, u.i, u.l, .1e0 * (u.l - u.level) + .9e0 * u.trend, list_concat(u.q[2:7], [.1e0 * (u.value - u.l) + .9e0 * u.q[1]]) FROM (SELECT r.series_id, o.idx AS i, o.value, r.level, r.trend, r.q, .3e0 * (o.value - r.q[1]) + .7e0 * (r.level + r.trend) AS l FROM r JOIN o ON o.series_id = r.series_id AND o.idx = r.i + 1) u)
+SELECT series_id, step, round(level + step * trend + q[(step - 1) % 7 + 1], 4) AS forecast FROM r JOIN n USING (series_id), st WHERE i = n - 1"""
+SQL["partial_autocorrelation"] = f"""WITH RECURSIVE {EVENTS}, t AS (SELECT series_id, count(*) AS n, avg(value) AS m, sum((value - avg_value) ** 2) AS ss FROM (SELECT *, avg(value) OVER (PARTITION BY series_id) AS avg_value FROM e) GROUP BY 1 HAVING count(*) >= 10),
+a AS (SELECT series_id, n, k, sum((x.value - m) * (y.value - m)) / any_value(ss) AS r FROM (SELECT *, unnest(range(1, least(20, n // 4) + 1)) AS k FROM t) JOIN e x USING (series_id) JOIN e y ON y.series_id = x.series_id AND y.idx = x.idx + k GROUP BY 1, 2, 3),
+l AS (SELECT series_id, n, list(r ORDER BY k) AS r FROM a GROUP BY 1, 2),
+p(series_id, n, r, k, phi, a) AS (SELECT series_id, n, r, 1::BIGINT, [r[1]], r[1] FROM l
+UNION ALL SELECT series_id, n, r, k, list_append(list_transform(range(1, k), lambda j: phi[j] - a * phi[k - j]), a), a FROM (SELECT series_id, n, r, k + 1 AS k, phi, (r[k + 1] - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 1 - j]))) / (1 - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[j]))) AS a FROM p WHERE k < len(r)))
+SELECT series_id, k::INT AS lag, round(a, 6) AS pacf, abs(a) > 1.96 / sqrt(n) AS significant FROM p"""
+SQL["optimal_lag"] = f"SELECT series_id, min(lag) FILTER (WHERE significant) AS optimal_lag FROM ({SQL['partial_autocorrelation']}) GROUP BY 1"
+SQL["dbscan"] = f"""WITH {EVENTS}, c AS (SELECT a.series_id, a.idx, a.value FROM e a JOIN e b ON a.series_id = b.series_id AND b.value BETWEEN a.value - .5 AND a.value + .5 GROUP BY 1, 2, 3 HAVING count(*) - 1 >= 3),
+g AS (SELECT e.series_id, e.idx, min(abs(e.value - c.value)) AS score FROM e JOIN c USING (series_id) GROUP BY 1, 2) SELECT series_id, idx, round(score, 6) AS score FROM g WHERE score > .5"""
+SQL["trend_test"] = f"""WITH {FLAGS}, t AS (SELECT series_id, count(*) AS n, regr_slope(value, idx) AS b, regr_r2(value, idx) AS r2 FROM f GROUP BY 1), l AS (SELECT series_id, 'linear' AS test, sign(b) * sqrt(r2 * (n - 2) / (1 - r2)) AS s FROM t),
+u AS (SELECT series_id, 'mann_kendall' AS test, z AS s, p_value AS p FROM ({SQL['mann_kendall']}) UNION ALL SELECT series_id, test, s, {_p('s')} FROM l)
+SELECT series_id, test, round(s, 4) AS statistic, round(p, 4) AS p_value, CASE WHEN p >= .05 THEN 'none' WHEN s > 0 THEN 'increasing' ELSE 'decreasing' END AS direction FROM u"""
+SQL["engle_granger"] = f"""WITH {ORDERS}, p AS (SELECT a.series_id AS var1, b.series_id AS var2, a.idx, a.value AS x, b.value AS y FROM o a JOIN o b ON a.idx = b.idx AND a.series_id < b.series_id),
+l AS (SELECT var1, var2, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM p GROUP BY 1, 2 HAVING count(*) >= 20), r AS (SELECT var1, var2, idx, y - a - b * x AS r FROM p JOIN l USING (var1, var2)),
+d AS (SELECT *, lag(r) OVER w AS level, r - lag(r) OVER w AS d FROM r WINDOW w AS (PARTITION BY var1, var2 ORDER BY idx)), e AS (SELECT *, lag(d) OVER (PARTITION BY var1, var2 ORDER BY idx) AS z FROM d), f AS (SELECT * FROM e WHERE z IS NOT NULL),
+m AS (SELECT var1, var2, count(*) AS k, regr_slope(d, z) AS bd, regr_intercept(d, z) AS ad, regr_slope(level, z) AS bl, regr_intercept(level, z) AS al FROM f GROUP BY 1, 2),
+g AS (SELECT var1, var2, k, d - ad - bd * z AS u, level - al - bl * z AS v FROM f JOIN m USING (var1, var2)), h AS (SELECT var1, var2, k, sum(u * v) / sum(v * v) AS t, sum(v * v) AS vv, sum(u * u) AS uu FROM g GROUP BY 1, 2, 3),
+q AS (SELECT var1, var2, t / sqrt((uu - t * t * vv) / (k - 3) / vv) AS stat FROM h) SELECT var1, var2, round(b, 6) AS beta, round(a, 6) AS intercept, round(stat, 6) AS statistic, stat < -3.34 AS is_cointegrated FROM q JOIN l USING (var1, var2)"""
