@@ -40,6 +40,17 @@ def test_every_revisit_refers_to_a_record(spark, tmp_path):
     assert len({r.record_id for r in records}) == len(records) == 3 * len(rows)
 
 
+@pytest.mark.parametrize("parts", [2, 7])
+def test_revisits_of_tied_rows_refer_to_a_record(spark, tmp_path, parts):
+    rows = [(k, f"http://h{k * 31 % 17}.org/{c}", f"payload {k}") for k in range(40) for c in range(3)] + [(100 + k, "u", f"payload {k}") for k in range(40)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts), f"file://{tmp_path}/w")
+    records = warc.read_records(spark, f"file://{tmp_path}/w").select("record_id", "record_type", "refers_to").collect()
+    responses = {r.record_id for r in records if r.record_type == "response"}
+    refers = [r.refers_to for r in records if r.record_type == "revisit"]
+    assert len(responses) == 120 and len(refers) == 40 and set(refers) <= responses
+    assert len({r.record_id for r in records}) == len(records) == 3 * len(rows)
+
+
 def test_nested_rows_lose_no_record(spark):
     rows = [("<r1>", "response", None, 1), ("<q1>", "request", "<r1>", 2), ("<q2>", "request", "<r1>", 3), ("<m1>", "metadata", "<gone>", 4), ("<i>", "warcinfo", None, 5), ("<r2>", "revisit", None, 6), ("<q3>", "request", None, 7)]
     records = spark.createDataFrame(rows, "record_id string, record_type string, concurrent_to string, response int")

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import release, settle
 
 #: A gzip member that holds nothing.
 NOTHING = gzip.compress(b"", mtime=0)
@@ -98,13 +98,24 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     breaks in URLs are written percent-encoded.
     """
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).cast("binary").alias("payload"))
-    keyed = rows.withColumn("bytes", F.length("payload")).withColumn("full", F.sha2("payload", 256)).withColumn("row", F.monotonically_increasing_id())
-    lead = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row")))
-    groups = keyed.where(F.col("bytes") >= least_bytes).groupBy("bytes", "full").agg(lead.alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
-    known = keyed.join(groups, ["bytes", "full"], "left").withColumn("first", F.col("lead.page_id"))
+    keyed = rows.withColumn("bytes", F.length("payload")).withColumn("full", F.sha2("payload", 256))
+    key = ["bytes", "full"]
+    each = keyed.where(F.col("bytes") >= least_bytes).groupBy(*key, "page_id").agg(F.count("*").alias("n"))
+    lead = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "n")))
+    groups = each.groupBy(*key).agg(lead.alias("lead"), F.sum("n").alias("rows")).where("rows > 1")
+    groups = settle(groups.select(*key, F.col("lead.page_id").alias("first"), F.coalesce(F.col("lead.n") > 1, F.lit(False)).alias("tied")), "warc-groups")
+    own, numbered = F.coalesce(F.col("page_id") == F.col("first"), F.lit(False)), None
+    if groups.where("tied").isEmpty():
+        known, leads = keyed.join(groups, key, "left"), own
+    else:  # rows that share the smallest id are told apart by a number, which is kept: it may be another when rows are read again
+        numbered = settle(keyed.withColumn("row", F.monotonically_increasing_id()), "warc-rows")
+        heads = numbered.select(*key, "page_id", "row").join(groups.where("tied"), key).where(own).groupBy(*key).agg(F.min("row").alias("head"))
+        known = numbered.join(groups.join(heads, key, "left"), key, "left")
+        leads = own & (F.coalesce("head", "row") == F.col("row"))
     # a row that leads its group is named by page and digest alone, which is what the others refer to
-    known = known.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("first"), F.coalesce(F.col("row") == F.col("lead.row"), F.lit(False)).alias("leads"))
+    known = known.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("first"), leads.alias("leads"))
     known.mapInArrow(_members, "member binary").select(F.col("member").cast("string")).write.option("maxRecordsPerFile", FILE_RECORDS).option("lineSep", NOTHING.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+    release(groups, numbered)
 
 
 def _inflate(data: bytes) -> bytes:
