@@ -27,6 +27,18 @@ def test_ids_are_the_tokenizers(monkeypatch):
         assert np.frombuffer(bpe.encode(t), "<u4").tolist() == ids_of(tokenizer, t).tolist()
 
 
+def test_tables_of_runs_are_bounded(monkeypatch):
+    """What a worker remembers has few entries, and none for each combination of a run and its signs or for long runs."""
+    monkeypatch.setattr("tidegauge.llm.word_bpe.MOST_WORDS", 50)
+    bpe, tokenizer = WordBpe(tokenizer_path("word_bpe_49k.json")), fresh()
+    texts = [f"word, word. word! {'x' * (1000 + k)} {k}:{k + 1}" for k in range(40)]
+    for t in texts:
+        assert np.frombuffer(bpe.encode(t), "<u4").tolist() == ids_of(tokenizer, t).tolist()
+    tables = [v for v in vars(bpe).values() if isinstance(v, dict) and type(v) is not dict]
+    held = [k for v in tables for k in v]
+    assert 0 < len(held) <= 50 and sum(map(len, held)) < 1000 and "word" in held and "word," not in held
+
+
 def test_operators_keep_all_items():
     rng = random.Random(5)
     lengths = [rng.randint(1, 99) for _ in range(300)]

@@ -111,4 +111,8 @@ def ascii_lower(text: Column) -> Column:
 
 
 def without_blanks(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), BLANKS, "")
+    """One ``replace`` for each blank: with ``translate`` in its place executors took some hundred MB more heap."""
+    text = F.coalesce(text, F.lit(""))
+    for c in BLANKS:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text

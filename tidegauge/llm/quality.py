@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, rows_without, settle
+from .common import release, rows_without, settle, small_batches
 
 #: The most labelled documents that the classifier is fitted on.
 SAMPLE = 20_000
@@ -103,7 +103,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             x = [features(t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array(x, pa.list_(pa.float64()))], ["id", "y", "x"])
 
-    rows = texts.select("id", "y", "text").mapInArrow(run, "id long, y int, x array<double>").groupBy("id").agg(F.min("y").alias("y"), F.min("x").alias("x")).orderBy("id").collect()
+    with small_batches(docs.sparkSession):
+        rows = texts.select("id", "y", "text").mapInArrow(run, "id long, y int, x array<double>").groupBy("id").agg(F.min("y").alias("y"), F.min("x").alias("x")).orderBy("id").collect()
     return Classifier.fit(np.array([r.x for r in rows]).reshape(len(rows), len(features(""))), np.array([float(r.y) for r in rows]))
 
 

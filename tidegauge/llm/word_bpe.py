@@ -1,10 +1,10 @@
-"""Token ids of whole texts by a BPE tokenizer with word ends, remembered word by word.
+"""Token ids of whole texts by a BPE tokenizer with word ends, remembered run by run.
 
-White space is dropped by this kind of tokenizer and no token spans it, so a text's ids
-are those of its words in a row. Words and their runs of letters, digits or signs are
-remembered in tables of bounded size; only unseen runs reach the BPE model. Texts with
-characters for which the rules of Python and of the tokenizer might differ, and texts
-that hold the name of an added token, go through the tokenizer whole.
+White space is dropped by this kind of tokenizer and no token spans it or leaves a run of
+letters, digits or signs, so a text's ids are those of its runs in a row. Runs are
+remembered in one table of bounded size; only unseen and very long ones reach the BPE
+model. Texts with characters for which the rules of Python and of the tokenizer might
+differ, and texts that hold the name of an added token, go through the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ import sys
 import unicodedata
 from collections.abc import Callable
 
-#: Entries of each table; emptying a full one costs time and changes no ids.
-MOST_WORDS = 300_000
+#: Entries of the table, and characters of a run in it; emptying a full table costs time and changes no ids.
+MOST_WORDS, LONGEST = 150_000, 64
 #: Everything below U+0250 but the separators U+001C to U+001F and the dotted capital I.
 _UNSURE = re.compile("[^\x00-\x1b\x20-įı-ɏ]")
 
@@ -32,19 +32,21 @@ def _runs() -> re.Pattern:
     low = {c for i in range(0x250) for c in chr(i).lower()}
     of = lambda kind: "".join(re.escape(c) for c in sorted(low) if unicodedata.category(c)[0] == kind)
     letter, digit = of("L"), of("N")
-    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^\s{letter}{digit}]+")
+    return re.compile(rf"[{letter}]+|'s|'t|'re|'ve|'m|'ll|'d|[{digit}]|[^\s{letter}{digit}]+")
 
 
 class _Remembered(dict):
-    """Values made when they are first asked for; a full table is emptied."""
+    """Values made when they are first asked for; those of long keys aren't kept, and a full table is emptied."""
 
     def __init__(self, make: Callable[[str], bytes]):
         self.make = make
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= MOST_WORDS:
-            self.clear()
-        found = self[key] = self.make(key)
+        found = self.make(key)
+        if len(key) <= LONGEST:
+            if len(self) >= MOST_WORDS:
+                self.clear()
+            self[key] = found
         return found
 
 
@@ -55,22 +57,17 @@ class WordBpe:
         self.whole = Tokenizer.from_file(path)
         self.model, self.names, self.runs = self.whole.model, _byte_names(), _runs()
         self.added = [t.content.lower() for t in self.whole.get_added_tokens_decoder().values()]
-        self.words, self.parts = _Remembered(self._word), _Remembered(self._part)
+        self.parts = _Remembered(self._part)
 
     def _part(self, run: str) -> bytes:
         return _packed([t.id for t in self.model.tokenize(run.encode().decode("latin-1").translate(self.names))])
 
-    def _word(self, word: str) -> bytes:
-        if word.isascii() and word.isalpha():
-            return _packed([t.id for t in self.model.tokenize(word)])
-        return b"".join(map(self.parts.__getitem__, self.runs.findall(word)))
-
     def encode(self, text: str) -> bytes:
         """The ids of ``text`` as unsigned 32-bit little-endian integers, as ``Tokenizer.encode`` gives them without special tokens of its own."""
         low = text.lower()
         if _UNSURE.search(text) or any(name in low for name in self.added):
             return _packed(self.whole.encode(text, add_special_tokens=False).ids)
-        return b"".join(map(self.words.__getitem__, low.split()))
+        return b"".join(map(self.parts.__getitem__, self.runs.findall(low)))
 
 
 @functools.lru_cache(maxsize=1)
