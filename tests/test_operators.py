@@ -94,6 +94,13 @@ def test_changes_and_outliers_are_found(spark):
     assert anomaly.detect(s).count() <= 10
 
 
+def test_temporal_iqr_decides_by_its_score(spark):
+    """A value on the fence: the score is a last place above 0, the fence itself no different from the value."""
+    before = [22.43, 14.27, 99.26, 21.95, 99.09, 33.92, 80.69, 13.1, 29.94, 101.59, 50.38, 7.53, 19.07, 77.63, 8.74, 8.87, 49.72, 33.46, 71.39, 116.32]
+    (r,) = anomaly.temporal_iqr(make(spark, [*before, 173.12]), 20).collect()
+    assert r.idx == 20 and 0 < r.score < 1e-12 and r.severity == "low"
+
+
 def test_cusum_window_form_is_the_recursion(spark):
     x = np.random.default_rng(4).normal(size=50)
     m, sd, up, want = x.mean(), x.std(), 0.0, []

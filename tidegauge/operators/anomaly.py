@@ -176,8 +176,9 @@ def temporal_iqr(series: DataFrame, window: int, factor: float = 1.5) -> DataFra
     before = F.array_sort(F.collect_list("value").over(_by_v().rowsBetween(-window, -1)))
     rows = _dense(series).withColumn("prev", before).where(F.col("vi") >= window)
     q1, q3 = F.try_element_at("prev", F.lit(window // 4 + 1)), F.try_element_at("prev", F.lit(3 * window // 4 + 1))
-    score = safe_div(F.greatest(q1 - factor * (q3 - q1) - val(), val() - q3 - factor * (q3 - q1)), q3 - q1)
-    return _found(rows, "temporal_iqr", (val() < q1 - factor * (q3 - q1)) | (val() > q3 + factor * (q3 - q1)), score, severity(score / factor, 1.5, 2.0, 3.0))
+    off = F.greatest(q1 - factor * (q3 - q1) - val(), val() - q3 - factor * (q3 - q1))
+    score = safe_div(off, q3 - q1)
+    return _found(rows, "temporal_iqr", off > 0, score, severity(score / factor, 1.5, 2.0, 3.0))
 
 
 DETECTORS: dict[str, Callable[..., DataFrame]] = {
