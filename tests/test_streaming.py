@@ -1,8 +1,10 @@
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.operators.series import with_index
+from tidegauge.plans.oracles import SQL
 from tidegauge.plans.queries import QUERIES
 from tidegauge.sources import synthetic
 from tidegauge.streaming import detector, drift, windowed
@@ -77,3 +79,31 @@ def test_adwin_equals_means_of_the_halves():
         window = window[half:] if want else window
         variance = float(np.var(window))
         assert a.push(v) == want and abs(a.variance - variance) < 1e-9
+
+
+def test_quartiles_on_the_threshold(spark, tmp_path):
+    """Windows whose quartiles decide: the sum of two rounded products puts both scores beside their true place."""
+    x = [55.63, 63.5, 104.75, 3.62, 98.05, 89.76, 67.5, 53.91, 2.26, 64.41, 42.14, 35.99, 18.79, 126.67, 3.21, 53.99, 2.11, 35.43, 0.09, 62.35, 16.26, 137.43, 35.8, 13.54, 139.74]
+    x += [11.09, 0.32, 43.64, 47.42, 251.16, 71.78, 21.0, 42.87, 223.15, 12.88, 34.86, 20.9, 180.82, 3.19, 8.08, 65.29, 55.64, 11.62, 107.83, 7.84, 185.13, 125.68, 14.25, 55.07, 228.36]
+    rows = [("error", i, v) for i, v in enumerate(x)]
+    # 12 below, the four values around the quartiles, 22 between them, 11 above and the point itself
+    rows += [("signup", i, v) for i, v in enumerate([1.0] * 12 + [14.34, 15.71] + [30.0] * 22 + [51.36, 55.79] + [60.0] * 11 + [180.21])]
+    df = spark.createDataFrame(rows, "event_type string, t long, value double").select("event_type", F.timestamp_seconds("t").cast("timestamp_ntz").alias("ts"), "value")
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    d = duckdb.connect()
+    d.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got = QUERIES["stream_iqr"](spark, str(tmp_path))
+    want = d.execute(f"select {', '.join(got.columns)} from ({SQL['stream_iqr']})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert ("signup", 180.21, 1.638188) in {(r.series_id, r.value, r.score) for r in got.collect()}
+    for key in ("error", "signup"):
+        pdf = df.where(F.col("event_type") == key).orderBy("ts").toPandas()
+        replayed = detector.Detector(method="iqr", threshold=0.5, size=50).run(key, pdf)
+        assert [(v, round(s, 6)) for v, s in zip(replayed["value"], replayed["score"], strict=True)] == [(r.value, r.score) for r in got.where(F.col("series_id") == key).orderBy("ts").collect()]
+
+
+def test_quartiles_with_infinite_values(spark):
+    for held in ([1.0, 2.0, float("inf")], [1.0, float("inf"), float("inf")], [-float("inf"), 2.0, 3.0, 4.0, 5.0, float("inf")]):
+        c = spark.range(1).select(detector._quantile(F.array(*map(F.lit, held)), 0.75).alias("q")).first().q
+        assert c == np.inf if held[-2] == np.inf or len(held) == 3 else c == 4.75
+        assert detector._quantile_of(np.array(held), 0.75) == c
