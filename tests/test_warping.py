@@ -1,5 +1,7 @@
 """Search and alignment under warping against plain dynamic programming."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +70,41 @@ def test_nearest_equals_brute_force(spark, window, block, long, monkeypatch):
     assert warping.nearest(frame(spark, named).limit(0), 2).count() == 0
 
 
+def test_pairs_at_once_are_the_pairs(monkeypatch):
+    """Bounds and distances of many pairs of unequal lengths, also given up or without the columns."""
+    rng = np.random.default_rng(11)
+    xs = [rng.normal(size=int(k)).cumsum() for k in [1, 2, 90, *rng.integers(3, 60, 20)]]
+    n = np.array([len(x) for x in xs])
+    a, b = np.triu_indices(len(xs), 1)
+    x, _ = warping._columns(xs)
+    for window, pairs in ((0, 1024), (3, 7), (200, 50)):
+        monkeypatch.setattr(warping, "PAIRS", pairs)
+        bands = np.maximum(window, np.abs(n[a] - n[b]))
+        want = np.array([plain(xs[i], xs[j], w) for i, j, w in zip(a, b, bands, strict=True)])
+        assert np.allclose(warping._bounds(xs, x, n, a, b, bands), [warping.lower_bound(xs[i], xs[j], w) for i, j, w in zip(a, b, bands, strict=True)])
+        assert (warping._bounds(xs, None, n, a, b, bands) <= want + 1e-9).all()
+        for columns in (x, None):
+            assert np.allclose(warping._distances(xs, columns, n, a, b, bands, np.full(len(a), np.inf)), want)
+            got = warping._distances(xs, columns, n, a, b, bands, np.full(len(a), np.median(want)))
+            assert np.allclose(got[want <= np.median(want)], want[want <= np.median(want)]) and (np.isinf(got) | np.isclose(got, want)).all() and np.isinf(got).any()
+
+
+def test_nearest_of_many_series_is_quick(spark):
+    """A quarter of a million warpings, which took minutes one by one."""
+    s = spark.range(700 * 40).select((F.col("id") % 700).cast("string").alias("series_id"), F.floor(F.col("id") / 700).alias("idx"), (F.pmod(F.xxhash64("id"), F.lit(10_000)) / 100).alias("value"))
+    start = time.monotonic()
+    rows = warping.nearest(s, 3, 3).collect()
+    assert time.monotonic() - start < 60
+    assert len(rows) == 2100 and all(r.tried + r.pruned == 699 for r in rows)
+    xs = {}
+    for r in s.orderBy("idx").collect():
+        xs.setdefault(r.series_id, []).append(r.value)
+    xs = {k: np.array(x) for k, x in xs.items()}
+    for q in ("0", "333"):
+        want = sorted((warping.banded(xs[q], y, 3), o) for o, y in xs.items() if o != q)[:3]
+        assert [(r.distance, r.other) for r in sorted(rows, key=lambda r: r["rank"]) if r.series_id == q] == want
+
+
 def test_bounds_spare_warpings(spark):
     rng = np.random.default_rng(7)
     named = {f"s{i:03d}": rng.normal(size=40) * 0.3 + 4 * (i % 8) for i in range(60)}
