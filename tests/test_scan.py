@@ -47,6 +47,13 @@ def test_index_fills_and_differences(rows, blocks):
     same(scan.differences(got), d, "difference")
 
 
+def test_no_frame_is_computed_anew_for_each_row(blocks):
+    """A frame that ends with its partition takes the square of a block's rows."""
+    for f in (scan.backward_fill, scan.linear_fill):
+        plan = f(scan.with_index(blocks))._jdf.queryExecution().analyzed().toString()
+        assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+
+
 def test_running_extremes_and_cusum(spark, rows, blocks):
     w = series.by_index().rowsBetween(Window.unboundedPreceding, 0)
     want = series.with_index(rows.where("ts is not null"))

@@ -42,8 +42,10 @@ def running(rows: DataFrame, **columns: tuple[str, Column]) -> DataFrame:
     rows = rows.withColumns({f"_x_{name}": c for name, (_, c) in columns.items()})
     totals, carried, local = [], [], {}
     past = Window.partitionBy(KEY).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    later = Window.partitionBy(KEY).orderBy("block").rowsBetween(1, Window.unboundedFollowing)
-    upto, onward = _forward().rowsBetween(Window.unboundedPreceding, 0), _forward().rowsBetween(0, Window.unboundedFollowing)
+    upto = _forward().rowsBetween(Window.unboundedPreceding, 0)
+    # what follows is what precedes in the other order: Spark computes a frame that ends with the partition anew for each row
+    later = Window.partitionBy(KEY).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    onward = Window.partitionBy(*BLOCK_KEY).orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, 0)
     for name, (kind, _) in columns.items():
         x, total, before = F.col(f"_x_{name}"), F.col(f"_t_{name}"), F.col(f"_c_{name}")
         has = F.when(x.isNotNull(), F.col("ts"))
@@ -60,8 +62,8 @@ def running(rows: DataFrame, **columns: tuple[str, Column]) -> DataFrame:
             local[name] = F.coalesce(F.last(x, True).over(upto), before)
         elif kind == "next":
             totals.append(F.min_by(x, has).alias(f"_t_{name}"))
-            carried.append(F.first(total, True).over(later).alias(f"_c_{name}"))
-            local[name] = F.coalesce(F.first(x, True).over(onward), before)
+            carried.append(F.last(total, True).over(later).alias(f"_c_{name}"))
+            local[name] = F.coalesce(F.last(x, True).over(onward), before)
         elif kind == "before":
             totals.append(F.max_by(F.struct(x.alias("v")), "ts").alias(f"_t_{name}"))
             carried.append(F.lag(total).over(Window.partitionBy(KEY).orderBy("block")).alias(f"_c_{name}"))
