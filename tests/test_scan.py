@@ -5,6 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidegauge.operators import scan, series, stationarity, windows
+from tidegauge.plans import queries
 
 
 @pytest.fixture(scope="module")
@@ -54,6 +55,11 @@ def test_no_frame_is_computed_anew_for_each_row(blocks):
         assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
 
 
+def test_numbered_blocks_are_the_numbered_series(spark):
+    a, b = (f(spark, "/root/testdata/sf0.001").select("series_id", "ts", "value", "idx") for f in (queries.holed_by_blocks, queries.holed))
+    assert a.count() == b.count() and a.exceptAll(b).isEmpty()
+
+
 def test_running_extremes_and_cusum(spark, rows, blocks):
     w = series.by_index().rowsBetween(Window.unboundedPreceding, 0)
     want = series.with_index(rows.where("ts is not null"))

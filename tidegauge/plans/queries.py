@@ -115,6 +115,12 @@ def holed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).withColumn("value", F.when((F.col("idx") % 7 != 3) & (F.col("idx") % 11 != 4), F.col("value")))
 
 
+def holed_by_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in blocks, numbered there too."""
+    e = scan.with_index(scan.dealt(series.canonicalize(series.to_series(read(spark, sf_dir, "events"), "event_type", "ts", "value"))))
+    return e.withColumn("value", F.when((F.col("idx") % 7 != 3) & (F.col("idx") % 11 != 4), F.col("value")))
+
+
 HOLED = EVENTS + ", h AS (SELECT series_id, ts, idx, CASE WHEN idx % 7 <> 3 AND idx % 11 <> 4 THEN value END AS value FROM e)"
 query("forward_fill", f"""WITH {HOLED} SELECT series_id, idx, round(last_value(value IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY idx ROWS UNBOUNDED PRECEDING), 6) AS filled FROM h""")(on(holed, lambda s: windows.forward_fill(s).select("series_id", "idx", "filled")))
 query("backward_fill", f"""WITH {HOLED} SELECT series_id, idx, round(first_value(value IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS filled FROM h""")(on(holed, lambda s: windows.backward_fill(s).select("series_id", "idx", "filled")))
@@ -129,7 +135,7 @@ for _stat, _agg in (("mean", "avg(value)"), ("median", "quantile_cont(value, .5)
     query(f"window_fill_{_stat}", f"WITH {HOLED} SELECT series_id, idx, round(coalesce(value, {_agg} OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)), 6) AS filled FROM h")(on(holed, lambda s, k=_stat: windows.window_fill(s, 5, k).select("series_id", "idx", "filled")))
 query("constant_fill", f"WITH {HOLED} SELECT series_id, idx, round(coalesce(value, 0), 6) AS filled FROM h")(on(holed, lambda s: windows.constant_fill(s, 0).select("series_id", "idx", "filled")))
 for _name in ("forward_fill", "backward_fill", "linear_fill"):
-    query(f"{_name}_by_blocks", SQL[_name])(on(holed, lambda s, f=_name: getattr(scan, f)(scan.dealt(s)).select("series_id", "idx", "filled")))
+    query(f"{_name}_by_blocks", SQL[_name])(on(holed_by_blocks, lambda s, f=_name: getattr(scan, f)(s).select("series_id", "idx", "filled")))
 query("index_by_blocks", f"WITH {HOLED} SELECT series_id, ts, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS idx, CASE WHEN value IS NOT NULL THEN count(value) OVER (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 END AS vidx FROM h")(on(holed, lambda s: scan.with_index(scan.dealt(s.select("series_id", "ts", "value"))).select("series_id", "ts", "idx", "vidx")))
 query("ewma")(on(holed, lambda s: windows.ewma(s, 0.3).drop("ts")))
 query("exponential_fill")(on(holed, lambda s: windows.exponential_fill(s, 0.3).select("series_id", "idx", "filled")))
