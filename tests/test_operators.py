@@ -101,6 +101,31 @@ def test_temporal_iqr_decides_by_its_score(spark):
     assert r.idx == 20 and 0 < r.score < 1e-12 and r.severity == "low"
 
 
+@pytest.mark.parametrize("k,run", [(10, 1), (3, 50), (200, 64)])
+def test_local_outlier_factor_in_runs(spark, monkeypatch, k, run):
+    """Factors of runs are those of the whole series: ties, ends, series shorter than k, too short ones and one without a name."""
+    monkeypatch.setattr(detectors_np, "RUN", run)
+    rng = np.random.default_rng(12)
+    named = {"long": rng.exponential(50, 400).round(2), "ties": rng.integers(0, 9, 300).astype(float), "seven": rng.normal(size=7), "two": np.array([1.0, 5.0]), None: rng.normal(size=40)}
+    rows = [(key, i, float(v)) for key, x in named.items() for i, v in enumerate(x)]
+    found = detectors_np.local_outlier_factor(spark.createDataFrame(rows, "series_id string, idx long, value double").repartition(5), k, 0.1).collect()
+    for key, x in named.items():
+        got = sorted((r.idx, r.score) for r in found if r.series_id == key)
+        if len(x) < 3:
+            assert not got
+            continue
+        order = np.argsort(x, kind="stable")
+        y, few = x[order], min(k, len(x) - 1)
+        # the nearest others, of equal distances those of lower values, of equal values the nearer places
+        near = np.array([sorted((i for i in range(len(y)) if i != j), key=lambda i: (abs(y[i] - y[j]), i > j, abs(i - j)))[:few] for j in range(len(y))])
+        dist = np.abs(y[near] - y[:, None])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            lrd = 1 / np.maximum(dist[:, -1][near], dist).mean(1)
+            lof = np.nan_to_num(lrd[near].mean(1) / lrd, nan=1.0, posinf=np.finfo(float).max)
+        want = sorted(zip(order.tolist(), lof.tolist(), strict=True), key=lambda r: (-round(r[1], 9), r[0]))[: math.ceil(len(x) * 0.1)]
+        assert np.allclose([v for _, v in got], [v for _, v in sorted(want)]) and [i for i, _ in got] == [i for i, _ in sorted(want)]
+
+
 def test_cusum_window_form_is_the_recursion(spark):
     x = np.random.default_rng(4).normal(size=50)
     m, sd, up, want = x.mean(), x.std(), 0.0, []

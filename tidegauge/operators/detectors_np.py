@@ -5,10 +5,17 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from ..functions.staged import staged
+from . import scan
 from .grouped import per_series
+from .series import KEY, valid
 
+#: Values of a run of :func:`local_outlier_factor`.
+RUN = 1 << 16
 _SCORES = "idx long, score double"
 
 
@@ -43,35 +50,55 @@ def isolation_forest(series: DataFrame, contamination: float = 0.1, trees: int =
     return per_series(series, run, _SCORES, 10)
 
 
-def _neighbours(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and distances of the k nearest other values of each value, by two pointers in size order."""
-    order = np.argsort(x, kind="stable")
-    s, n = x[order], len(x)
+def _neighbours(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and distances of the k nearest other values of each of ordered values, by two pointers; of equal distances the lower value first."""
+    n = len(s)
     near, dist = np.zeros((n, k), int), np.zeros((n, k))
-    for i in range(n):
-        lo, hi = i - 1, i + 1
-        for j in range(k):
-            if hi >= n or (lo >= 0 and s[i] - s[lo] <= s[hi] - s[i]):
-                near[order[i], j], dist[order[i], j] = order[lo], s[i] - s[lo]
-                lo -= 1
-            else:
-                near[order[i], j], dist[order[i], j] = order[hi], s[hi] - s[i]
-                hi += 1
+    lo, hi = np.arange(n) - 1, np.arange(n) + 1
+    for j in range(k):
+        below, above = s - s[np.maximum(lo, 0)], s[np.minimum(hi, n - 1)] - s
+        down = (hi >= n) | ((lo >= 0) & (below <= above))
+        near[:, j], dist[:, j] = np.where(down, lo, hi), np.where(down, below, above)
+        lo, hi = lo - down, hi + ~down
     return near, dist
 
 
-def local_outlier_factor(series: DataFrame, k: int = 10, contamination: float = 0.1) -> DataFrame:
-    """LOF of single values; densities are infinite among equal values, whose factor is 1."""
+def _placed(rows: DataFrame, *by: Column) -> tuple[DataFrame, DataFrame]:
+    """``place`` of each row of a series by ``by``, from 0, counted in blocks; and ``n`` for each series, named ``of``."""
+    blocks = scan.dealt(rows.withColumn("ts", F.struct(*by)))
+    counted = scan.running(blocks, place=("sum", F.lit(1).cast("long")))
+    return counted.withColumn("place", F.col("place") - 1).drop("ts", "block"), blocks.groupBy(F.col(KEY).alias("of")).agg(F.count("*").alias("n"))
 
-    def run(x: np.ndarray, idx: np.ndarray) -> dict:
-        near, dist = _neighbours(x, min(k, len(x) - 1))
-        reach = np.maximum(dist[near][:, :, -1], dist).mean(1)
+
+def local_outlier_factor(series: DataFrame, k: int = 10, contamination: float = 0.1) -> DataFrame:
+    """LOF of single values; densities are infinite among equal values, whose factor is 1.
+
+    A factor depends on its neighbours, theirs and those of these, so on ``3 * k`` values to each side in order of size:
+    runs of ``RUN`` values get as many from their neighbours, and no task holds a series.
+    """
+    placed, n = _placed(valid(series).select(KEY, "idx", "value"), F.col("value"), F.col("idx"))
+    placed = placed.join(n.where("n >= 3"), F.col(KEY).eqNullSafe(F.col("of"))).drop("of")
+    beside = 3 * k
+    size = max(RUN, beside)
+    run, within = F.floor(F.col("place") / size), F.col("place") % size
+    runs = F.array_compact(F.array(run, F.when((within < beside) & (run > 0), run - 1), F.when(within >= size - beside, run + 1)))
+
+    def factors(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("place")
+        own = (pdf["place"] // size == pdf["run"]).to_numpy()
+        if not own.any():
+            return pdf[:0].rename(columns={"value": "score"})[[KEY, "idx", "score"]]
+        near, dist = _neighbours(pdf["value"].to_numpy(float), min(k, int(pdf["n"].iloc[0]) - 1, len(pdf) - 1))
+        reach = np.maximum(dist[:, -1][near], dist).mean(1)
         with np.errstate(divide="ignore", invalid="ignore"):
             lrd = 1 / reach
             lof = lrd[near].mean(1) / lrd
-        return _top(idx, np.nan_to_num(lof, nan=1.0, posinf=np.finfo(float).max), contamination)
+        return pd.DataFrame({KEY: pdf[KEY], "idx": pdf["idx"], "score": np.nan_to_num(lof, nan=1.0, posinf=np.finfo(float).max)})[own]
 
-    return per_series(series, run, _SCORES, 3)
+    scored = placed.withColumn("run", F.explode(runs)).groupBy(KEY, "run").applyInPandas(factors, f"{KEY} string, {_SCORES}")
+    ordered, n = _placed(staged(scored), -F.col("score"), F.col("idx"))  # staged, as dealing by ranges reads its rows twice
+    first = ordered.join(n, F.col(KEY).eqNullSafe(F.col("of")))
+    return first.where(F.col("place") < F.ceil(F.col("n") * F.lit(float(contamination)))).select(KEY, "idx", "score")
 
 
 def dbscan(series: DataFrame, eps: float, least: int) -> DataFrame:

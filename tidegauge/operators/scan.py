@@ -71,7 +71,8 @@ def running(rows: DataFrame, **columns: tuple[str, Column]) -> DataFrame:
         else:
             raise ValueError(kind)
     blocks = rows.groupBy(*BLOCK_KEY).agg(*totals).select(*BLOCK_KEY, *carried)
-    out = rows.join(blocks, BLOCK_KEY)
+    blocks = blocks.withColumnsRenamed({"block": "_block", KEY: "_of"})
+    out = rows.join(blocks, (F.col("block") == F.col("_block")) & F.col(KEY).eqNullSafe(F.col("_of"))).drop("_block", "_of")
     out = out.withColumns(local)
     return out.drop(*[f"{p}{name}" for name in columns for p in ("_x_", "_c_")])
 
