@@ -1,6 +1,7 @@
 """The adaptive window, the Kolmogorov-Smirnov window and the online forecaster, on tables and streams."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +149,24 @@ def test_misses_are_where_the_forecast_fails(spark):
     rows = drift.misses(s.withColumn("idx", F.col("idx").cast("long"))).where("series_id = 'b'").collect()
     ones = [r.idx for r in rows if r.value == 1]
     assert len([i for i in ones if 450 <= i < 480]) >= 10 and len([i for i in ones if 100 < i < 450]) <= 5
+
+
+def test_table_in_batches(spark):
+    """A series that comes in many batches, and many series in one, give what each gives as a whole; no group of Spark's holds a series."""
+    rng = np.random.default_rng(8)
+    named = {"long": rng.normal(size=900).cumsum(), None: rng.normal(size=70), "short": rng.normal(size=3)} | {f"s{i}": rng.normal(size=12) + i for i in range(9)}
+    rows = [(key, i, float(v)) for key, x in named.items() for i, v in enumerate(x)]
+    s = spark.createDataFrame(rows, "series_id string, t long, value double").select("series_id", F.timestamp_seconds("t").alias("ts"), "value").repartition(7)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "50")
+    try:
+        found = online.forecast_table(s)
+        got = found.collect()
+    finally:
+        spark.conf.set(name, before)
+    for key, x in named.items():
+        whole = online.OnlineForecaster().run(key, pd.DataFrame({"ts": range(len(x)), "value": x}))
+        mine = sorted((r for r in got if r.series_id == key), key=lambda r: r.ts)
+        assert [(r.forecast, r.error, r.drift, r.phase, r.mae) for r in mine] == list(whole[["forecast", "error", "drift", "phase", "mae"]].itertuples(index=False, name=None))
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()

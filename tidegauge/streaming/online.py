@@ -17,6 +17,7 @@ import math
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -172,12 +173,22 @@ class OnlineForecaster:
 
 
 def forecast_table(series: DataFrame, **options) -> DataFrame:
-    """The rows of :data:`SCHEMA` from a table, a series at a time."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return OnlineForecaster(**options).run(key[0], pdf.sort_values("ts", kind="stable"))
-
-    return series.select("series_id", F.col("ts").cast("timestamp").alias("ts"), "value").groupBy("series_id").applyInPandas(run, SCHEMA)
+    """The rows of :data:`SCHEMA` from a table, a series at a time; its points come in time order in batches, so that no task holds a series."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, model = None, None
+        for pdf in frames:
+            keys = pdf["series_id"].to_numpy(object)
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for lo, hi in pairwise(cuts):
+                if lo < hi and (model is None or keys[lo] != key):
+                    key, model = keys[lo], OnlineForecaster(**options)
+                out = model.run(key, pdf[lo:hi]) if lo < hi else ()
+                if len(out):
+                    yield out
+
+    rows = series.select("series_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    return rows.repartition("series_id").sortWithinPartitions("series_id", "ts").mapInPandas(run, SCHEMA)
 
 
 class _Processor(StatefulProcessor):
